@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trefoil.llm import language_id, packing, simhash, toxicity
+from trefoil.llm import decontamination, language_id, packing, preference, quality, simhash, toxicity
+from trefoil.llm import sql
 from trefoil.llm.words import held_out
 
 
@@ -20,6 +21,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.apply_policy(quality.ledger(_table(spark, sf_dir, "documents")), quality.POLICIES["v1"])
+    return quality.apply_policy(found, quality.POLICIES["base"], "base_passed").withColumn("base_failed", ~F.col("base_passed")).drop("base_passed")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
@@ -31,14 +37,25 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.tokenize(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op7_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.format_pairs(_table(spark, sf_dir, "conversations"))
+
+
+def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_quality_ledger": op2_quality_ledger,
     "op3_toxicity": op3_toxicity,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_preference_formatting": op7_preference_formatting,
+    "op8_template_decontamination": op8_template_decontamination,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
@@ -48,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLE)
