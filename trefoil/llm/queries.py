@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trefoil.llm import decontamination, language_id, packing, preference, quality, simhash, toxicity
+from trefoil.llm import decontamination, language_id, packing, preference, quality, simhash, toxicity, warc
 from trefoil.llm import sql
 from trefoil.llm.words import held_out
 
@@ -31,6 +31,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages")).drop("uri")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_quality_ledger": op2_quality_ledger,
     "op3_toxicity": op3_toxicity,
+    "op4_warc_round_trip": op4_warc_round_trip,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_preference_formatting": op7_preference_formatting,
     "op8_template_decontamination": op8_template_decontamination,

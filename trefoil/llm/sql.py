@@ -47,4 +47,9 @@ j AS (SELECT l.*, coalesce(consistent, true) consistent, coalesce(exact, true) e
 b AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY consistent DESC, matched DESC, exact DESC) = 1)
 SELECT doc_id, item_id, matched, windows, coverage, exact FROM b WHERE consistent AND coverage >= {MIN_COVERAGE}"""
 
-ORACLE = {"op2_quality_ledger": QUALITY, "op7_preference_formatting": PREFERENCE, "op8_template_decontamination": DECONTAMINATION}
+WARC = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) n, sha256(coalesce(html, '')) h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) first FROM p)
+SELECT page_id, n payload_bytes, h payload_digest, CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END record_type, CASE WHEN n >= 100 AND page_id <> first THEN first END refers_to FROM f"""
+
+ORACLE = {"op4_warc_round_trip": WARC, "op2_quality_ledger": QUALITY, "op7_preference_formatting": PREFERENCE, "op8_template_decontamination": DECONTAMINATION}
