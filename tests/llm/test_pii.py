@@ -1,0 +1,69 @@
+import hashlib
+import random
+import re
+
+import pyarrow as pa
+
+from trefoil.llm import pii
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(s):
+    d = [int(c) for c in s][::-1]
+    return sum(d[::2] + [x * 2 - 9 if x > 4 else x * 2 for x in d[1::2]]) % 10 == 0
+
+
+def plain(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub(r"[^0-9]", "", m.group())
+            good = {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m.group().split(".")), "card": 14 <= len(digits) <= 19 and luhn(digits), "phone": 10 <= len(digits) <= 15}[kind]
+            if good:
+                out.append((m.start(), m.end(), kind))
+    return sorted(out, key=lambda s: (s[0], list(PATTERNS).index(s[2])))
+
+
+def test_base_spans_equal_plain_patterns():
+    rng = random.Random(5)
+    bits = ["a", "B9", "@", ".", "..", "+", " ", "-", "x.y@z.co", "1.2.3.4", "256.1.1.1", "0001.2.3.255", "4845168114407329", "4845 1681 1440 7329", "+1 (017) 555-7713", "+49", "(", ")", "é", "@b.c@d.e", "9", "12", "\n", "_%", "4929-3483-8514-6306"]
+    for _ in range(4000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        assert pii.base_spans(text) == plain(text), text
+    for text in ("1" * 20000, "a" * 20000 + "@", "@" * 5000, "+1" + " " * 20000, "1.1.1.1." * 3000, "a@b." * 4000):
+        assert pii.base_spans(text) == plain(text) or len(text) > 10**5
+
+
+def test_field_adds_spans_and_leaves_plain_text_alone():
+    field = pii.fit()
+    texts = ['und token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" so', "the man of the house is here, and that was 3 or 4.0. of it", "call (499) 555-6503 now", "+1 (499) 555-6503 it", "THE!! MAN!! OF!! THAT!!", None, "", "is 1999 a year = or not"]
+    found = [every for _, every in pii.find(field, pa.array(texts, pa.string()))]
+    assert [[texts[i][a:b] for a, b, _ in spans] for i, spans in enumerate(found)] == [["04dbebab91ab85687d33eeaaf9ac699e1188f962"], [], ["(499) 555-6503"], ["+1 (499) 555-6503"], [], [], [], []]
+    assert [s[2] for s in found[0]] == ["secret"] and found[2][0][2] == "local_phone" and found[3][0][2] == "phone"
+
+
+def test_training_table_is_learned():
+    field, wrong, total = pii.fit(), 0, 0
+    for text, spans in pii.labelled_table(1):
+        want = {(*pii._trim(text, a, b), kind) for a, b, kind in spans}
+        got = {s for s in pii.find(field, pa.array([text]))[0][1] if s[2] in pii.ADDED_KINDS}
+        wrong, total = wrong + len(want ^ got), total + len(want)
+    assert wrong <= 0.1 * total
+
+
+def test_query_columns_nulls_repeats_and_extra_columns(spark):
+    rows = [(1, "me x.y@z.co and 1.2.3.4", "q", 1), (1, "me x.y@z.co and 1.2.3.4", "q", 1), (2, None, None, None), (None, "", "", 0), (3, "long " * 60000 + "4845168114407329", "", 0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, spans string, n_ip int")
+    got = sorted(map(tuple, pii.detect(df).collect()), key=repr)
+    empty = hashlib.sha256(b"").hexdigest()
+    one = "email:3:11,ip:16:23"
+    card = f"card:{5 * 60000}:{5 * 60000 + 16}"
+    want = [(1, 1, 1, 0, 0, hashlib.sha256(one.encode()).hexdigest(), one)] * 2 + [(2, 0, 0, 0, 0, empty, ""), (None, 0, 0, 0, 0, empty, ""), (3, 0, 0, 1, 0, hashlib.sha256(card.encode()).hexdigest(), card)]
+    assert got == sorted(want, key=repr)
+    assert pii.detect(df.limit(0)).collect() == []
+    clean = {r.doc_id: r.clean_text for r in pii.redact(df.where("doc_id < 3").distinct()).collect()}
+    assert clean == {1: "me [EMAIL] and [IP]", 2: None}

@@ -96,13 +96,14 @@ def viterbi(emissions: np.ndarray, bounds: np.ndarray, transitions: np.ndarray)
 def islands(emissions: np.ndarray, bounds: np.ndarray, transitions: np.ndarray, plain: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions where Viterbi must still be run, and bounds that cut them into sequences.
 
-    A position whose score for label ``plain`` leads by more than twice the spread of the transition scores
-    has that label in every best path, as changing it there could only raise a path's score. Between two such
-    positions the path is independent of the rest; one of them is kept on both sides of each island.
+    A position whose score for label ``plain`` leads by more than any label between any neighbours can gain in
+    transitions has that label in every best path, as changing it there could only raise a path's score. Between two
+    such positions the path is independent of the rest; one of them is kept on both sides of each island.
     """
     n, k = emissions.shape
     rest = np.delete(emissions, plain, axis=1).max(axis=1) if k > 1 else np.full(n, -np.inf)
-    sure = emissions[:, plain] - rest > 2 * (transitions.max() - transitions.min())
+    gain = (transitions - transitions[:, [plain]]).max(axis=0) + (transitions - transitions[[plain]]).max(axis=1)
+    sure = emissions[:, plain] - rest > gain.max() + 1e-6
     need = ~sure
     first = np.zeros(n + 1, dtype=bool)
     first[bounds] = True

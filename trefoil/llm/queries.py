@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trefoil.llm import decontamination, language_id, packing, preference, quality, simhash, toxicity, warc
+from trefoil.llm import decontamination, language_id, packing, pii, preference, quality, simhash, toxicity, warc
 from trefoil.llm import sql
 from trefoil.llm.words import held_out
 
@@ -41,6 +41,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.tokenize(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(_table(spark, sf_dir, "documents"))
+
+
 def op7_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.format_pairs(_table(spark, sf_dir, "conversations"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_warc_round_trip": op4_warc_round_trip,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_pii_spans": op6_pii_spans,
     "op7_preference_formatting": op7_preference_formatting,
     "op8_template_decontamination": op8_template_decontamination,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
