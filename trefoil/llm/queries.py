@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trefoil.llm import decontamination, language_id, packing, pii, preference, quality, simhash, toxicity, warc
+from trefoil.llm import decontamination, language_id, packing, pii, preference, pseudo_likelihood, quality, simhash, toxicity, warc
 from trefoil.llm import sql
 from trefoil.llm.words import held_out
 
@@ -57,6 +57,10 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.score(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_quality_ledger": op2_quality_ledger,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_preference_formatting": op7_preference_formatting,
     "op8_template_decontamination": op8_template_decontamination,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_masked_pseudo_likelihood": op10_masked_pseudo_likelihood,
 }
 
 

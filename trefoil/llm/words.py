@@ -57,10 +57,15 @@ def split(texts: pa.Array) -> tuple[np.ndarray, pa.StringArray, np.ndarray]:
     return words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary, kept[ends]
 
 
+def strings(words: pa.StringArray) -> np.ndarray:
+    """The words as an object array, which is faster than Arrow's list of them."""
+    return words.to_numpy(zero_copy_only=False)
+
+
 def characters(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all words, one after the other, and each word's bounds."""
     size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    text = "".join(words.to_pylist())
+    text = "".join(strings(words))
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     return points, np.concatenate([[0], np.cumsum(size)])
 
