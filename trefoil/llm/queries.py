@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from trefoil.llm import decontamination, language_id, packing, pii, preference, pseudo_likelihood, quality, simhash, toxicity, warc
 from trefoil.llm import sql
 from trefoil.llm.words import held_out
@@ -71,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_preference_formatting": op7_preference_formatting,
     "op8_template_decontamination": op8_template_decontamination,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "pipeline": corpus_pipeline.run,
     "op10_masked_pseudo_likelihood": op10_masked_pseudo_likelihood,
 }
 
@@ -80,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(sql.ORACLE)
+    return sql.ORACLE | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
