@@ -1,0 +1,51 @@
+import zlib
+
+import duckdb
+import pyarrow as pa
+
+from tests.conftest import SF
+from trefoil.llm import language_id as L
+from trefoil.llm import queries
+
+SF01 = SF.replace("0.001", "0.01")
+
+
+def rows(sf=SF01):
+    return duckdb.sql(f"select doc_id, text, lang from '{sf}/documents.parquet' order by doc_id").fetchall()
+
+
+def test_held_out_accuracy_and_code_switching():
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    field = L.fit([(t, lang) for i, t, lang in rows() if not held(i) and len(t) < L.TRAIN_CHARS])
+    test = [(t, lang) for i, t, lang in rows() if held(i)]
+    got, score = L.predict(field, pa.array([t for t, _ in test]))
+    assert sum(a == b for a, (_, b) in zip(got, test, strict=True)) >= 0.98 * len(test)
+    assert ((0 <= score) & (score <= 1)).all()
+    # a switched text has both labels, a run each
+    en = next(t for t, lang in test if lang == "en" and 300 < len(t) < 3000 and t.islower() is False and "!" not in t and "|" not in t and "*" not in t)
+    de = next(t for t, lang in test if lang == "de" and 300 < len(t) < 3000 and "!" not in t and "|" not in t and "*" not in t)
+    half = lambda t: " ".join(t.split()[5:45])
+    post, _, _ = L.label_words(field, pa.array([half(en) + " " + half(de)]))
+    best = [field.languages[i] for i in post.argmax(axis=1)]
+    assert best[:30].count("en") >= 27 and best[-30:].count("de") >= 27
+    assert sum(a != b for a, b in zip(best, best[1:], strict=False)) <= 7
+
+
+def test_query_contract(spark):
+    got = queries.op1_language_id(spark, SF).collect()
+    ids = [r.doc_id for r in got]
+    assert len(ids) == len(set(ids)) == len(rows(SF))
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in got)
+    assert {r.lang_pred for r in got} <= {"en", "de", "fr", "es", "und"}
+
+
+def test_nulls_empty_repeats_and_clashing_columns(spark):
+    field = L.fit([("the of and with this", "en"), ("der die das und nicht", "de")] * 8)
+    data = [(1, "the of and", "x", 2.0), (1, "the of and", "y", 3.0), (2, None, None, None), (3, "", "", 0.0), (4, "123 !? 4", "", 0.0), (None, "und der " * 50000, "", 0.0)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, lang_pred string, score double")
+    got = sorted((tuple(r) for r in L.detect(df, field).collect()), key=repr)
+    assert [(r[0], r[1]) for r in got] == [(1, "en"), (1, "en"), (2, "und"), (3, "und"), (4, "und"), (None, "de")]
+    assert all(r[2] == 0 for r in got if r[1] == "und")
+    assert L.detect(df.limit(0), field).collect() == []
+    nothing = spark.createDataFrame([(1, "some text", None)], "doc_id bigint, text string, lang string")
+    assert [tuple(r) for r in L.detect(nothing).collect()] == [(1, "und", 0.0)]
