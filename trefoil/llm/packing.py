@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import zlib
 from bisect import bisect_left, insort
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +25,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trefoil.llm.words import bounded_batches, slices, split
+from trefoil.llm.words import bounded_batches, slices, split, strings
 from trefoil.session import materialize
 
 CAPACITY, END_ID = 2048, 0
 #: Lengths above this share of the capacity are large; they are rounded within so many groups.
-LARGE_SHARE, GROUPS = 1 / 8, 80
+LARGE_SHARE, GROUPS = 1 / 3, 80
 #: Pivots of the configuration program.
 MOST_STEPS = 1500
 #: Words whose ids a task remembers.
 REMEMBERED = 400_000
-#: Pieces of one length that one task ranks.
-RANKED = 50_000
 
 
 #: A word of one token that stands between the words of an encoded line.
@@ -64,24 +63,25 @@ class WordEncoder:
             self.forget()
         new = [w for w in words if w not in self.place]
         plain, odd = [w for w in new if SEPARATOR not in w], [w for w in new if SEPARATOR in w]
-        for some, found in ((plain, self._joined(plain)), (odd, [e.ids for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)])):
-            if some:
-                size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-                self.place.update(zip(some, range(len(self.place), len(self.place) + len(some)), strict=True))
-                self.ids = np.concatenate([self.ids, np.concatenate([np.asarray(x, dtype=np.uint32) for x in found])])
-                self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(size)])
+        apart = [e.ids for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
+        found = [*self._joined(plain), (np.array([i for x in apart for i in x], dtype=np.uint32), np.fromiter(map(len, apart), dtype=np.int64, count=len(apart)))]
+        if new:
+            self.place.update(zip([*plain, *odd], range(len(self.place), len(self.place) + len(new)), strict=True))
+            self.ids = np.concatenate([self.ids, *[ids for ids, _ in found]])
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.concatenate([size for _, size in found]))])
         return np.fromiter((self.place[w] for w in words), dtype=np.int64, count=len(words))
 
-    def _joined(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of words without the separator, from long lines of words between separators: far fewer calls."""
-        out: list[np.ndarray] = []
+    def _joined(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids, and how many each word has, of words without the separator, from long lines of words between separators: far fewer calls."""
+        out: list[tuple[np.ndarray, np.ndarray]] = []
         for i in range(0, len(words), 500):
             some = words[i : i + 500]
             ids = np.array(self.tokenizer.encode_batch_fast([f" {SEPARATOR} ".join(some)], add_special_tokens=False)[0].ids, dtype=np.uint32)
-            at = np.flatnonzero(ids == self.separator)
+            between = ids == self.separator
+            at = np.flatnonzero(between)
             if len(at) != len(some) - 1:
                 raise ValueError("the tokenizer doesn't keep words apart at white space")
-            out += [x[1:] if j else x for j, x in enumerate(np.split(ids, at))]
+            out.append((ids[~between], np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1))
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +91,7 @@ class WordEncoder:
             # fewer distinct words, same ids: letters never join what follows them, and case is folded anyhow
             texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"(\pL)([.,])", r"\1 \2")
         codes, words, bounds = split(texts)
-        place = self.learn(words.to_pylist())
+        place = self.learn(strings(words).tolist())
         start, size = self.bounds[place], np.diff(self.bounds)[place] if len(place) else np.zeros(0, dtype=np.int64)
         each = size[codes]
         ends = np.concatenate([[0], np.cumsum(each)])
@@ -136,15 +136,16 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, columns:
 
 
 def _groups(lengths: list[int], counts: dict[int, int], groups: int) -> list[tuple[int, list[int]]]:
-    """Descending lengths in runs of about equal cardinality: (rounded size, its lengths)."""
-    total = sum(counts[x] for x in lengths)
+    """Descending lengths in runs of about equal cardinality: (rounded size, its lengths). A length that fills a run has its own."""
+    share = sum(counts[x] for x in lengths) / groups if len(lengths) > groups else 0
     out: list[tuple[int, list[int]]] = []
-    seen = 0
+    held = 0
     for x in lengths:
-        if not out or seen * groups // max(total, 1) != (seen - counts[prior]) * groups // max(total, 1):
+        if not out or held + counts[x] > share:
             out.append((x, []))
+            held = 0
         out[-1][1].append(x)
-        seen, prior = seen + counts[x], x
+        held += counts[x]
     return out
 
 
@@ -242,7 +243,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
         room.put(fill(room.open(left[capacity]), capacity))
     large = sorted((x for x, n in left.items() if n and capacity * LARGE_SHARE < x < capacity), reverse=True)
     grouped = _groups(large, left, groups)
-    every = sorted((x for x, n in left.items() if n and x < capacity), reverse=True)
+    rounded = len(grouped) < len(large)
     for pattern, times in configurations([s for s, _ in grouped], [sum(left[x] for x in xs) for _, xs in grouped], capacity):
         # actual lengths: slots take the longest ones their group still has, the last one what fits the room that
         # rounding has left best; a run of equal sequences ends where one of its lengths does
@@ -250,9 +251,10 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
         while times:
             need: dict[int, int] = {}
             for at, g in enumerate(slots):
-                final = at == len(slots) - 1
-                most, among = (capacity - sum(x * n for x, n in need.items()), every) if final else (grouped[g][0], large)
-                x = next((x for x in among[bisect_left(among, -most, key=lambda y: -y) :] if left[x] > need.get(x, 0)), None)
+                # where lengths were rounded, all the room that the others have left is the last slot's
+                final = rounded and at == len(slots) - 1
+                most = capacity - sum(x * n for x, n in need.items()) if final else grouped[g][0]
+                x = next((x for x in large[bisect_left(large, -most, key=lambda y: -y) :] if left[x] > need.get(x, 0)), None)
                 if x is not None:
                     need[x] = need.get(x, 0) + 1
             if len(need) < min(2, len(slots)) and sum(need.values()) < len(slots):
@@ -280,8 +282,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
 
 
 def ranked(pieces: DataFrame, keys: tuple[str, ...], counts: dict[int, int]) -> DataFrame:
-    """``pieces`` with each one's ``rank`` among those of its length. A frequent length is dealt over many tasks by a hash of the keys."""
-    deal = 1 + max(counts.values(), default=0) // RANKED
+    """``pieces`` with each one's ``rank`` among those of its length. A hash of the keys deals a length out in shares: about as many as the most frequent length's shares have pieces, so neither ranking a share nor summing the shares is much work."""
+    deal = 1 + isqrt(max(counts.values(), default=0))
     dealt = pieces.withColumn("__share", F.pmod(F.xxhash64(*keys), F.lit(deal)))
     before = dealt.groupBy("length", "__share").count().withColumn("__before", F.sum("count").over(Window.partitionBy("length").orderBy("__share").rowsBetween(Window.unboundedPreceding, -1)))
     place = F.row_number().over(Window.partitionBy("length", "__share").orderBy(*keys)) - 1
