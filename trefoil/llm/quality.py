@@ -18,6 +18,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trefoil.session import materialize
+
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Rules in bit order: name and condition over the measurements that a document fails by. Bits are never reused.
@@ -77,9 +79,9 @@ def measure(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> DataFram
 
 
 def ledger(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The measurements with ``fail_bits``."""
+    """The measurements with ``fail_bits``, stored: policies read this small table, and no filter on it reaches the texts."""
     bits = sum((F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, rule in enumerate(RULES.values())), F.lit(0)).cast("long")
-    return measure(docs, columns).withColumn("fail_bits", bits)
+    return materialize(measure(docs, columns).withColumn("fail_bits", bits), "ledger")
 
 
 def apply_policy(ledger: DataFrame, rules: tuple[str, ...], name: str = "kept") -> DataFrame:
