@@ -1,9 +1,15 @@
 """Text sources, sinks, arguments, transformers, command line and streams."""
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 from trefoil import cli
 from trefoil.plans.transformers import TriangleCounter
+from trefoil.session import discard, materialize
 from trefoil.sources.edges import delimiter, load, parse_args, save
 from trefoil.streaming.edges import distinct_pairs, running_degrees
 
@@ -27,14 +33,31 @@ def test_load_drops_what_does_not_parse(spark, tmp_path):
 def test_save_round_trip_and_cli(spark, tmp_path):
     (tmp_path / "e.txt").write_text("1\t2\n2\t3\n3\t1\n2\t1\n")
     out = str(tmp_path / "out")
-    row = cli.run(spark, [f"input:{tmp_path}/e.txt", f"output:{out}", "sep:tab", "directed:true", "algo:fast", "partitionNum:3", "storageLevel:MEMORY_AND_DISK"])
+    row = cli.run(spark, [f"input:{tmp_path}/e.txt", f"output:{out}", "sep:tab", "directed:true", "algo:fast", "partitionNum:3", "storageLevel:MEMORY_AND_DISK", f"cpDir:{tmp_path}/cp"])
     assert list(row.collect()[0]) == [0, 0, 0, 0, 1, 0, 0]
     text = "".join(p.read_text() for p in (tmp_path / "out").glob("part-*"))
     assert text == "0\t0\t0\t0\t1\t0\t0\n"
+    assert not spark.sparkContext._jsc.getPersistentRDDs() and (tmp_path / "cp").exists()
+    spark.conf.unset("spark.trefoil.shared.dir")
     save(spark.range(1), out)
     assert cli.run(spark, [f"input:{tmp_path}/e.txt", "sep:tab"]).collect()[0][0] == 1.0
 
 
+def test_command_line_starts_as_a_file(tmp_path):
+    (tmp_path / "e.txt").write_text("1 2\n2 3\n3 1\n")
+    script = Path(cli.__file__)
+    done = subprocess.run([sys.executable, str(script), "mode:local[1]", f"input:{tmp_path}/e.txt", f"output:{tmp_path}/out"], capture_output=True, text=True, timeout=300, cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert "".join(p.read_text() for p in (tmp_path / "out").glob("part-*")) == "1.0\n"
+
+
+def test_written_tables_are_discarded(spark):
+    table = materialize(spark.range(3), "gone")
+    files = table.inputFiles()
+    discard(table)
+    assert files and not any(Path(f.removeprefix("file:")).exists() for f in files)
+
+
 def test_transformer_params(spark, tmp_path):
     df = spark.createDataFrame([(1, 2, "x"), (2, 3, "y"), (1, 3, "z")], "f bigint, t bigint, src string")
     t = TriangleCounter(srcNodeIdCol="f", dstNodeIdCol="t")
@@ -45,7 +68,7 @@ def test_transformer_params(spark, tmp_path):
 
 
 def test_streams(spark, tmp_path):
-    rows = [(1, 2, 0), (2, 1, 10), (2, 3, 20), (3, 3, 30), (1, 2, 40)]
+    rows = [(1, None, 5), (1, 2, 0), (2, 1, 10), (2, 3, 20), (3, 3, 30), (1, 2, 40)]
     spark.createDataFrame(rows, "src bigint, dst bigint, s int").selectExpr("src", "dst", "timestamp_seconds(s) as ts").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("src bigint, dst bigint, ts timestamp").parquet(str(tmp_path / "in"))
     for name, df, mode in (("deg", running_degrees(stream), "complete"), ("pairs", distinct_pairs(stream, "ts", "1 hour"), "append")):

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trefoil.functions.classify import triad_code
+from trefoil.functions.classify import flip, tag_of, triad_code
 from trefoil.operators import normalize as N
 from trefoil.operators import orient as O
+from trefoil.session import materialize
 
 
 def wedges(edges: DataFrame, tags: bool = False, degree_filter: bool = False) -> DataFrame:
@@ -36,13 +37,23 @@ def classified_wedges(edges: DataFrame, degree_filter: bool = False) -> DataFram
 
 
 def triangles(oriented: DataFrame) -> DataFrame:
-    """Each triangle once as ``(x, y, z)`` in the orientation's order, with pair masks if there are any."""
+    """Each triangle once as ``(x, y, z)`` in the order of ids, ``middle`` being the second one in the orientation's order, with pair masks if there are any.
+
+    Wedges hang on their lowest end, so the orientation decides how many there are. The oriented pairs are used three times
+    and written once.
+    """
     masks = "mask" in oriented.columns
+    oriented = materialize(oriented, "oriented")
     m = lambda name: [F.col("mask").alias(name)] if masks else []
-    first = oriented.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("kb").alias("ky"), *m("xy"))
-    second = oriented.select(F.col("a").alias("x"), F.col("b").alias("z"), F.col("kb").alias("kz"), *m("xz"))
-    third = oriented.select(F.col("a").alias("y"), F.col("b").alias("z"), *m("yz"))
-    return first.join(second, "x").where("ky < kz").drop("ky", "kz").join(third, ["y", "z"]).select("x", "y", "z", *(["xy", "yz", "xz"] if masks else []))
+    first = oriented.select("a", "b", F.col("wb").alias("w"), *m("ab"))
+    second = oriented.select("a", F.col("b").alias("c"), "wb", *m("ac"))
+    third = oriented.select(F.col("a").alias("b"), F.col("b").alias("c"), *m("bc"))
+    found = first.join(second, "a").where("w < wb or (w = wb and b < c)").join(third, ["b", "c"])
+    x, z = F.least("a", "b", "c"), F.greatest("a", "b", "c")
+    without = lambda v: F.when(F.col("c") == v, F.col("ab")).when(F.col("a") == v, F.col("bc")).otherwise(F.col("ac"))
+    y = F.when((F.col("a") != x) & (F.col("a") != z), F.col("a")).when((F.col("b") != x) & (F.col("b") != z), F.col("b")).otherwise(F.col("c"))
+    pairs = [without(z).alias("xy"), without(x).alias("yz"), without(y).alias("xz")] if masks else []
+    return found.select(x.alias("x"), y.alias("y"), z.alias("z"), F.col("b").alias("middle"), *pairs)
 
 
 def classified(oriented: DataFrame) -> DataFrame:
@@ -50,12 +61,18 @@ def classified(oriented: DataFrame) -> DataFrame:
     return triangles(oriented).withColumn("code", triad_code(F.col("xy"), F.col("yz"), F.col("xz")))
 
 
+def target_counts(oriented: DataFrame) -> DataFrame:
+    """``(v, code, n)``: each pair sends its lower end's other pairs to its upper end, which classifies those that its own pairs close and adds them up."""
+    return classified(oriented).groupBy(F.col("middle").alias("v"), "code").agg(F.count("*").alias("n"))
+
+
 def common_neighbors(oriented: DataFrame, each: DataFrame | None = None) -> DataFrame:
     """``(a, b, common)``: out-neighbours shared by the ends of each pair, by array intersection.
 
     Arrays are bounded by the largest out-degree, so give hub-heavy graphs a degree orientation.
     ``each`` are the pairs to look at, by default the oriented ones.
     """
+    oriented = materialize(oriented, "oriented")
     out = oriented.groupBy("a").agg(F.collect_list("b").alias("out"))
     look = (oriented if each is None else each).select("a", "b")
     both = look.join(out.withColumnRenamed("out", "out_a"), "a").join(out.select(F.col("a").alias("b"), F.col("out").alias("out_b")), "b")
@@ -84,11 +101,20 @@ def classified_edge_iter_plus(edges: DataFrame, guard: bool = True) -> DataFrame
 
 
 def per_edge_common(edges: DataFrame, code: bool = False) -> DataFrame:
-    """Every pair with each common neighbour w; three rows per triangle, with class codes if asked."""
-    side = N.tagged(edges)
+    """Every pair with each common neighbour w; three rows per triangle, with class codes if asked.
+
+    A pair looks through the neighbours of its end with the lower degree only, so a hub's are never looked through for each of its pairs.
+    """
+    oriented = materialize(O.by_degree(N.canonical(edges)), "oriented")
+    a, b, mask = F.col("a"), F.col("b"), F.col("mask")
+    # masks count from the smaller id, tags from the vertex that owns the row
+    tag = lambda v, nbr: tag_of(F.when(v < nbr, mask).otherwise(flip(mask))).alias("tag")
+    both = F.explode(F.array(F.struct(a.alias("v"), b.alias("nbr"), tag(a, b)), F.struct(b.alias("v"), a.alias("nbr"), tag(b, a))))
+    side = oriented.select(both.alias("e")).select("e.*")
     at = lambda end: side.select(F.col("v").alias(end), F.col("nbr").alias("w"), F.col("tag").alias(f"tag_{end}"))
-    found = N.canonical(edges).join(at("a"), "a").join(at("b"), ["b", "w"])
+    turned = F.when(a < b, mask).otherwise(flip(mask)).alias("mask")
+    found = oriented.select("a", "b", turned).join(at("a"), "a").where("w <> b").join(at("b"), ["b", "w"])
     return found.withColumn("code", triad_code(F.col("mask"), F.col("tag_b") + 1, F.col("tag_a") + 1)) if code else found
 
 
-__all__ = ["wedges", "closed_wedges", "classified_wedges", "triangles", "classified", "common_neighbors", "edge_iter_plus", "classified_edge_iter_plus", "per_edge_common"]
+__all__ = ["wedges", "closed_wedges", "classified_wedges", "triangles", "classified", "target_counts", "common_neighbors", "edge_iter_plus", "classified_edge_iter_plus", "per_edge_common"]

@@ -9,35 +9,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trefoil.functions.classify import flip
 from trefoil.operators import normalize as N
 from trefoil.operators import stats as S
 
 
-def _oriented(pairs: DataFrame, up) -> DataFrame:
-    mask = [F.when(up, F.col("mask")).otherwise(flip(F.col("mask"))).alias("mask")] if "mask" in pairs.columns else []
-    return pairs.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("b"), F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb"), *mask)
-
-
-def _keyed(pairs: DataFrame, key: DataFrame) -> DataFrame:
-    """Pairs with their ends' order keys ``ka``, ``kb``; Spark broadcasts the keys only if AQE measures them small."""
-    at = lambda end: key.select(F.col("v").alias(end), F.col("k").alias(f"k{end}"))
-    return pairs.join(at("a"), "a").join(at("b"), "b")
+def _oriented(pairs: DataFrame) -> DataFrame:
+    """``(a, b, wa, wb[, mask])`` with (wa, a) below (wb, b). Masks stay as seen from the end with the smaller id."""
+    up = F.expr("wa < wb or (wa = wb and a < b)")
+    turned = {p + q: F.when(up, F.col(p + q)).otherwise(F.col(p + o)) for p in ("", "w") for q, o in ("ab", "ba")}
+    return pairs.select(*[c.alias(name) for name, c in turned.items()], *(["mask"] if "mask" in pairs.columns else []))
 
 
 def by_id(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumns({"ka": F.struct(F.lit(0).cast("long").alias("w"), F.col("a").alias("v")), "kb": F.struct(F.lit(0).cast("long").alias("w"), F.col("b").alias("v"))})
+    return pairs.withColumns({"wa": F.lit(0).cast("long"), "wb": F.lit(0).cast("long")})
 
 
 def by_degree(pairs: DataFrame) -> DataFrame:
-    key = S.pair_degrees(pairs).select("v", F.struct(F.col("degree").alias("w"), "v").alias("k"))
-    keyed = _keyed(pairs, key)
-    return _oriented(keyed, F.col("ka") < F.col("kb"))
+    """Spark broadcasts the degrees only if AQE measures them small."""
+    degree = S.pair_degrees(pairs)
+    at = lambda end: degree.select(F.col("v").alias(end), F.col("degree").alias(f"w{end}"))
+    return _oriented(pairs.join(at("a"), "a").join(at("b"), "b"))
 
 
-def heavy_vertices(edges: DataFrame) -> DataFrame:
-    """``(v, degree)`` of vertices with more than sqrt(n) higher neighbours, n counting all vertices."""
-    n = S.vertex_count(edges)
+def heavy_vertices(edges: DataFrame, of: str = "all") -> DataFrame:
+    """``(v, degree)`` of vertices with more than sqrt(n) higher neighbours, n counting ``all`` vertices or those that are the ``lower`` end of a pair."""
+    n = S.vertex_count(edges) if of == "all" else N.pairs(edges).agg(F.count_distinct("a").alias("vertices"))
     return S.reduced_degrees(edges).join(F.broadcast(n)).where("degree > sqrt(vertices)").select("v", "degree")
 
 
@@ -54,13 +50,17 @@ def reindex_map(edges: DataFrame) -> DataFrame:
     return place.join(below.select("degree", "below"), "degree").join(F.broadcast(top)).select("v", (F.col("max_vertex") + F.coalesce("below", F.lit(0)) + F.col("place")).alias("new_id"))
 
 
-def by_heavy(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+def by_heavy(pairs: DataFrame, edges: DataFrame, of: str = "all") -> DataFrame:
     """Heavy vertices last, by reduced degree then id; the others by id. No ranking is needed to compare."""
-    heavy = heavy_vertices(edges)
+    heavy = heavy_vertices(edges, of)
     at = lambda end: heavy.select(F.col("v").alias(end), F.col("degree").alias(f"w{end}"))
-    key = lambda end: F.struct(F.coalesce(f"w{end}", F.lit(0)).alias("w"), F.col(end).alias("v")).alias(f"k{end}")
-    keyed = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").withColumns({"ka": key("a"), "kb": key("b")})
-    return _oriented(keyed, F.col("ka") < F.col("kb"))
+    weight = lambda end: F.coalesce(f"w{end}", F.lit(0).cast("long"))
+    return _oriented(pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").withColumns({"wa": weight("a"), "wb": weight("b")}))
+
+
+def rehomed(edges: DataFrame) -> DataFrame:
+    """``(v, nbr, moved)``: each pair under the end that is lower among heavy vertices; ``moved`` says that by id it was the other end's."""
+    return by_heavy(N.pairs(edges), edges, "lower").select(F.col("a").alias("v"), F.col("b").alias("nbr"), (F.col("a") > F.col("b")).alias("moved"))
 
 
 def reindexed_edges(edges: DataFrame) -> DataFrame:

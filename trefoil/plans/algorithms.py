@@ -17,8 +17,8 @@ DIRECTED = ("node_iter", "node_iter_plus", "edge_iter", "edge_iter_plus", "fast"
 def _oriented(edges: DataFrame, algo: str, masks: bool) -> DataFrame:
     pairs = N.canonical(edges) if masks else N.pairs(edges)
     if algo in ("fast_v3", "fast_v4") and not masks:
-        return O.by_heavy(pairs, edges)
-    return O.by_id(pairs) if algo == "fast" else O.by_degree(pairs)
+        return O.by_heavy(pairs, edges, "lower" if algo == "fast_v3" else "all")
+    return O.by_degree(pairs)
 
 
 def _count(rows: DataFrame, divisor: int = 1) -> DataFrame:
@@ -28,6 +28,8 @@ def _count(rows: DataFrame, divisor: int = 1) -> DataFrame:
 def triangle_count(edges: DataFrame, algo: str = "fast_v2", ties: str = "drop") -> DataFrame:
     """One row ``(TriangleNum double)``; 0.0 for an empty graph.
 
+    ``fast`` joins the degree-ordered pairs three ways, ``fast_v2`` intersects their lists, ``fast_v3`` and ``fast_v4`` order
+    only heavy vertices by degree (each with its own threshold) and intersect or join, the iterators close wedges or edges.
     All algorithms are exact but the two ``*_plus``, which by definition leave out triangles whose lowest
     (node) or highest (edge) degree is tied; ``ties='break'`` makes these exact too.
     """
@@ -37,14 +39,13 @@ def triangle_count(edges: DataFrame, algo: str = "fast_v2", ties: str = "drop")
     if algo == "node_iter":
         return _count(K.closed_wedges(edges), 3)
     if algo == "edge_iter":
-        both = N.tagged(edges).select(F.col("v").alias("a"), F.col("nbr").alias("b"))
-        return K.common_neighbors(both, N.pairs(edges)).agg((F.coalesce(F.sum("common"), F.lit(0)) / F.lit(3)).cast("double").alias("TriangleNum"))
+        return _count(K.per_edge_common(edges), 3)
     if algo == "node_iter_plus" and ties == "drop":
         return _count(K.closed_wedges(edges, degree_filter=True))
     if algo == "edge_iter_plus" and ties == "drop":
         return _count(K.edge_iter_plus(edges))
     oriented = _oriented(edges, algo, masks=False)
-    if algo in ("node_iter_plus", "fast_v4"):
+    if algo in ("node_iter_plus", "fast", "fast_v4"):
         return _count(K.triangles(oriented))
     return K.common_neighbors(oriented).agg(F.coalesce(F.sum("common"), F.lit(0)).cast("double").alias("TriangleNum"))
 
@@ -67,4 +68,7 @@ def triad_census(edges: DataFrame, algo: str = "fast_v2", ties: str = "drop") ->
         return census(K.classified_wedges(edges, degree_filter=True))
     if algo == "edge_iter_plus" and ties == "drop":
         return census(K.classified_edge_iter_plus(edges))
-    return census(K.classified(_oriented(edges, algo, masks=True)))
+    oriented = _oriented(edges, algo, masks=True)
+    if algo == "fast_v3":
+        return K.target_counts(oriented).agg(*[F.coalesce(F.sum(F.when(F.col("code") == i, F.col("n"))), F.lit(0)).cast("long").alias(name) for i, name in enumerate(TRIAD_CLASSES)])
+    return census(K.classified(oriented))

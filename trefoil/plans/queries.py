@@ -11,6 +11,8 @@ from trefoil.operators import normalize as N
 from trefoil.operators import orient as O
 from trefoil.operators import stats as S
 from trefoil.plans.algorithms import DIRECTED, UNDIRECTED, triad_census, triangle_count
+from trefoil.session import scratch
+from trefoil.sources.edges import load
 from trefoil.sources.tables import next_part, part_supplier
 
 GRAPHS = {"ps": part_supplier, "np": next_part}
@@ -20,13 +22,13 @@ SOURCE = {
 }
 CTES = """WITH raw AS ({source}),
 sym AS (SELECT src v, dst nbr FROM raw UNION SELECT dst, src FROM raw),
-canon AS (SELECT least(src, dst) a, greatest(src, dst) b, bit_or(CASE WHEN src < dst THEN 1 ELSE 2 END) mask FROM raw WHERE src <> dst GROUP BY 1, 2),
-adj AS (SELECT a v, b nbr, mask FROM canon UNION ALL SELECT b, a, CASE mask WHEN 3 THEN 3 ELSE 3 - mask END FROM canon),
-deg AS (SELECT v, count(*) FILTER (v <> nbr) d FROM sym GROUP BY v),
+canon AS MATERIALIZED (SELECT least(src, dst) a, greatest(src, dst) b, bit_or(CASE WHEN src < dst THEN 1 ELSE 2 END) mask FROM raw WHERE src <> dst GROUP BY 1, 2),
+adj AS MATERIALIZED (SELECT a v, b nbr, mask FROM canon UNION ALL SELECT b, a, CASE mask WHEN 3 THEN 3 ELSE 3 - mask END FROM canon),
+deg AS MATERIALIZED (SELECT v, count(*) FILTER (v <> nbr) d FROM sym GROUP BY v),
 red AS (SELECT a v, count(*) d FROM canon GROUP BY a),
 heavy AS (SELECT v, d FROM red WHERE d > sqrt((SELECT count(*) FROM deg))),
 remap AS (SELECT v, (SELECT max(greatest(src, dst)) FROM raw) + row_number() OVER (ORDER BY d, v) nv FROM heavy),
-up AS (SELECT v, nbr, mask FROM adj JOIN deg x USING (v) JOIN deg y ON y.v = nbr WHERE y.d > x.d),
+up AS MATERIALIZED (SELECT v, nbr, mask FROM adj JOIN deg x USING (v) JOIN deg y ON y.v = nbr WHERE y.d > x.d),
 upn AS (SELECT v, count(*) n FROM up GROUP BY v),
 wedge AS (SELECT l.v v, l.nbr a, r.nbr b, l.mask ma, r.mask mb FROM adj l JOIN adj r ON l.v = r.v AND l.nbr < r.nbr),
 wedge_up AS (SELECT l.v v, l.nbr a, r.nbr b, l.mask ma, r.mask mb FROM up l JOIN up r ON l.v = r.v AND l.nbr < r.nbr),
@@ -42,6 +44,13 @@ WHEN (xy, yz, xz) IN ((3, 1, 1), (2, 3, 2), (1, 2, 3)) THEN 2 ELSE 4 END"""
 CENSUS = ", ".join(f"CAST(count(*) FILTER (code = {i}) AS BIGINT) {name}" for i, name in enumerate(TRIAD_CLASSES))
 
 
+def _round_trip(edges: DataFrame) -> DataFrame:
+    """The edges written as delimited text and loaded again."""
+    path = scratch(edges.sparkSession, "edge-text")
+    edges.write.option("sep", "\t").csv(path)
+    return load(edges.sparkSession, path, sep="\t")
+
+
 def _listed(df: DataFrame) -> DataFrame:
     """Adjacency with the list as text, the same in any engine."""
     return df.select("v", F.array_join(F.transform("nbrs", lambda x: x.cast("string")), ",").alias("nbrs"))
@@ -67,6 +76,11 @@ def _wedge_counts(edges: DataFrame) -> DataFrame:
     return K.wedges(edges).agg(F.count("*").alias("candidates"))
 
 
+def _partition_sizes(edges: DataFrame) -> DataFrame:
+    """Of the pairs, all in one partition, which is the only layout that doesn't depend on the session."""
+    return S.partition_sizes(N.pairs(edges).coalesce(1))
+
+
 LIST = "SELECT v, array_to_string(list(nbr ORDER BY nbr), ',') nbrs FROM {of} GROUP BY v"
 #: name: (graph, edges -> rows, SQL after the CTEs)
 QUERIES = {
@@ -98,13 +112,26 @@ QUERIES = {
     "oriented_by_degree_strict": ("ps", lambda e: O.higher_degree_neighbors(e, "drop"), "SELECT v, nbr FROM up"),
     "oriented_by_degree": ("ps", O.higher_degree_neighbors, "SELECT v, nbr FROM adj JOIN deg x USING (v) JOIN deg y ON y.v = nbr WHERE (y.d, nbr) > (x.d, v)"),
     "heavy_vertices": ("ps", O.heavy_vertices, "SELECT v, d degree FROM heavy"),
+    "heavy_vertices_lower": ("ps", lambda e: O.heavy_vertices(e, "lower"), "SELECT v, d degree FROM red WHERE d > sqrt((SELECT count(*) FROM red))"),
+    "rehomed_pairs": ("ps", O.rehomed, """SELECT CASE WHEN up THEN a ELSE b END v, CASE WHEN up THEN b ELSE a END nbr, NOT up moved FROM
+(SELECT a, b, (coalesce(x.d, 0), a) < (coalesce(y.d, 0), b) up FROM canon LEFT JOIN (SELECT * FROM red WHERE d > sqrt((SELECT count(*) FROM red))) x ON x.v = a LEFT JOIN (SELECT * FROM red WHERE d > sqrt((SELECT count(*) FROM red))) y ON y.v = b)"""),
     "reindex_map": ("ps", O.reindex_map, "SELECT v, CAST(nv AS BIGINT) new_id FROM remap"),
     "reindexed_edges": ("ps", O.reindexed_edges, "SELECT CAST(least(x, y) AS BIGINT) a, CAST(greatest(x, y) AS BIGINT) b FROM (SELECT coalesce(i.nv, a) x, coalesce(j.nv, b) y FROM canon LEFT JOIN remap i ON i.v = a LEFT JOIN remap j ON j.v = b)"),
     "closed_wedges": ("np", lambda e: K.closed_wedges(e).agg(F.count("*").alias("closed")), "SELECT 3 * count(*) closed FROM tri"),
     "common_neighbors": ("np", lambda e: K.common_neighbors(O.by_id(N.pairs(e))).where("common > 0"), "SELECT p.a, p.b, count(*) common FROM canon p JOIN canon q ON q.a = p.a JOIN canon r ON r.a = p.b AND r.b = q.b GROUP BY 1, 2"),
-    "triangle_list": ("ps", lambda e: K.triangles(O.by_id(N.pairs(e))), "SELECT x, y, z FROM tri"),
+    "triangle_list": ("ps", lambda e: K.triangles(O.by_degree(N.pairs(e))).select("x", "y", "z"), "SELECT x, y, z FROM tri"),
     "triangle_list_by_degree": ("ps", lambda e: K.triangles(O.by_degree(N.pairs(e))).agg(F.count("*").alias("n"), F.sum(F.col("x") + F.col("y") + F.col("z")).alias("ids")), "SELECT count(*) n, CAST(sum(x + y + z) AS BIGINT) ids FROM tri"),
-    "classified_triangles": ("ps", lambda e: K.classified(O.by_id(N.canonical(e))).select("x", "y", "z", triad_name(F.col("code")).alias("class")), f"SELECT x, y, z, ({list(TRIAD_CLASSES)})[1 + {CODE}] AS class FROM tri"),
+    "classified_triangles": ("ps", lambda e: K.classified(O.by_degree(N.canonical(e))).select("x", "y", "z", triad_name(F.col("code")).alias("class")), f"SELECT x, y, z, ({list(TRIAD_CLASSES)})[1 + {CODE}] AS class FROM tri"),
+}
+TARGET = f"SELECT v, code, count(*) n FROM (SELECT CAST({CODE} AS INT) code, list_sort([(dx.d, x), (dy.d, y), (dz.d, z)])[2][2] v FROM tri JOIN deg dx ON dx.v = x JOIN deg dy ON dy.v = y JOIN deg dz ON dz.v = z) GROUP BY 1, 2"
+QUERIES |= {
+    "partition_sizes": ("ps", _partition_sizes, "SELECT count(*) smallest, count(*) largest FROM canon"),
+    "census_by_target": ("ps", lambda e: K.target_counts(O.by_degree(N.canonical(e))), TARGET),
+    "edge_iter_plus_unguarded": ("np", lambda e: K.edge_iter_plus(e, guard=False).agg(F.count("*").alias("n")), "SELECT count(*) n FROM canon c JOIN up p ON p.v = c.a JOIN up q ON q.v = c.b AND q.nbr = p.nbr"),
+    "tri_node_iter_plus_exact": ("np", lambda e: triangle_count(e, "node_iter_plus", ties="break"), "SELECT CAST(count(*) AS DOUBLE) TriangleNum FROM tri"),
+    "tri_edge_iter_plus_exact": ("np", lambda e: triangle_count(e, "edge_iter_plus", ties="break"), "SELECT CAST(count(*) AS DOUBLE) TriangleNum FROM tri"),
+    "census_node_iter_plus_exact": ("np", lambda e: triad_census(e, "node_iter_plus", ties="break"), f"SELECT {CENSUS} FROM (SELECT {CODE} code FROM tri)"),
+    "edge_text_round_trip": ("np", _round_trip, "SELECT src, dst FROM raw"),
 }
 EXACT = "SELECT CAST(count(*) AS DOUBLE) TriangleNum FROM {of}"
 OF = {"node_iter_plus": "low", "edge_iter_plus": "high"}

@@ -40,4 +40,10 @@ class TriangleCounter(Transformer, DefaultParamsReadable, DefaultParamsWritable)
             edges = edges.repartition(n, "src", "dst")
         if level := get(self.storageLevel):
             edges = edges.persist(getattr(StorageLevel, level))
-        return (triad_census if get(self.isDirected) else triangle_count)(edges, get(self.algo), get(self.ties))
+        result = (triad_census if get(self.isDirected) else triangle_count)(edges, get(self.algo), get(self.ties))
+        if not level:
+            return result
+        # the result is one row, so it is worked out here and the edges are let go
+        row = dataset.sparkSession.createDataFrame(result.collect(), result.schema)
+        edges.unpersist()
+        return row

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_homes: set[str] = set()
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
     Clusters name it in ``spark.checkpoint.dir``. Only where that is unset (a local session, as in the
     tests) is a temporary folder made, and it is written back to the session so later calls agree.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.trefoil.shared.dir", None)
+    found = spark.conf.get("spark.trefoil.shared.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
@@ -23,9 +28,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """The path and its file system, as the driver's JVM has them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the application's own folder under the shared one, which is deleted when the driver ends."""
+    home = f"{shared_dir(spark)}/trefoil-{spark.sparkContext.applicationId}"
+    if home not in _homes:
+        at, system = _hadoop(spark, home)
+        system.mkdirs(at)
+        system.deleteOnExit(at)
+        _homes.add(home)
+    return f"{home}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -33,4 +50,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _written[found] = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what :func:`materialize` wrote for these tables, once nothing that is still to run reads them."""
+    for table in tables:
+        if path := _written.pop(table, None):
+            at, system = _hadoop(table.sparkSession, path)
+            system.delete(at, True)

@@ -15,5 +15,5 @@ def running_degrees(edges: DataFrame) -> DataFrame:
 
 def distinct_pairs(edges: DataFrame, time: str, delay: str) -> DataFrame:
     """Each unordered pair once within the watermark ``delay`` of column ``time``; state older than that is dropped."""
-    pairs = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.col(time)).where("a <> b")
+    pairs = edges.where("src is not null and dst is not null").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.col(time)).where("a <> b")
     return pairs.withWatermark(time, delay).dropDuplicatesWithinWatermark(["a", "b"])
