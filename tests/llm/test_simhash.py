@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from trefoil.llm import components, queries
@@ -65,11 +66,26 @@ def chains(spark, n=400, seed=4):
         for b in rng.sample(range(64), rng.choice([0, 1, 2, 3, 4, 5, 7, 9])):
             x ^= 1 << b
         values.add(x)
-    ids = list(range(n))
-    rows = list(zip(sorted(values), ids, strict=True))
-    df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)), i) for f, i in rows], "fp bigint, id bigint")
-    want = roots(ids, [(a[1], b[1]) for a, b in combinations(rows, 2) if (a[0] ^ b[0]).bit_count() <= 4])
-    return df, want
+    return linked_frame(spark, values)
+
+
+def linked_frame(spark, values):
+    rows = [(f, int(np.uint64(f).astype(np.int64))) for f in sorted(values)]
+    want = roots([i for _, i in rows], [(a[1], b[1]) for a, b in combinations(rows, 2) if (a[0] ^ b[0]).bit_count() <= 4])
+    return spark.createDataFrame([(i,) for _, i in rows], "fp bigint"), want
+
+
+def test_pairs_that_share_four_bytes_only_are_found_in_split_postings(spark, monkeypatch):
+    rng = random.Random(12)
+    values = {rng.getrandbits(32) for _ in range(150)}
+    for x in list(values)[:60]:
+        # one bit in each of the four bytes that are not the same for all
+        values.add(x ^ sum(1 << (8 * b + rng.randrange(8)) for b in range(4)))
+    df, want = linked_frame(spark, values)
+    assert len(set(want.values())) < len(want)
+    for limit in (H.OVERSIZE, 20):
+        monkeypatch.setattr(H, "OVERSIZE", limit)
+        assert roots(want, [(r.u, r.v) for r in H.links(df).distinct().collect()]) == want
 
 
 def test_links_span_the_same_components(spark, monkeypatch):
@@ -96,4 +112,24 @@ def test_nulls_repeats_and_clashing_columns(spark):
     got = sorted(map(tuple, H.near_duplicates(df).collect()), key=repr)
     f = f"{plain_fingerprint('same words in this text'):016x}"
     assert got == sorted([(3, "0" * 16, 2), (2, "0" * 16, 2), (5, f, 4), (5, f, 4), (4, f, 4), (None, f, 4), (None, f"{plain_fingerprint('other'):016x}", None)], key=repr)
+    kept = H.representatives(df, ("doc_id", "text")).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([(2, ""), (4, "SAME words  in this\ntext"), (None, "other")], key=repr)
     assert H.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_null_ids_bridge_components(spark, monkeypatch):
+    prints = {"a": 0x0F, "b": 0xFF, "c": 0xFFF}
+    made = lambda docs, columns=("doc_id",): docs.withColumn("fp", F.create_map(*[F.lit(x) for kv in prints.items() for x in kv])[F.col("text")].cast("bigint")).select(*columns, "fp")
+    monkeypatch.setattr(H, "fingerprints", made)
+    df = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c")], "doc_id bigint, text string")
+    assert {(r.doc_id, r.component_id) for r in H.near_duplicates(df).collect()} == {(1, 1), (None, 1), (2, 1)}
+    assert [tuple(r) for r in H.representatives(df, ("doc_id", "text")).collect()] == [(1, "a")]
+
+
+def test_representatives_are_rows(spark):
+    a, b, c = "one text that has a copy", "another text without any copy at all", "third text of the same id but not of the same words"
+    data = [(1, a), (5, a), (5, b), (5, c), (None, a), (None, a), (None, "only here under no id at all"), (None, "only here under no id at all"), (7, c)]
+    for rows in (data, data[::-1]):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+        kept = sorted(map(tuple, H.representatives(df, ("doc_id", "text")).collect()), key=repr)
+        assert kept == sorted([(1, a), (5, b), (5, c), (None, "only here under no id at all")], key=repr)

@@ -281,18 +281,19 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
     return sorted(out)
 
 
-def ranked(pieces: DataFrame, keys: tuple[str, ...], counts: dict[int, int]) -> DataFrame:
-    """``pieces`` with each one's ``rank`` among those of its length. A hash of the keys deals a length out in shares: about as many as the most frequent length's shares have pieces, so neither ranking a share nor summing the shares is much work."""
+def ranked(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """``pieces`` with each one's ``rank`` among those of its length. A hash of the row numbers ``__row`` deals a length out in shares, whatever the ids are: about as many as the most frequent length's shares have pieces, so neither ranking a share nor summing the shares is much work."""
     deal = 1 + isqrt(max(counts.values(), default=0))
-    dealt = pieces.withColumn("__share", F.pmod(F.xxhash64(*keys), F.lit(deal)))
+    dealt = pieces.withColumn("__share", F.pmod(F.xxhash64("__row"), F.lit(deal)))
     before = dealt.groupBy("length", "__share").count().withColumn("__before", F.sum("count").over(Window.partitionBy("length").orderBy("__share").rowsBetween(Window.unboundedPreceding, -1)))
-    place = F.row_number().over(Window.partitionBy("length", "__share").orderBy(*keys)) - 1
-    return dealt.withColumn("rank", place).join(before.drop("count"), ["length", "__share"]).withColumn("rank", F.col("rank") + F.coalesce("__before", F.lit(0))).drop("__share", "__before")
+    place = F.row_number().over(Window.partitionBy("length", "__share").orderBy("__row")) - 1
+    return dealt.withColumn("rank", place).join(before.drop("count"), ["length", "__share"]).withColumn("rank", F.col("rank") + F.coalesce("__before", F.lit(0))).drop("__share", "__before", "__row")
 
 
-def pack(pieces: DataFrame, keys: tuple[str, ...] = ("doc_id", "piece"), capacity: int = CAPACITY) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (any columns, ``length`` from 1 to ``capacity``) with ``sequence_id`` and ``offset``."""
-    pieces = materialize(pieces, "pieces")
+    # numbers are written with the rows, so that a task that runs again finds the same ones
+    pieces = materialize(pieces.withColumn("__row", F.monotonically_increasing_id()), "pieces")
     counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     if any(not 0 < x <= capacity for x in counts):
         raise ValueError(f"lengths must be from 1 to {capacity}")
@@ -308,7 +309,7 @@ def pack(pieces: DataFrame, keys: tuple[str, ...] = ("doc_id", "piece"), capacit
             kept = [i for i, name in enumerate(batch.schema.names) if name != "rank"]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(row[:, 3] + rank - row[:, 1]), pa.array(row[:, 4])], [*[batch.schema.names[i] for i in kept], "sequence_id", "offset"])
 
-    given = ranked(pieces, keys, counts)
+    given = ranked(pieces, counts)
     given = given.withColumn("rank", F.col("rank").cast("bigint"))
     shape = [f"`{n}` {t}" for n, t in given.dtypes if n != "rank"]
     return given.mapInArrow(look_up, ", ".join([*shape, "sequence_id bigint", "offset bigint"]))

@@ -9,17 +9,18 @@ of a pair are tallied, pairs under the minimum are dropped, and the rest are ver
 Within a posting links are found by flooding: a fingerprint is compared with those no link has reached yet, so a
 large group of near copies yields a spanning tree and never all its pairs, while every link between different
 components is found. Postings over ``OVERSIZE`` are first dealt out anew by a fourth byte, which loses nothing
-because linked pairs share four.
+because linked pairs share four, and what is still oversize then by three half bytes of the other four.
 
 Defined results: null and word-less texts have fingerprint zero and link like any other; equal texts share a
-fingerprint, which enters the index once however many copies it has; rows with a null doc_id keep their
-fingerprint, take the component of equal fingerprints, and link nothing else; only the named columns are read;
-an empty table gives no rows.
+fingerprint, which enters the index once however many copies it has; rows with a null doc_id link like any other but
+never name a component (a component of such rows only has a null name); only the named columns are read; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -92,16 +93,28 @@ def _byte(i: int):
 
 
 def postings(nodes: DataFrame) -> DataFrame:
-    """``(kind, key, fp, id)``: each distinct fingerprint under its 20 keys of three positional bytes."""
+    """``(kind, key, fp)``: each distinct fingerprint under its 20 keys of three positional bytes."""
     keys = [F.struct(F.lit(k).alias("kind"), F.shiftleft(_byte(a), 16).bitwiseOR(F.shiftleft(_byte(b), 8)).bitwiseOR(_byte(c)).alias("key")) for k, (a, b, c) in enumerate(TRIPLES)]
-    return nodes.select(F.explode(F.array(*keys)).alias("k"), "fp", "id").select("k.kind", "k.key", "fp", "id")
+    return nodes.select(F.explode(F.array(*keys)).alias("k"), "fp").select("k.kind", "k.key", "fp")
 
 
-def _rekeyed(rows: DataFrame) -> DataFrame:
-    """Rows of oversize postings under a fourth byte: five keys each."""
-    kinds = [F.array(*[F.struct(F.lit(100 * (k + 1) + i).alias("kind"), F.shiftleft("key", 8).bitwiseOR(_byte(i)).alias("key")) for i in range(8) if i not in t]) for k, t in enumerate(TRIPLES)]
-    choice = F.element_at(F.array(*kinds), F.col("kind") + 1)
-    return rows.select(F.explode(choice).alias("k"), "fp", "id").select("k.kind", "k.key", "fp", "id")
+def _by_fourth_byte(rows: DataFrame) -> DataFrame:
+    """Rows of three-byte postings under a fourth byte, five keys each, with the other four bytes as ``rest``."""
+    table = []
+    for k, t in enumerate(TRIPLES):
+        for i in set(range(8)) - set(t):
+            table.append((k, 8 * k + i, 8 * i, *[8 * r for r in sorted(set(range(8)) - {*t, i})]))
+    deal = rows.sparkSession.createDataFrame(table, "kind int, dealt int, at int, r0 int, r1 int, r2 int, r3 int")
+    byte = lambda at: f"(shiftrightunsigned(fp, {at}) & 255L)"
+    rest = " | ".join(f"shiftleft({byte(f'r{i}')}, {8 * i})" for i in range(4))
+    return rows.join(F.broadcast(deal), "kind").select((F.col("dealt") + len(TRIPLES)).alias("kind"), F.expr(f"shiftleft(key, 8) | {byte('at')}").alias("key"), "fp", F.expr(rest).alias("rest"))
+
+
+def _by_nibbles(rows: DataFrame) -> DataFrame:
+    """Rows of four-byte postings under three of the eight half bytes of ``rest``: linked pairs share four of these, too, so the same 20 triples hold."""
+    nibble = lambda i: f"(shiftrightunsigned(rest, {4 * i}) & 15L)"
+    keys = [F.expr(f"struct(kind * {len(TRIPLES)} + {1000 + k} as kind, shiftleft(key, 12) | shiftleft({nibble(a)}, 8) | shiftleft({nibble(b)}, 4) | {nibble(c)} as key)") for k, (a, b, c) in enumerate(TRIPLES)]
+    return rows.select(F.explode(F.array(*keys)).alias("k"), "fp").select("k.kind", "k.key", "fp")
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -113,23 +126,22 @@ def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def flood(fp: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
-    """Links that span the components of one posting."""
-    left = np.arange(len(fp))
+def flood(left: np.ndarray) -> list[np.ndarray]:
+    """Links that span the components of one posting's fingerprints."""
     out = []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = linked(fp[left], fp[at])
-            for i in left[near]:
-                out.append((int(ids[at]), int(ids[i])))
-            queue.extend(left[near])
+            near = linked(left, at)
+            found = left[near]
+            out.append(np.stack([np.full(len(found), at), found], axis=1))
+            queue.extend(found)
             left = left[~near]
     return out
 
 
-def _posting_links(kind: np.ndarray, key: np.ndarray, fp: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
+def _posting_links(kind: np.ndarray, key: np.ndarray, fp: np.ndarray) -> list[np.ndarray]:
     """Links of consecutive whole postings."""
     new = np.concatenate([[True], (kind[1:] != kind[:-1]) | (key[1:] != key[:-1])])
     start = np.flatnonzero(new)
@@ -139,10 +151,9 @@ def _posting_links(kind: np.ndarray, key: np.ndarray, fp: np.ndarray, ids: np.nd
         rows = start[size == m][:, None] + np.arange(m)
         for i, j in combinations(range(m), 2):
             ok = linked(fp[rows[:, i]], fp[rows[:, j]])
-            out.append(np.stack([ids[rows[ok, i]], ids[rows[ok, j]]], axis=1))
+            out.append(np.stack([fp[rows[ok, i]], fp[rows[ok, j]]], axis=1))
     for s, m in zip(start[size > 12], size[size > 12], strict=True):
-        if pairs := flood(fp[s : s + m], ids[s : s + m]):
-            out.append(np.array(pairs, dtype=np.int64))
+        out += flood(fp[s : s + m])
     return out
 
 
@@ -152,8 +163,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def emit(parts):
         cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
-        if found := [x for x in _posting_links(cols[0], cols[1], cols[2].view(np.uint64), cols[3]) if len(x)]:
-            pairs = np.concatenate(found)
+        if found := [x for x in _posting_links(cols[0], cols[1], cols[2].view(np.uint64)) if len(x)]:
+            pairs = np.concatenate(found).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
     for batch in batches:
@@ -174,20 +185,46 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """``(u, v)``: links that connect the ids of ``nodes(fp, id)`` as all pairs of at most 4 differing bits would."""
-    index = postings(nodes)
-    big = materialize(index.groupBy("kind", "key").count().where(F.col("count") > OVERSIZE).select("kind", "key"), "oversize")
-    scan = lambda rows: rows.repartition("kind", "key").sortWithinPartitions("kind", "key").mapInArrow(_scan, "u bigint, v bigint")
-    if big.isEmpty():
-        return scan(index)
-    return scan(index.join(big, ["kind", "key"], "left_anti")).unionByName(scan(_rekeyed(index.join(big, ["kind", "key"], "left_semi"))))
+    """``(u, v)``: links that connect the fingerprints of ``nodes(fp)`` as all pairs of at most 4 differing bits would."""
+    scan = lambda rows: rows.select("kind", "key", "fp").repartition("kind", "key").sortWithinPartitions("kind", "key").mapInArrow(_scan, "u bigint, v bigint")
+    rows, found = postings(nodes), []
+    for deal in (_by_fourth_byte, _by_nibbles):
+        big = materialize(rows.groupBy("kind", "key").count().where(F.col("count") > OVERSIZE).select("kind", "key"), "oversize")
+        if big.isEmpty():
+            break
+        found.append(scan(rows.join(big, ["kind", "key"], "left_anti")))
+        rows = deal(rows.join(big, ["kind", "key"], "left_semi"))
+    return reduce(DataFrame.unionByName, [*found, scan(rows)])
+
+
+def _clusters(prints: DataFrame) -> DataFrame:
+    """``(fp, root)`` of every distinct fingerprint; fingerprints with the same root reach each other."""
+    nodes = materialize(prints.select("fp").distinct(), "nodes")
+    found = connected(links(nodes).distinct())
+    return nodes.join(found, nodes.fp == found.node, "left").select("fp", F.coalesce("component", "fp").alias("root"))
+
+
+def _least(prints: DataFrame, key) -> DataFrame:
+    """``(fp, least)``: the least key among all rows that a fingerprint's rows reach."""
+    own = prints.groupBy("fp").agg(F.min(key).alias("least")).join(_clusters(prints), "fp")
+    return own.select("fp", "root").join(own.groupBy("root").agg(F.min("least").alias("least")), "root").select("fp", "least")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` per document; a component's name is the smallest doc_id that links reach."""
     prints = materialize(fingerprints(docs), "fingerprints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "nodes")
-    found = connected(links(nodes.where("id is not null")).distinct())
-    named = nodes.join(found, nodes.id == found.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return prints.join(_least(prints, F.col("doc_id")), "fp").select("doc_id", hexed.alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def representatives(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """``columns`` (``doc_id`` and ``text`` among them) of one row of each component: that with the smallest id, null ids last.
+
+    Rows, not ids, are kept or dropped: rows that share an id but not a text are told apart, and so are rows without an id. Of
+    several rows with the smallest id the one whose columns have the smallest hash stays, so the choice doesn't depend on their order.
+    """
+    rows = materialize(fingerprints(docs, columns).withColumn("__row", F.monotonically_increasing_id()), "rows")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*columns).alias("hash"), F.col("__row").alias("row"))
+    slim = rows.select("fp", "__row", key.alias("key"))
+    removed = slim.join(_least(slim, F.col("key")), "fp").where(F.col("__row") != F.col("least.row")).select("__row")
+    return rows.join(removed, "__row", "left_anti").select(*columns)
