@@ -34,6 +34,32 @@ def test_word_encoder_equals_the_tokenizer():
         assert ids[a:b].tolist() == [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
+def fuzzed(n, seed):
+    """Short texts of awkward characters: every letter before a full stop and a comma, marks, cases, odd spaces, surrogate-free planes."""
+    rng = random.Random(seed)
+    letters = [chr(c) for c in range(0x80, 0x2FFF) if chr(c).isalpha()]
+    odd = [*"İıßſŉǰΐΣςσΑ'’.,|<>\xa0\u2028\u200b\u0300\u0301\u0307\u0345\x1c\x85\t\n ", "'s", "'LL", "<|", "|>", "😀", "٣", "½", "Ⅷ", "中"]
+    plain = "abcXYZ .,'12-"
+    out = [f"{c}{p}{d}" for c in letters for p, d in ((".", ""), (",", "x"))]
+    while len(out) < n:
+        out.append("".join(rng.choice(rng.choice((letters, odd, odd, plain, plain))) for _ in range(rng.randint(1, 12))))
+    return out[:n]
+
+
+def agree(texts):
+    t, e = Tokenizer.from_file(PATH), P.WordEncoder(PATH)
+    for i in range(0, len(texts), 50):
+        some = texts[i : i + 50]
+        ids, bounds = e.encode(pa.array(some))
+        for text, found, a, b in zip(some, t.encode_batch(some, add_special_tokens=False), bounds, bounds[1:], strict=False):
+            assert ids[a:b].tolist() == [*found.ids, 0], ascii(text)
+
+
+def test_fuzzed_texts_equal_the_tokenizer():
+    agree(["İ.", "ABİ, ok", "TÜRKİYE'Yİ.", "a.Σ ΑΣ. ΑΣ.Α É. é, ß. ſ."])
+    agree(fuzzed(30_000, 1))
+
+
 def test_plan_places_every_piece_once():
     rng = random.Random(3)
     for case in range(8):
@@ -55,7 +81,7 @@ def test_plan_places_every_piece_once():
             assert end <= capacity
         assert sorted(filled) == list(range(len(filled)))
         total = [x for x, n in counts.items() for _ in range(n)]
-        assert len(filled) <= best_fit(total, capacity) * 1.02 + 2
+        assert len(filled) <= best_fit(total, capacity)
     assert P.plan({}) == []
 
 
@@ -85,7 +111,7 @@ def test_query_round_trip(spark):
             assert at == end
             end += length
         assert end <= 2048
-    assert len(places) <= best_fit([p[2] for own in pieces.values() for p in own], 2048) * 1.02 + 1
+    assert len(places) <= best_fit([p[2] for own in pieces.values() for p in own], 2048)
 
 
 def test_nulls_repeats_clashing_columns_and_sequences(spark):

@@ -29,8 +29,8 @@ from trefoil.llm.words import bounded_batches, slices, split, strings
 from trefoil.session import materialize
 
 CAPACITY, END_ID = 2048, 0
-#: Lengths above this share of the capacity are large; they are rounded within so many groups.
-LARGE_SHARE, GROUPS = 1 / 3, 80
+#: Lengths above a share of the capacity are large; they are rounded within so many groups. Each of these cuts is tried, and the plan with the fewest sequences holds (at 1 nothing is large and all lengths go best-fit).
+LARGE_SHARES, GROUPS = (1 / 3, 1 / 6, 1), 80
 #: Pivots of the configuration program.
 MOST_STEPS = 1500
 #: Words whose ids a task remembers.
@@ -39,6 +39,8 @@ REMEMBERED = 400_000
 
 #: A word of one token that stands between the words of an encoded line.
 SEPARATOR = "|"
+#: Letters, case of ASCII folded, whose lower case is one letter.
+PLAIN_LETTERS = "a-zÀ-ÖØ-öø-ÿ"
 
 
 class WordEncoder:
@@ -88,8 +90,9 @@ class WordEncoder:
         """Ids of all texts, each followed by the end id, and the texts' bounds among them."""
         texts = pc.fill_null(texts, "")
         if not pc.any(pc.match_substring(texts, "<|")).as_py():
-            # fewer distinct words, same ids: letters never join what follows them, and case is folded anyhow
-            texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"(\pL)([.,])", r"\1 \2")
+            # fewer distinct words, same ids: these letters never join what follows them (others may: the dotted capital I
+            # becomes a letter and a mark), and ASCII case is folded anyhow
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), f"([{PLAIN_LETTERS}])([.,])", r"\1 \2")
         codes, words, bounds = split(texts)
         place = self.learn(strings(words).tolist())
         start, size = self.bounds[place], np.diff(self.bounds)[place] if len(place) else np.zeros(0, dtype=np.int64)
@@ -225,6 +228,12 @@ class _Room:
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, int, int, int, int]]:
+    """The best of the plans by :data:`LARGE_SHARES`; never more sequences than best-fit in descending order takes."""
+    many = lambda places: max((first + b - a for _, a, b, first, _ in places), default=0)
+    return min((plan_with(counts, share, capacity, groups) for share in LARGE_SHARES), key=many)
+
+
+def plan_with(counts: dict[int, int], large_share: float, capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, int, int, int, int]]:
     """Places for ``counts`` pieces of each length: rows ``(length, first rank, last rank + 1, sequence of the first, offset)``.
 
     Ranks of a length count from 0 and are all covered once; sequences are numbered from 0 without gaps.
@@ -241,7 +250,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
 
     if left.get(capacity):
         room.put(fill(room.open(left[capacity]), capacity))
-    large = sorted((x for x, n in left.items() if n and capacity * LARGE_SHARE < x < capacity), reverse=True)
+    large = sorted((x for x, n in left.items() if n and capacity * large_share < x < capacity), reverse=True)
     grouped = _groups(large, left, groups)
     rounded = len(grouped) < len(large)
     for pattern, times in configurations([s for s, _ in grouped], [sum(left[x] for x in xs) for _, xs in grouped], capacity):
