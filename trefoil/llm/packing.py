@@ -177,16 +177,22 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
         return []
     size, d = np.array(sizes), np.array(demand, dtype=float)
     columns = np.diag([capacity // s for s in sizes]).astype(float)
-    x = np.zeros(k)
+    inverse = np.diag(1 / columns.diagonal())
+    x = inverse @ d
     for _ in range(min(40 * k, MOST_STEPS)):
-        inverse = np.linalg.inv(columns)
-        x, price = inverse @ d, inverse.sum(axis=0)
+        price = inverse.sum(axis=0)
         pattern, value = _knapsack(sizes, price, capacity)
         if value <= 1 + 1e-4:
             break
         move = inverse @ pattern
         ratio = np.where(move > 1e-9, np.maximum(x, 0) / np.where(move > 1e-9, move, 1), np.inf)
-        columns[:, int(ratio.argmin())] = pattern
+        out = int(ratio.argmin())
+        columns[:, out] = pattern
+        # one column changed, so one pivot changes the inverse
+        row = inverse[out] / move[out]
+        inverse -= np.outer(move, row)
+        inverse[out] = row
+        x = inverse @ d
     return [(columns[:, j].astype(int), int(x[j] + 1e-9)) for j in range(k) if x[j] >= 1 - 1e-9]
 
 
