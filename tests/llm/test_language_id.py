@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import duckdb
@@ -16,7 +17,7 @@ def rows(sf=SF01):
 
 def test_held_out_accuracy_and_code_switching():
     held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
-    field = L.fit([(t, lang) for i, t, lang in rows() if not held(i) and len(t) < L.TRAIN_CHARS])
+    field = L.fit([(t, lang) for i, t, lang in rows() if not held(i) and len(t) < 20_000])
     test = [(t, lang) for i, t, lang in rows() if held(i)]
     got, score = L.predict(field, pa.array([t for t, _ in test]))
     assert sum(a == b for a, (_, b) in zip(got, test, strict=True)) >= 0.98 * len(test)
@@ -49,3 +50,27 @@ def test_nulls_empty_repeats_and_clashing_columns(spark):
     assert L.detect(df.limit(0), field).collect() == []
     nothing = spark.createDataFrame([(1, "some text", None)], "doc_id bigint, text string, lang string")
     assert [tuple(r) for r in L.detect(nothing).collect()] == [(1, "und", 0.0)]
+
+
+def test_long_texts_and_rare_languages_are_learned_from(spark):
+    en, de, fr = "the of and with this was here not from they".split(), "der die das und nicht mit ist von dem auch".split(), "le la les et pas avec est du dans aussi".split()
+    rng = random.Random(1)
+    made = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    data = [(i, made((en, de)[i % 2], 7000), ("en", "de")[i % 2]) for i in range(24)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, lang string")
+    assert min(len(t) for _, t, _ in data) > 2 * L.TRAIN_CHARS
+    assert [(r.doc_id, r.lang_pred) for r in L.detect(df).orderBy("doc_id").collect()] == [(i, lang) for i, _, lang in data]
+    many = [(i, made(en, 30), "en") for i in range(1500)] + [(i, made(fr, 30), "fr") for i in range(1500, 1512)]
+    sample = L.training_sample(spark.createDataFrame(many, "doc_id bigint, text string, lang string"), 40)
+    assert 20 <= sum(lang == "en" for _, lang in sample) <= 80 and 3 <= sum(lang == "fr" for _, lang in sample) <= 12
+    assert L.training_sample(df.limit(0)) == []
+
+
+def test_field_of_a_drawn_sample(spark):
+    table = SF.replace("0.001", "0.1")
+    docs = spark.read.parquet(f"{table}/documents.parquet")
+    sample = L.training_sample(docs)
+    assert len(sample) <= 8 * L.TRAIN_DOCS
+    test = [(t, lang) for i, t, lang in rows(table) if zlib.crc32(str(i).encode()) % 3 == 1][:1500]
+    got, _ = L.predict(L.fit(sample), pa.array([t for t, _ in test]))
+    assert sum(a == b for a, (_, b) in zip(got, test, strict=True)) >= 0.98 * len(test)

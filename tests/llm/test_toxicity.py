@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import duckdb
@@ -14,11 +15,11 @@ SF1 = SF.replace("0.001", "0.1")
 def test_held_out_labels():
     rows = duckdb.sql(f"select doc_id, text, toxic from '{SF1}/documents.parquet' join '{SF1}/labels.parquet' using (doc_id) order by doc_id").fetchall()
     held = [zlib.crc32(str(r[0]).encode()) % 3 == 1 for r in rows]
-    model = X.fit([(t, y) for (_, t, y), h in zip(rows, held, strict=True) if not h and len(t) < X.TRAIN_CHARS])
+    model = X.fit([(t[: X.TRAIN_CHARS], y) for (_, t, y), h in zip(rows, held, strict=True) if not h])
     test = [(t, y) for (_, t, y), h in zip(rows, held, strict=True) if h]
     p = X.score_texts(model, pa.array([t for t, _ in test]), X.grammar()) >= 0.7
     y = np.array([y for _, y in test]) == 1
-    assert (p & y).sum() >= 0.8 * y.sum() and (p & ~y).sum() <= 0.01 * (~y).sum()
+    assert (p & y).sum() >= 0.85 * y.sum() and (p & ~y).sum() <= 0.005 * (~y).sum()
 
 
 def small_model():
@@ -26,27 +27,73 @@ def small_model():
     return X.fit([(t, 1) for t in toxic] + [(f"you are the of and an a was here {i} with this not so said", 0) for i in range(60)])
 
 
-def test_patterns_depend_on_their_clause():
-    a = X.grammar()
-
-    def run(*symbols):
-        state, out = 0, []
-        for s in symbols:
-            if s in (X.INSULT, X.THREAT):
-                out.append((a.pattern[state][s], round(a.weight[state][s], 3)))
-            state = a.next[state][s]
-        return out
-
-    assert run(X.INSULT) == [(0, 1.0)]
-    assert run(X.TARGET, X.OTHER, X.INSULT) == [(1, 1.5)]
-    assert run(X.NEGATION, X.INSULT) == [(2, 0.5)]
-    assert run(X.REPORT, X.TARGET, X.NEGATION, X.INSULT) == [(7, 0.525)]
-    assert run(X.NEGATION, X.OTHER, X.OTHER, X.OTHER, X.INSULT) == [(0, 1.0)]
-    assert run(X.TARGET, X.THREAT) == [(9, 1.5)]
-    f = X.features(small_model(), pa.array(["you idiot", "not idiot", "not so. idiot", "said idiot"]), a)
+def run(*symbols, weights=None):
+    sums, _, _ = X.clause(X.grammar(), list(symbols), weights or [1.0] * len(symbols))
+    return {i: round(w, 4) for i, w in enumerate(sums) if w}
+
+
+def test_clauses_are_accepted_by_pattern():
+    assert run(X.INSULT) == {0: 0.75}
+    assert run(X.TARGET, X.OTHER, X.INSULT) == run(X.INSULT, X.OTHER, X.OTHER, X.TARGET) == {1: 1.5}
+    assert run(X.NEGATION, X.INSULT) == {2: 0.375}
+    assert run(X.REPORT, X.TARGET, X.NEGATION, X.INSULT) == {7: 0.525}
+    assert run(X.NEGATION, X.OTHER, X.OTHER, X.OTHER, X.INSULT) == {0: 0.75}
+    assert run(X.TARGET, X.THREAT) == run(X.THREAT, X.TARGET) == {9: 1.5}
+    # a threat without an object, and words alone, are no clause
+    assert run(X.THREAT, X.OTHER) == run(X.TARGET, X.NEGATION, X.REPORT) == {}
+    f = X.features(small_model(), pa.array(["you idiot", "not idiot", "not so. idiot", "said idiot"]), X.grammar())
     assert f[0, 1] > f[1, 2] > 0 and f[2, 0] > 0 and f[3, 4] > 0
 
 
+def test_the_composition_is_the_cascade():
+    """The compiled automaton against the transducers run one after the other over whole tapes."""
+    rng, automaton = random.Random(2), X.grammar()
+    for _ in range(4000):
+        symbols = [rng.choice([X.OTHER, X.INSULT, X.THREAT, X.TARGET, X.NEGATION, X.REPORT]) for _ in range(rng.randint(0, 14))]
+        tape = [((s, 0), 1.0) for s in symbols]
+        for machine in X.cascade():
+            state, out = machine.start, []
+            for symbol, weight in tape:
+                state, wrote = machine.step(state, symbol)
+                out += [(s, w * weight) for s, w in wrote]
+            tape = [*out, *machine.final(state)]
+        want = [0.0] * X.PATTERNS
+        for (kind, marks), weight in tape:
+            want[8 * (kind == X.THREAT) + marks] += weight
+        got, count, total = X.clause(automaton, symbols, [1.0] * len(symbols))
+        has = any(s in (X.INSULT, X.THREAT) for s in symbols)
+        assert np.allclose(got, want if has else 0) and (count == len(tape) or not has) and np.isclose(total, sum(got))
+
+
+def test_insults_are_whole_words_or_stems_that_go_on_in_many_ways():
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abdeiklmnorstu") for _ in range(rng.randint(3, 9)))
+    text = lambda *more: {word() for _ in range(40)} | set(more)
+    toxic = [text("moron", "gruzz" + rng.choice("abcdefgh") + word()) for _ in range(60)]
+    copies = [toxic[0] | {"bystander"}] * 40
+    clean = [text("morning", "clothes", "world") for _ in range(300)]
+    single = X.without_copies(toxic + copies + clean)
+    assert len(single) == 360
+    found = X.learned(toxic, clean)
+    assert set(found) == {"moron", "gruzz"} and found["moron"][1] == 0 and found["gruzz"][1] == 5
+    model = X.fit([(" ".join(sorted(t)), 1) for t in toxic + copies] + [(" ".join(sorted(t)), 0) for t in clean])
+    p = X.score_texts(model, pa.array(["we walked there in the morning", "clothes of the world", "bystander", "you are a gruzzling, you moron"]), X.grammar())
+    assert (p[:3] < 0.1).all() and p[3] > 0.7
+
+
+def test_long_texts_are_learned_from(spark):
+    rng = random.Random(4)
+    words = lambda: [rng.choice("the of and a here was not with this there so as in".split()) for _ in range(6000)]
+    data = [(i, " ".join(w if i % 3 or k % 40 else "idiot" for k, w in enumerate(words()))) for i in range(120)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id bigint, toxic int")
+    assert min(len(t) for _, t in data) > 2 * X.TRAIN_CHARS
+    got = {r.doc_id: r.score for r in X.score(docs, labels).collect()}
+    assert all((got[i] >= 0.7) == (i % 3 == 0) for i in got)
+    sample = X.training_sample(docs, labels, 10)
+    assert max(len(t) for t, _, _ in sample) <= X.TRAIN_CHARS and {y for _, y, _ in sample} == {0, 1}
+
+
 def test_query_contract(spark):
     got = queries.op3_toxicity(spark, SF).collect()
     n = duckdb.sql(f"select count(*) from '{SF}/documents.parquet'").fetchall()[0][0]

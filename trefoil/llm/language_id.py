@@ -19,16 +19,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from trefoil.llm import crf
-from trefoil.llm.words import bounded_batches, characters, held_out, letters, prefix_hashes, segment_sum, slices, split
+from trefoil.llm.words import bounded_batches, characters, letters, prefix_hashes, segment_sum, slices, split, stratified, whole_hashes
 
 #: Buckets of the hashed character features.
 BUCKETS = 1 << 16
 AFFIX, GRAM = 3, (2, 3)
-#: Bounds of the labelled sample that the field is fitted on: texts, and characters in a text.
-TRAIN_DOCS, TRAIN_CHARS = 800, 20_000
+#: Bounds of the labelled sample that the field is fitted on: texts of each language, and characters of the stretch that is taken of a longer text.
+TRAIN_DOCS, TRAIN_CHARS = 200, 4_000
 #: Words in a training piece; two pieces of different texts make a sequence, so that switches occur.
 PIECE = 24
 LEXICON_COUNT, LEXICON_SHARE = 3, 0.6
@@ -59,11 +58,9 @@ def _features(words: pa.StringArray) -> tuple[list[np.ndarray], list[np.ndarray]
         owner.append(of)
 
     every = np.arange(len(words))
-    wordhash = np.zeros(len(words), dtype=np.uint64)
-    for k, h in prefix_hashes(points, start, size, int(min(size.max(initial=0), 24))):
-        if k <= AFFIX:
-            add(k, h[size >= k], every[size >= k])
-        wordhash = h
+    for k, h in prefix_hashes(points, start, size, AFFIX):
+        add(k, h[size >= k], every[size >= k])
+    wordhash = whole_hashes(points, start, size)
     back, where = points[::-1], len(points) - bounds[1:]
     for k, h in prefix_hashes(back, where, size, AFFIX):
         add(10 + k, h[size >= k], every[size >= k])
@@ -147,12 +144,8 @@ def predict(field: Field, texts: pa.Array) -> tuple[list[str], np.ndarray]:
 
 
 def training_sample(docs: DataFrame, most: int = TRAIN_DOCS) -> list[tuple[str, str]]:
-    """About ``most`` labelled texts outside the held-out fold, drawn by a hash of their ids; bounded whatever the table's size."""
-    able = docs.select("doc_id", "text", "lang").where(~held_out()).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS))
-    n = docs.where(~held_out()).where(F.col("lang").isNotNull()).count()
-    share = min(1.0, most / max(n, 1))
-    drawn = able.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + (share >= 1.0))
-    return [(r.text, r.lang) for r in drawn.select("text", "lang").limit(2 * most).collect()]
+    """About ``most`` labelled texts of each language outside the held-out fold, or stretches of long ones; bounded whatever the table's size, and rare languages are learned like frequent ones."""
+    return [(text, lang) for text, lang, _ in stratified(docs, "lang", most, TRAIN_CHARS)]
 
 
 def detect(docs: DataFrame, field: Field | None = None, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:

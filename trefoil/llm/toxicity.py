@@ -1,11 +1,16 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Five small weighted transducers read a clause's words as symbols: insult, threat, target, negation and reported
-speech. Their composition is one automaton that emits, at each insult or threat, the pattern it stands in
-(threat or insult, aimed at a target, negated, reported) with the product of the transducers' weights. A clause
-scores the sum of what it emits; a text's clause scores by pattern go through a logistic model to a score.
-The lexical weights of insults (whole words and stems) and the logistic weights are learned from labels; the
-other word classes are fixed lists.
+A clause's words become symbols, and transducers pass them on, the output of one being the input of the next:
+
+* negation marks the insults and threats that it bears on,
+* reported speech marks all that follow it,
+* insult and threat pass on what offends: a negated threat is none,
+* target joins a marked insult or threat with the person it is aimed at, on either side of it, and writes the clause's
+  patterns: aimed or not, negated or not, reported or not. Each has its weight, and a threat without its object is none.
+
+Their composition is one automaton; a clause scores the weights of the patterns that it accepts. A text's clause
+scores by pattern go through a logistic model to a score. Insults (whole words, and stems where many different
+completions occur in toxic texts only) and the logistic weights are learned from labels; the other word classes are fixed lists.
 
 Defined results: null, empty and word-less texts match nothing and score the base rate of such texts; very long
 texts are read whole; repeated rows are scored each on its own; only the named columns are read; an empty table
@@ -19,131 +24,198 @@ import re
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trefoil.llm.words import bounded_batches, characters, held_out, letters, prefix_hashes, slices, split
+from trefoil.llm.words import ROLL, bounded_batches, characters, held_out, letters, slices, split, stratified, whole_hashes
 
 # Word lists in English, German, French and Spanish.
-TARGETS = "you your yourself he she they them him her we us du dich dir ihr euch sie er ihn tu toi te vous il elle ils elles eux usted ustedes ella ellos ellas vosotros ti".split()
-NEGATIONS = "not never neither nor isn't aren't don't nicht kein keine niemals nie pas jamais ni nunca tampoco".split()
+TARGETS = "you your yourself he she they them him her dich dir ihr euch ihn ihm ihnen toi te vous elle ils elles eux lui usted ustedes ella ellos ellas vosotros".split()
+NEGATIONS = "not never neither nor isn't aren't don't nicht kein keine keinen niemals nie pas jamais ni nunca tampoco".split()
 REPORTS = "said says say wrote writes called calls quoted reported claims claimed sagte sagt schrieb nannte behauptet dit disait écrit appelé dijo dice escribió llamó".split()
-THREATS = "kill hurt destroy attack beat murder burn töten umbringen zerstören schlagen tuer détruire frapper matar destruir golpear".split()
-#: Symbols that the transducers read.
+THREATS = (
+    "kill kills killed killing hurt hurts hurting destroy destroys destroyed destroying attack attacks attacked beat beats murder murders murdered burn burns threaten threatens threatened "
+    "töten töte tötet getötet umbringen umbringe zerstören zerstöre zerstört schlagen schlage schlägt tuer tue tuerai tuera détruire détruirai frapper frappe frapperai matar mato mataré matará mata destruir destruiré golpear golpearé"
+).split()
+#: Symbols that the first transducer reads.
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-#: Words after which a target or a negation no longer bears on what follows.
-TARGET_REACH, NEGATION_REACH = 8, 3
+#: Words that a target and a negation reach.
+TARGET_REACH, NEGATION_REACH = 5, 3
+#: Weights of a pattern that is aimed, unaimed, negated, reported.
+AIMED, UNAIMED, NEGATED, REPORTED = 1.5, 0.75, 0.5, 0.7
 CLAUSE_ENDS = ".,;:!?"
-#: Bounds of the labelled sample: rows, and characters in a text.
-TRAIN_DOCS, TRAIN_CHARS = 6000, 50_000
-STEMS = (3, 4, 5, 6, 7, 8)
-MIN_TOXIC_TEXTS, MIN_LOG_ODDS, MAX_CLEAN_SHARE = 4, 2.0, 0.15
+#: Bounds of the labelled sample: rows of each label, and characters of the stretch that is taken of a longer text.
+TRAIN_DOCS, TRAIN_CHARS = 1500, 8_000
+#: Lengths of stems; different completions and next letters that a stem needs in toxic texts; share of its texts that one longer stem may have.
+STEMS, COMPLETIONS, NEXT_LETTERS, ONE_BRANCH = (4, 5, 6, 7, 8), 5, 4, 0.8
+#: Texts that agree in the SKETCH smallest hashes of their words of LONG letters or more, under one of three seeds, are copies of one another.
+SKETCH, LONG = 3, 8
+#: Words and stems that at most may be taken for insults by chance (a bound on their expected number), and share of clean texts (of the share of toxic ones) that may hold an insult.
+CHANCE, CLEAN_SHARE = 5.0, 0.05
 #: Patterns: kind (insult, threat) x aimed x negated x reported.
 PATTERNS = 16
 
+#: What a transducer writes: symbols with weights. A symbol is (class, marks); marks are bits.
+Tape = tuple[tuple[tuple[int, int], float], ...]
+NEG_MARK, REP_MARK, AIM_MARK = 2, 4, 1
+
 
 @dataclass
 class Transducer:
-    """Reads a symbol, moves, and gives a weight and a flag. ``step(state, symbol) -> (state, weight, flag)``."""
+    """Reads a symbol, moves and writes: ``step(state, symbol) -> (state, tape)``; ``final(state)`` is what it writes at the clause's end."""
+
+    start: tuple
+    step: Callable[[tuple, tuple[int, int]], tuple[tuple, Tape]]
+    final: Callable[[tuple], Tape] = lambda state: ()
+
+
+def negation() -> Transducer:
+    """Marks insults and threats within reach after a negation; the state counts down."""
+
+    def step(state, symbol):
+        kind, marks = symbol
+        if kind == NEGATION:
+            return (NEGATION_REACH,), ()
+        hit = state[0] > 0 and kind in (INSULT, THREAT)
+        return (max(state[0] - 1, 0),), (((kind, marks | NEG_MARK * hit), 1.0),)
+
+    return Transducer((0,), step)
+
+
+def report() -> Transducer:
+    """Marks every insult and threat after a verb of saying."""
+
+    def step(state, symbol):
+        kind, marks = symbol
+        if kind == REPORT:
+            return (1,), ()
+        hit = state[0] and kind in (INSULT, THREAT)
+        return state, (((kind, marks | REP_MARK * bool(hit)), 1.0),)
+
+    return Transducer((0,), step)
+
+
+def offence(kind: int, unless: int = 0) -> Transducer:
+    """Passes an offence of one kind on, or as an ordinary word if it has the mark ``unless``, and the rest as it is."""
+    return Transducer((), lambda state, symbol: (state, (((OTHER, 0) if symbol[0] == kind and symbol[1] & unless else symbol, 1.0),)))
+
 
-    start: int
-    step: Callable[[int, int], tuple[int, float, int]]
+def target() -> Transducer:
+    """Joins an offence with a target at most TARGET_REACH words before or after it. State: words for which the last target still reaches, the offence that waits for one, and for how many words."""
 
+    def pattern(kind: int, marks: int) -> Tape:
+        weight = (AIMED if marks & AIM_MARK else UNAIMED) * (NEGATED if marks & NEG_MARK else 1) * (REPORTED if marks & REP_MARK else 1)
+        return (((kind, marks), weight),)
 
-def _within(symbol: int, reach: int, weight: float) -> Transducer:
-    """Weight and flag an insult or threat that comes within ``reach`` words after ``symbol``; the state counts down."""
+    def let_go(waiting) -> Tape:
+        return pattern(*waiting) if waiting and waiting[0] == INSULT else ()
 
-    def step(state: int, read: int) -> tuple[int, float, int]:
-        if read == symbol:
-            return reach, 1.0, 0
-        here = state > 0 and read in (INSULT, THREAT)
-        return max(state - 1, 0), weight if here else 1.0, int(here)
+    def step(state, symbol):
+        reach, waiting, left = state
+        kind, marks = symbol
+        if kind == TARGET:
+            return (TARGET_REACH, None, 0), pattern(waiting[0], waiting[1] | AIM_MARK) if waiting else ()
+        out: Tape = ()
+        if waiting and left == 1:
+            out, waiting, left = let_go(waiting), None, 0
+        elif waiting:
+            left -= 1
+        if kind in (INSULT, THREAT):
+            if reach:
+                out += pattern(kind, marks | AIM_MARK)
+            else:
+                out, waiting, left = out + let_go(waiting), symbol, TARGET_REACH
+        return (max(reach - 1, 0), waiting, left), out
 
-    return Transducer(0, step)
+    return Transducer((0, None, 0), step, lambda state: let_go(state[1]))
 
 
-def _anywhere_before(symbol: int, weight: float) -> Transducer:
-    """Weight and flag every insult or threat after ``symbol`` in the clause."""
+def _feed(machine: Transducer, state: tuple, tape: Tape) -> tuple[tuple, Tape]:
+    out: list = []
+    for symbol, weight in tape:
+        state, wrote = machine.step(state, symbol)
+        out += [(s, w * weight) for s, w in wrote]
+    return state, tuple(out)
 
-    def step(state: int, read: int) -> tuple[int, float, int]:
-        here = state == 1 and read in (INSULT, THREAT)
-        return int(state or read == symbol), weight if here else 1.0, int(here)
 
-    return Transducer(0, step)
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """What ``second`` writes when it reads what ``first`` writes."""
 
+    def step(state, symbol):
+        a, tape = first.step(state[0], symbol)
+        b, out = _feed(second, state[1], tape)
+        return (a, b), out
 
-def _emits(symbol: int) -> Transducer:
-    """Weight 1 at ``symbol``, 0 elsewhere."""
-    return Transducer(0, lambda state, read: (0, float(read == symbol), int(read == symbol)))
+    def final(state):
+        b, out = _feed(second, state[1], first.final(state[0]))
+        return out + second.final(b)
+
+    return Transducer((first.start, second.start), step, final)
 
 
 @dataclass
 class Automaton:
-    """The composition as tables by (state, symbol): next state, weight, pattern."""
+    """A transducer as tables by state (and symbol): next state, and the ``(pattern, weight)`` pairs written, at the clause's end, too."""
 
     next: list[list[int]] = field(default_factory=list)
-    weight: list[list[float]] = field(default_factory=list)
-    pattern: list[list[int]] = field(default_factory=list)
+    out: list[list[tuple]] = field(default_factory=list)
+    last: list[tuple] = field(default_factory=list)
 
 
-def compose(insult: Transducer, threat: Transducer, *modifiers: Transducer) -> Automaton:
-    """Product of the transducers over their reachable states: emission weights add, modifier weights multiply, flags make the pattern's number."""
-    machines = (insult, threat, *modifiers)
-    number, todo, out = {tuple(m.start for m in machines): 0}, [tuple(m.start for m in machines)], Automaton()
+def compiled(machine: Transducer) -> Automaton:
+    """The tables of all reachable states."""
+    patterns = lambda tape: tuple((8 * (s[0] == THREAT) + s[1], w) for s, w in tape)
+    number, todo, auto = {machine.start: 0}, [machine.start], Automaton()
     for state in todo:
-        rows: tuple[list, list, list] = ([], [], [])
+        auto.next.append([])
+        auto.out.append([])
         for symbol in range(6):
-            moves = [m.step(s, symbol) for m, s in zip(machines, state, strict=True)]
-            after = tuple(move[0] for move in moves)
+            after, tape = machine.step(state, (symbol, 0))
             if after not in number:
                 number[after] = len(number)
                 todo.append(after)
-            weight = (moves[0][1] + moves[1][1]) * math.prod(move[1] for move in moves[2:])
-            pattern = moves[1][2] * 8 + sum(move[2] << i for i, move in enumerate(moves[2:]))
-            for row, value in zip(rows, (number[after], weight, pattern), strict=True):
-                row.append(value)
-        for table, row in zip((out.next, out.weight, out.pattern), rows, strict=True):
-            table.append(row)
-    return out
+            auto.next[-1].append(number[after])
+            auto.out[-1].append(patterns(tape))
+        auto.last.append(patterns(machine.final(state)))
+    return auto
+
+
+def cascade() -> list[Transducer]:
+    """The grammar's transducers in the order in which they read one another."""
+    return [negation(), report(), offence(INSULT), offence(THREAT, unless=NEG_MARK), target()]
 
 
 def grammar() -> Automaton:
-    """The composed grammar; flags 1, 2, 4 are aimed, negated, reported."""
-    return compose(_emits(INSULT), _emits(THREAT), _within(TARGET, TARGET_REACH, 1.5), _within(NEGATION, NEGATION_REACH, 0.5), _anywhere_before(REPORT, 0.7))
+    """The composed grammar; a pattern's bits are aimed, negated, reported, threat."""
+    return compiled(reduce(compose, cascade()))
 
 
 @dataclass
 class Model:
-    """Sorted hashes of insult stems and words with their weights, and logistic weights (bias last)."""
+    """Sorted hashes of insults with their weights, whole words first and then stems by length, and logistic weights (bias last)."""
 
     hashes: list[np.ndarray]
     weights: list[np.ndarray]
     logistic: np.ndarray
 
 
-def _hash_words(words: list[str], longest: int) -> np.ndarray:
+def _hash_words(words: list[str]) -> np.ndarray:
     points, bounds = characters(pa.array(words, pa.string()))
-    h = np.zeros(len(words), dtype=np.uint64)
-    for _, h in prefix_hashes(points, bounds[:-1], np.diff(bounds), longest):  # noqa: B007
-        pass
-    return h
+    return whole_hashes(points, bounds[:-1], np.diff(bounds))
 
 
-_fixed: dict[str, np.ndarray] = {}
+_fixed: dict[int, np.ndarray] = {}
 
 
-def _fixed_classes() -> list[tuple[int, np.ndarray]]:
+def _fixed_classes() -> dict[int, np.ndarray]:
     if not _fixed:
-        for symbol, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)):
-            _fixed[str(symbol)] = np.sort(_hash_words(words, WHOLE))
-    return [(int(s), h) for s, h in _fixed.items()]
-
-
-#: Characters of a word that its whole-word hash looks at.
-WHOLE = 16
+        _fixed.update({symbol: np.sort(_hash_words(words)) for symbol, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS))})
+    return _fixed
 
 
 def _member(sorted_hashes: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -175,84 +247,159 @@ def _symbols(model: Model, words: pa.StringArray) -> tuple[np.ndarray, np.ndarra
     """Symbol, lexical weight and clause end of each distinct word."""
     points, start, size, ends = _core(words)
     symbol, weight = np.zeros(len(words), dtype=np.int64), np.ones(len(words))
-    lexical = np.zeros(len(words))
-    whole = np.zeros(len(words), dtype=np.uint64)
-    for k, h in prefix_hashes(points, start, size, WHOLE):
-        whole = h
-        if k in STEMS:
-            i = STEMS.index(k)
-            if len(model.hashes[i]):
-                found = _member(model.hashes[i], h) & (size >= k)
-                at = np.minimum(np.searchsorted(model.hashes[i], h), len(model.hashes[i]) - 1)
-                lexical = np.where(found, np.maximum(lexical, model.weights[i][at]), lexical)
-    for kind, hashes in _fixed_classes():
+    whole = whole_hashes(points, start, size)
+    for kind, hashes in _fixed_classes().items():
         symbol[_member(hashes, whole) & (size > 0)] = kind
+    lexical = np.zeros(len(words))
+    for i, k in enumerate((0, *STEMS)):
+        if len(model.hashes[i]):
+            h = whole_hashes(points, start, np.minimum(size, k)) if k else whole
+            found = _member(model.hashes[i], h) & (size >= max(k, 1))
+            at = np.minimum(np.searchsorted(model.hashes[i], h), len(model.hashes[i]) - 1)
+            lexical = np.where(found, np.maximum(lexical, model.weights[i][at]), lexical)
     insult = lexical > 0
     symbol[insult] = INSULT
     weight[insult] = lexical[insult]
     return symbol, weight, ends
 
 
+def clause(automaton: Automaton, symbols: list[int], weights: list[float]) -> tuple[list[float], int, float]:
+    """Weights by pattern, accepted patterns and score of one clause. An offence's pattern takes the lexical weight of the clause's heaviest offence."""
+    state, sums, count = 0, [0.0] * PATTERNS, 0
+    heavy = max((w for s, w in zip(symbols, weights, strict=True) if s in (INSULT, THREAT)), default=0.0)
+    for s in [*symbols, None]:
+        for pattern, w in automaton.last[state] if s is None else automaton.out[state][s]:
+            sums[pattern] += w * heavy
+            count += 1
+        state = state if s is None else automaton.next[state][s]
+    return sums, count, sum(sums)
+
+
 def features(model: Model, texts: pa.Array, automaton: Automaton) -> np.ndarray:
-    """Per text: clause scores summed by pattern (log1p), the best clause, the log count of matches and their share of the words."""
+    """Per text: clause scores summed by pattern (log1p), the best clause, the log count of accepted patterns and their share of the words."""
     codes, words, bounds = split(texts)
     symbol, weight, ends = _symbols(model, words)
     out = np.zeros((len(bounds) - 1, PATTERNS + 3))
     s = symbol[codes]
-    for at in np.unique(np.searchsorted(bounds, np.flatnonzero((s == INSULT) | (s == THREAT)), side="right") - 1):
-        a, b = bounds[at], bounds[at + 1]
-        state, clause, best, count, sums = 0, 0.0, 0.0, 0, [0.0] * PATTERNS
-        for sym, w, end in zip(s[a:b].tolist(), weight[codes[a:b]].tolist(), ends[codes[a:b]].tolist(), strict=True):
-            if sym == INSULT or sym == THREAT:
-                emitted = automaton.weight[state][sym] * w
-                sums[automaton.pattern[state][sym]] += emitted
-                clause += emitted
-                count += 1
-                best = max(best, clause)
-            state = automaton.next[state][sym]
-            if end:
-                state, clause = 0, 0.0
-        out[at, :PATTERNS] = np.log1p(sums)
-        out[at, PATTERNS:] = best, math.log1p(count), math.sqrt(count / (b - a))
+    hits = np.flatnonzero((s == INSULT) | (s == THREAT))
+    if not len(hits):
+        return out
+    # clauses end at their marks and with their text; only those with an offence are run
+    stops = np.unique(np.concatenate([np.flatnonzero(ends[codes]) + 1, bounds]))
+    of = np.unique(np.searchsorted(stops, hits, side="right"))
+    row = np.searchsorted(bounds, stops[of - 1], side="right") - 1
+    counts = np.zeros(len(out))
+    for r, a, b in zip(row.tolist(), stops[of - 1].tolist(), stops[of].tolist(), strict=True):
+        sums, count, total = clause(automaton, s[a:b].tolist(), weight[codes[a:b]].tolist())
+        out[r, :PATTERNS] += sums
+        out[r, PATTERNS] = max(out[r, PATTERNS], total)
+        counts[r] += count
+    out[:, :PATTERNS] = np.log1p(out[:, :PATTERNS])
+    out[:, PATTERNS + 1] = np.log1p(counts)
+    out[:, PATTERNS + 2] = np.sqrt(counts / np.maximum(np.diff(bounds), 1))
     return out
 
 
-def fit(rows: list[tuple[str, int]]) -> Model:
-    """Learn insults and pattern weights from ``(text, toxic)`` pairs."""
-    rows = [(t or "", int(y)) for t, y in rows if y is not None]
-    toxic = sum(y for _, y in rows)
-    none = Model([np.zeros(0, dtype=np.uint64)] * len(STEMS), [np.zeros(0)] * len(STEMS), np.zeros(0))
-    if toxic in (0, len(rows)):
-        return none
+def without_copies(texts: list[set[str]]) -> list[int]:
+    """Numbers of texts of which no earlier one is a near copy, so that a word that one text brings along in a thousand copies counts once."""
+    seen: set[tuple] = set()
+    out = []
+    for i, words in enumerate(texts):
+        long = sorted(w for w in words if len(w) >= LONG)
+        if len(long) < SKETCH:
+            keys = [tuple(sorted(words))]
+        else:
+            h = pd.util.hash_array(np.array(long, dtype=object), categorize=False)
+            keys = [(seed, *np.sort(h * (2 * np.uint64(seed) + ROLL))[:SKETCH].tolist()) for seed in range(3)]
+        if not any(k in seen for k in keys):
+            out.append(i)
+        seen.update(keys)
+    return out
+
+
+def learned(toxic: list[set[str]], clean: list[set[str]]) -> dict[str, tuple[float, int]]:
+    """Insults with weight and stem length (0: a whole word) from the words of toxic and of clean texts.
+
+    A word counts when more of its texts are toxic than chance gives any of all the candidates (an exponential bound on the
+    binomial tail), and hardly any clean text holds it. A stem must pass the same test with all its completions together, go on in many
+    ways, and not hang on one longer stem or one word.
+    """
+    counted = Counter(w for words in toxic for w in words)
+    following: dict[str, dict[str, int]] = {}
+    for w, n in counted.items():
+        for k in STEMS:
+            if len(w) > k:
+                following.setdefault(w[:k], {})[w] = n
+    stems = {s for s, words in following.items() if len(words) >= COMPLETIONS and len({w[len(s)] for w in words}) >= NEXT_LETTERS}
+    stems |= {s + c for s in stems for c in {w[len(s)] for w in following[s]}}
+    keys: dict[str, tuple] = {}
     seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for text, y in rows:
-        stems = {w[:k] for w in {m.lower() for m in re.findall(r"[^\W\d_]+", text)} for k in STEMS if len(w) >= k}
-        seen[y].update(stems)
-    odds = lambda s: math.log((seen[1][s] + 0.5) / (toxic + 1)) - math.log((seen[0][s] + 0.5) / (len(rows) - toxic + 1))
-    # a stem counts when texts with it are toxic almost only, and when its shorter stem doesn't say it already
-    chosen: dict[str, float] = {}
-    rare = max(MIN_TOXIC_TEXTS, toxic // 60)
+    for y, texts in ((1, toxic), (0, clean)):
+        for words in texts:
+            found_keys: set = set()
+            for w in words:
+                if w not in keys:
+                    keys[w] = (*([(w, 0)] if w in counted else []), *((w[:k], k) for k in range(STEMS[0], min(STEMS[-1] + 2, len(w))) if w[:k] in stems))
+                found_keys.update(keys[w])
+            seen[y].update(found_keys)
+    if not toxic or not clean:
+        return {}
+    q = len(toxic) / (len(toxic) + len(clean))
+    need = math.log(max(len(seen[1]), 1) / CHANCE)
+
+    def odds(key) -> float:
+        n1, n0 = seen[1][key], seen[0][key]
+        p = n1 / (n1 + n0)
+        if p <= q or n0 * len(toxic) > CLEAN_SHARE * n1 * len(clean):
+            return 0.0
+        bound = (n1 + n0) * (p * math.log(p / q) + ((1 - p) * math.log((1 - p) / (1 - q)) if p < 1 else 0.0))
+        return math.log((n1 + 0.5) / (len(toxic) + 1)) - math.log((n0 + 0.5) / (len(clean) + 1)) if bound >= need else 0.0
+
+    found: dict[str, tuple[float, int]] = {}
     for k in STEMS:
-        for s in sorted(x for x, n in seen[1].items() if len(x) == k and n >= rare):
-            if odds(s) >= MIN_LOG_ODDS and seen[0][s] <= MAX_CLEAN_SHARE * seen[1][s] and not any(s[:j] in chosen for j in STEMS if j < k):
-                chosen[s] = min(odds(s), 8.0) / 4
+        for stem in sorted(s for s, n in seen[1] if n == k):
+            words = following[stem]
+            n1 = seen[1][stem, k]
+            if len(words) < COMPLETIONS or len({w[k] for w in words}) < NEXT_LETTERS or any(stem[:j] in found for j in STEMS if j < k) or max(words.values()) > ONE_BRANCH * n1:
+                continue
+            if max((seen[1][stem + c, k + 1] for c in {w[k] for w in words}), default=0) > ONE_BRANCH * n1 or not odds((stem, k)):
+                continue
+            found[stem] = (min(odds((stem, k)), 8.0) / 4, k)
+    for word, n in sorted(seen[1]):
+        if n == 0 and len(word) > 1 and odds((word, 0)) and not any(word[:j] in found and found[word[:j]][1] for j in STEMS):
+            found[word] = (min(odds((word, 0)), 8.0) / 4, 0)
+    return found
+
+
+def fit(rows: list[tuple]) -> Model:
+    """Learn insults and pattern weights from ``(text, toxic)`` or ``(text, toxic, weight)`` rows."""
+    rows = [(r[0] or "", int(r[1]), float(r[2]) if len(r) > 2 else 1.0) for r in rows if r[1] is not None]
+    y = np.array([r[1] for r in rows], dtype=float)
+    none = [np.zeros(0, dtype=np.uint64)] * (1 + len(STEMS)), [np.zeros(0)] * (1 + len(STEMS))
+    if not len(rows) or y.min() == y.max():
+        return Model(*none, np.zeros(0))
+    words = [set(re.findall(r"[^\W\d_]+", r[0].lower())) for r in rows]
+    single = without_copies(words)
+    found = learned([words[i] for i in single if rows[i][1]], [words[i] for i in single if not rows[i][1]])
     hashes, weights = [], []
-    for k in STEMS:
-        own = [s for s in chosen if len(s) == k]
-        h = _hash_words(own, k)
+    for k in (0, *STEMS):
+        own = [s for s, (_, n) in found.items() if n == k]
+        h = _hash_words(own) if own else none[0][0]
         order = np.argsort(h)
         hashes.append(h[order])
-        weights.append(np.array([chosen[s] for s in own])[order] if own else np.zeros(0))
+        weights.append(np.array([found[s][0] for s in own])[order] if own else np.zeros(0))
     model = Model(hashes, weights, np.zeros(0))
-    x = features(model, pa.array([t for t, _ in rows]), grammar())
+    x = features(model, pa.array([r[0] for r in rows]), grammar())
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    y = np.array([y for _, y in rows], dtype=float)
+    # a row counts for as many as it was drawn for, in all as many as were drawn
+    each = np.array([r[2] for r in rows])
+    each *= len(rows) / each.sum()
     w = np.zeros(x.shape[1])
     ridge = np.full(len(w), 1.0)
     ridge[-1] = 1e-3
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (each * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -267,13 +414,14 @@ def score_texts(model: Model, texts: pa.Array, automaton: Automaton) -> np.ndarr
     return 1 / (1 + np.exp(-np.clip(x @ model.logistic[:-1] + model.logistic[-1], -30, 30)))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> list[tuple[str, int]]:
-    """About ``most`` labelled texts outside the held-out fold, drawn by a hash of their ids; bounded whatever the tables' sizes."""
-    able = labels.select("doc_id", "toxic").where(~held_out()).where(F.col("toxic").isNotNull()).dropDuplicates(["doc_id"])
-    share = min(1.0, most / max(able.count(), 1))
-    drawn = able.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + (share >= 1.0)).limit(2 * most)
-    texts = docs.select("doc_id", "text").where(F.length("text") <= TRAIN_CHARS)
-    return [(r.text, r.toxic) for r in texts.join(F.broadcast(drawn), "doc_id").select("text", "toxic").limit(2 * most).collect()]
+def training_sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> list[tuple[str, int, float]]:
+    """About ``most`` labelled texts of each label outside the held-out fold, or stretches of long ones; bounded whatever the tables' sizes. A document with two labels counts as toxic."""
+    able = labels.select("doc_id", "toxic").where(~held_out()).where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    counts = {r["toxic"]: r["count"] for r in able.groupBy("toxic").count().collect()}
+    # ids are drawn before they meet the texts, generously, so that what is broadcast stays small
+    share = F.element_at(F.create_map(*[x for y, n in counts.items() for x in (F.lit(y), F.lit(min(1 << 30, int(2 * most / n * (1 << 30)))))]), F.col("toxic")) if counts else F.lit(0)
+    drawn = able.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
+    return stratified(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"), "toxic", most, TRAIN_CHARS)
 
 
 def score(docs: DataFrame, labels: DataFrame | None = None, model: Model | None = None, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -291,4 +439,4 @@ def score(docs: DataFrame, labels: DataFrame | None = None, model: Model | None
     return bounded_batches(given).mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in columns], "score double"]))
 
 
-__all__ = ["Automaton", "Model", "Transducer", "compose", "features", "fit", "grammar", "score", "score_texts", "training_sample"]
+__all__ = ["Automaton", "Model", "Transducer", "cascade", "clause", "compiled", "compose", "features", "fit", "grammar", "learned", "score", "score_texts", "training_sample"]

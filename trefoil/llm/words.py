@@ -19,6 +19,41 @@ BATCH_ROWS = 1000
 ROLL = np.uint64(0x9E3779B97F4A7C15)
 
 
+def whole_hashes(points: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of all the characters of each word, however long: a polynomial in ROLL, mixed with the length."""
+    h = np.zeros(len(start), dtype=np.uint64)
+    filled = np.flatnonzero(size > 0)
+    if len(filled):
+        ends = np.cumsum(size[filled])
+        place = np.arange(ends[-1]) - np.repeat(ends - size[filled], size[filled])
+        power = np.concatenate([np.ones(1, dtype=np.uint64), np.cumprod(np.full(int(size.max()), ROLL))])
+        term = points[np.repeat(start[filled], size[filled]) + place].astype(np.uint64) * power[place]
+        h[filled] = np.add.reduceat(term, ends - size[filled])
+    h = (h ^ (h >> np.uint64(29))) * ROLL + size.astype(np.uint64)
+    return h ^ (h >> np.uint64(32))
+
+
+def stratified(rows: DataFrame, label: str, most: int, chars: int) -> list[tuple[str, object, float]]:
+    """``(text, label, weight)`` of about ``most`` rows of each value of ``label``, drawn by a hash of id and text; ``weight`` is how many rows a drawn one stands for.
+
+    No row is passed over for its length: of a text over ``chars`` characters a stretch of that many is drawn, at a place given by the hash.
+    Copies of one row are drawn as one. Labels are few; the sample is bounded by labels x 2 * ``most`` x ``chars``.
+    """
+    rows = rows.select("doc_id", "text", F.col(label).alias("label")).where(~held_out()).where("label is not null and text is not null")
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if not counts:
+        return []
+    share = lambda n: (1 << 30) if n <= most else int(most / n * (1 << 30))
+    limit = F.element_at(F.create_map(*[x for label, n in counts.items() for x in (F.lit(label), F.lit(share(n)))]), F.col("label"))
+    h = F.xxhash64("doc_id", "text")
+    drawn = rows.withColumn("h", h).where(F.pmod("h", F.lit(1 << 30)) < limit)
+    at = F.when(F.length("text") > chars, 1 + F.pmod(F.shiftright("h", 30), F.length("text") - chars)).otherwise(F.lit(1)).cast("int")
+    drawn = drawn.select(F.substring("text", at, F.lit(chars)).alias("text"), "label", "h").dropDuplicates(["label", "h"])
+    some = drawn.limit(2 * most * len(counts)).collect()
+    seen = {label: sum(r.label == label for r in some) for label in counts}
+    return sorted(((r.text, r.label, counts[r.label] / seen[r.label]) for r in some), key=lambda r: (str(r[1]), r[0]))
+
+
 def bounded_batches(df: DataFrame) -> DataFrame:
     """``df``, with its session's Arrow batches held to BATCH_ROWS rows."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
