@@ -1,11 +1,14 @@
 import hashlib
 import random
 import re
+from itertools import product
 
 import pyarrow as pa
 
 from trefoil.llm import pii
+from trefoil.llm import pii as P
 
+FIELD = pii.fit()
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
@@ -39,7 +42,7 @@ def test_base_spans_equal_plain_patterns():
 
 
 def test_field_adds_spans_and_leaves_plain_text_alone():
-    field = pii.fit()
+    field = FIELD
     texts = ['und token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" so', "the man of the house is here, and that was 3 or 4.0. of it", "call (499) 555-6503 now", "+1 (499) 555-6503 it", "THE!! MAN!! OF!! THAT!!", None, "", "is 1999 a year = or not"]
     found = [every for _, every in pii.find(field, pa.array(texts, pa.string()))]
     assert [[texts[i][a:b] for a, b, _ in spans] for i, spans in enumerate(found)] == [["04dbebab91ab85687d33eeaaf9ac699e1188f962"], [], ["(499) 555-6503"], ["+1 (499) 555-6503"], [], [], [], []]
@@ -47,7 +50,7 @@ def test_field_adds_spans_and_leaves_plain_text_alone():
 
 
 def test_training_table_is_learned():
-    field, wrong, total = pii.fit(), 0, 0
+    field, wrong, total = FIELD, 0, 0
     for text, spans in pii.labelled_table(1):
         want = {(*pii._trim(text, a, b), kind) for a, b, kind in spans}
         got = {s for s in pii.find(field, pa.array([text]))[0][1] if s[2] in pii.ADDED_KINDS}
@@ -67,3 +70,52 @@ def test_query_columns_nulls_repeats_and_extra_columns(spark):
     assert pii.detect(df.limit(0)).collect() == []
     clean = {r.doc_id: r.clean_text for r in pii.redact(df.where("doc_id < 3").distinct()).collect()}
     assert clean == {1: "me [EMAIL] and [IP]", 2: None}
+
+
+def test_unseen_sentences():
+    """Sentences of another making than the training table's: real words, other orders and marks."""
+    rng = random.Random(77)
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    d, h, u = "0123456789", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    mixed = u + u.lower() + d
+    makers = {
+        "secret": [lambda: ("Please set the password = {} before Friday", pick(u.lower(), 4) + ":" + pick(mixed, 8) + "!" + pick(d, 2)), lambda: ('curl -H "token: {}" was sent', pick(h, 40)), lambda: ("API_KEY={} in the environment file", pick(mixed, 30) + "7x"), lambda: ("They pasted {} into the chat", pick(h, 38) + "a1"), lambda: ("session {} expired", "-".join(pick(h, n) for n in (8, 4, 4, 4, 12)))],
+        "national_id": [lambda: ("His SSN is {} according to the form", f"{pick(d, 3)}-{pick(d, 2)}-{pick(d, 4)}"), lambda: ("Passport {} was stamped", pick(u, 1) + pick(d, 8))],
+        "bank_account": [lambda: ("Transfer it to IBAN {} today", pick(u, 2) + pick(d, 20)), lambda: ("Pay to IBAN {} and call us", pick(u, 2) + pick(d, 2) + "".join(" " + pick(d, 4) for _ in range(4)) + " " + pick(d, 2))],
+        "local_phone": [lambda: ("Call her on {} after six", f"({pick(d, 3)}) {pick(d, 3)}-{pick(d, 4)}"), lambda: ("My number: {}, thanks", f"{pick(d, 3)}-{pick(d, 3)}-{pick(d, 4)}")],
+    }
+    rows = [(sentence.replace("{}", value), sentence.index("{}"), value) for _ in range(60) for some in makers.values() for make in some for sentence, value in [make()]]
+    found = P.find(FIELD, pa.array([t for t, _, _ in rows]))
+    hit = sum(any(a <= at and b >= at + len(value) for a, b, _ in every) for (_, at, value), (_, every) in zip(rows, found, strict=True))
+    assert hit >= 0.9 * len(rows), hit / len(rows)
+    clean = [
+        "We met on 2024-01-02 and again on 2023-11-30.", "From 1999-2003 they lived here; 2010-2014 elsewhere.", "The match ended 3-2 after 120 minutes, 45,000 watched.", "Version 2.14.3 came out on 12.05.2021 at 10:30.", "See pages 120-145 and 200-210 of volume 3.",
+        "The password was never written down, and the key stayed home.", "He asked for a token of thanks, not for money.", "Flight LH 4510 left at 09:15 from gate B12.", "Boeing 747-400 and Airbus A320-200 share the runway.", "In 2021 sales rose 12.5% to $3,200,000.", "Room 101, floor 12, building 7, since 1984.", "Photos 0001 to 0250 were lost in 2019.",
+        "State-of-the-art well-known twenty-five year-old", "https://www.example.org/archive/2020/05/17/story.html was cited.", "ISO 9001 and RFC 2616 are standards.", "The account of the journey and the phone call", "a = b + 12 and c = 7", "Sonnet 116 has 14 lines.",
+    ]
+    wrong = [(t, every) for t, (_, every) in zip(clean, P.find(FIELD, pa.array(clean)), strict=True) if every]
+    assert len(wrong) <= 1, wrong
+
+
+def test_whole_secrets_are_masked():
+    texts = ["password = abcd:EFgh123!xQ", "secret : Ab12:Cd34Ef56gh78", f'token = "{"0123456789abcdef" * 2}01234567=a1"', "DB_PASSWORD=hunter2:xY9zQ"]
+    out = [P.masked(t, every) for t, (_, every) in zip(texts, P.find(FIELD, pa.array(texts)), strict=True)]
+    assert out == ["password = [SECRET]", "secret : [SECRET]", 'token = "[SECRET]"', "DB_PASSWORD=[SECRET]"]
+
+
+def test_labels_are_the_best_of_all_paths():
+    rng = random.Random(5)
+    some = ["call", "(555)", "123-4567", "token", "=", '"0a1b2c3d4e5f60718293a4b5c6d7e8f901234567"', "the", "ssn", "123-45-6789", "IBAN", "DE89", "3704", "2024-01-02"]
+    k = FIELD.transitions.shape[0]
+    for _ in range(12):
+        words = [rng.choice(some) for _ in range(rng.randint(1, 5))]
+        numbers = P._feature_numbers(P._shapes(pa.array(words)))
+        score = lambda i, side: sum(FIELD.weights[x[i] + side * P.N_FEATURES] for x in numbers)  # noqa: E731, B023
+        emit = [score(i, 0) + (score(i - 1, 1) if i else 0) + (score(i + 1, 2) if i + 1 < len(words) else 0) for i in range(len(words))]
+        value = lambda path: sum(emit[i][y] for i, y in enumerate(path)) + sum(FIELD.transitions[a, b] for a, b in zip(path, path[1:], strict=False))  # noqa: E731, B023
+        best = max(product(range(k), repeat=len(words)), key=value)
+        at, label, _ = P.label_words(FIELD, pa.array([" ".join(words)]))
+        got = [0] * len(words)
+        for i, y in zip(at, label, strict=True):
+            got[i] = int(y)
+        assert abs(value(got) - value(best)) < 1e-3

@@ -1,5 +1,7 @@
 from collections import defaultdict
 
+import duckdb
+
 from tests.conftest import SF, duck_rows, rows_of
 from trefoil.llm import preference as P
 from trefoil.llm import queries, sql
@@ -46,18 +48,40 @@ def test_against_plain_python(spark):
     assert P.format_pairs(df.limit(0)).collect() == []
 
 
+def spans(text):
+    return [tuple(map(int, x.split("-"))) for x in text.split(",") if x]
+
+
 def test_examples(spark):
     df = spark.createDataFrame(ROWS, "conv_id bigint, turn bigint, role string, text string")
     got = {r.pair_id: r for r in P.examples(P.format_pairs(df)).collect()}
     first = got[0]
     assert first.prompt == "<|user|>\nhi<|end|>\n<|assistant|>\nyes<|end|>\n<|user|>\nmore<|end|>\n"
-    assert [first.chosen[a:b] for a, b in first.chosen_mask] == ["good é<|end|>\n"]
-    assert [first.rejected[a:b] for a, b in first.rejected_mask] == ["bad<|end|>\n", "worse<|end|>\n"]
+    assert [first.chosen[a:b] for a, b in spans(first.chosen_mask)] == ["good é<|end|>\n"]
+    assert [first.rejected[a:b] for a, b in spans(first.rejected_mask)] == ["bad<|end|>\n", "worse<|end|>\n"]
     assert (got[1].chosen, got[1].rejected) == ("", "")
+    assert not got[2].paired and got[0].paired
+    parts = P.examples(P.format_pairs(df.where("conv_id < 2")), block=2).orderBy("part").collect()
+    assert len(parts) == 3 and all("".join(r[s] for r in parts) == first[s] for s in ("prompt", "chosen", "rejected"))
+    assert [r.rejected[a:b] for r in parts for a, b in spans(r.rejected_mask)] == ["bad<|end|>\n", "worse<|end|>\n"]
+
+
+def test_ids_beyond_what_a_double_holds(spark):
+    big = 2**54
+    rows = [(big + 2, 0, "user", "hi"), (big + 3, 0, "user", "hi"), (big + 2, 1, "assistant", "a"), (big + 3, 1, "assistant", "b"), (-(2**62) - 2, 0, "user", "n"), (-(2**62) - 1, 0, "user", "n")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = P.format_pairs(df).collect()
+    assert {(r.pair_id, r.segment, r.turn, r.paired) for r in got} == {(big // 2 + 1, "prompt", 0, True), (big // 2 + 1, "chosen", 1, True), (big // 2 + 1, "rejected", 1, True), (-(2**61) - 1, "prompt", 0, True)}
+    con = duckdb.connect()
+    con.execute("create table conversations as select * from (values " + ", ".join(f"({c}::bigint, {t}, '{r}', '{x}')" for c, t, r, x in rows) + ") v(conv_id, turn, role, text)")
+    assert {tuple(r) for r in con.sql(f"select pair_id, segment, turn, paired from ({sql.PREFERENCE})").fetchall()} == {(r.pair_id, r.segment, r.turn, r.paired) for r in got}
 
 
 def test_query_against_sql(spark):
     got = queries.op7_preference_formatting(spark, SF)
     columns, want = duck_rows(sql.PREFERENCE)
     assert sorted(got.columns) == columns and rows_of(got) == want
+    columns, want = duck_rows(sql.EXAMPLES)
+    pairs = queries.preference_examples(spark, SF)
+    assert sorted(pairs.columns) == columns and rows_of(pairs) == want and "Python" not in pairs._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()

@@ -45,7 +45,12 @@ KEYWORDS = (
     "iban account konto compte cuenta".split(),
     "tel phone call telefon téléphone teléfono mobile fax".split(),
 )
-LENGTHS = (1, 2, 3, 4, 7, 9, 11, 15, 23, 31, 47)
+#: Every word that announces a value.
+NAMES = frozenset(w for some in KEYWORDS for w in some)
+#: A name and its sign before a value, in one word with it.
+NAMED = re.compile(r"[^\w]*(\w+)[\"'\])]*[=:]+")
+#: Upper bounds of the length classes; of few digits every number has its own, as dates differ from ids by one digit.
+LENGTHS = (1, 2, 3, 4, 6, 7, 8, 9, 10, 12, 15, 19, 25, 33, 47)
 SEED, ROUNDS = 11, 250
 
 Span = tuple[int, int, str]
@@ -100,15 +105,18 @@ def labelled_table(copies: int = 6) -> list[tuple[str, list[Span]]]:
     fill = {
         "hex": lambda: pick(hexes, rng.choice([32, 40, 40, 40, 64])), "HEX": lambda: pick(hexes.upper(), 40), "b64": lambda: pick(upper + upper.lower() + digits, rng.randint(20, 44)), "pass": lambda: pick(upper.lower(), 4) + pick(digits, 3) + "!x" + pick(upper, 2),
         "d3": lambda: pick(digits, 3), "d2": lambda: pick(digits, 2), "d4": lambda: pick(digits, 4), "d6": lambda: pick(digits, 6), "iban": lambda: pick(upper, 2) + pick(digits, rng.choice([18, 20, 22])), "pp": lambda: pick(upper, 1) + pick(digits, 8),
+        "uuid": lambda: "-".join(pick(hexes, n) for n in (8, 4, 4, 4, 12)), "ak": lambda: pick(upper, 5) + pick(upper + digits, rng.randint(13, 17)) + pick(digits, 1) + pick(upper, 1), "ib": lambda: pick(upper, 2) + pick(digits, 2), "mix": lambda: pick(upper + upper.lower(), 4) + pick(":=-_/+!?", 1) + pick(upper + upper.lower() + digits, rng.randint(6, 16)) + pick(digits, 2), "year": lambda: rng.choice(["19", "20"]) + pick(digits, 2), "mm": lambda: f"{rng.randint(1, 12):02d}", "env": lambda: rng.choice(["password", "token", "api_key", "DB_PASSWORD", "secret", "access_key"]),
         "card": lambda: pick(digits, 16), "w": lambda: pick("etaoinshrdlu", rng.randint(1, 9)), "W": lambda: pick(upper, rng.randint(2, 9)), "n": lambda: pick(digits, rng.randint(1, 4)), "ü": lambda: pick("äéñßçchten", rng.randint(2, 10)),
     }
     templates = [
         'token = {secret "#hex"} #w #w', 'api_key = {secret "#hex"} and #w', '#w #w. TOKEN = {secret "#HEX"}!! #W!! #W!!', 'secret : {secret #b64} #w', 'password = {secret #pass} #w', '#w key = {secret #b64} #w', 'password: {secret #pass}', 'key = {secret "#hex"}### #w*** #w&&& #w%%%', 'pwd = {secret #pass}',
+        "#w secret : {secret #mix} #w", "password = {secret #mix}", 'token = {secret "#mix"}, #w', "#env={secret #mix} #w", "#env={secret #hex}", '#w {secret #hex} #w', "#w #w {secret #HEX}.", "commit {secret #hex} #w", "#w {secret #uuid} #w", 'id {secret "#uuid"}, #w', "bearer {secret #b64}", "#w {secret #ak} #w", "#w #w. {secret #ak} #W", "#w #env: {secret #b64}.",
         "ssn {national_id #d3-#d2-#d4} #w", "#w {national_id #d3-#d2-#d4}. #w", "passport {national_id #pp} #w", "id_number {national_id #pp}, #w",
         "iban {bank_account #iban} #w", "#w {bank_account #iban}, #w", "account {bank_account #iban}.",
+        "IBAN {bank_account #ib #d4 #d4 #d4 #d4 #d2} #w", "#w iban: {bank_account #ib #d4 #d4 #d4 #d4 #d4}. #w", "#w konto {bank_account #ib #d4 #d4 #d4 #d4 #d4 #d3}, #w", "#w {bank_account #ib #d4 #d4 #d4 #d4 #d2} #w",
         "call {local_phone (#d3) #d3-#d4} #w", "tel {local_phone #d3-#d3-#d4} #w", "#w {local_phone #d3-#d3-#d4}. #w", "phone {local_phone 0#d3 #d6} #w", "#w {local_phone (#d3) #d3-#d4}, #w",
         "#w #w #ü, #w #w. #W #w #ü #w #w", "#w #w #w, #ü #w; #w #w: #w", "#W!! #W!! #W!! #w!! #ü!!", "#w*** #w&&& #ü$$$ #w%%% #w### #w", "#w | #w | #ü | #w", "Version #n.#n. #w Apache License, Version 2.0. #w", "version 3 or (at your option) #w", "#w #w in #d4, #w", "#w $#n.#d2 #w #n% #w",
-        "#w = #w + #n", "key #w #w token #w", "password #w #w", "#w 20#d2-0#d2 #w #n:#d2 #w", "#w x@#w.example.com #w", "#w #w.#d2@mail.example.com### #w", "#n.#n.#n.#n #w #w", "#w #card #w #card.", "+1 (#d3) 555-#d4 #w", "#w +49 (#d3) 555-#d4%%% #w", "#w #n,#d3 #w #n. #w", "account of #w phone #w", "http://#w.example.org/#w/#n #w", "#w-#w #w/#w #w_#w (#w) \"#w\" '#w'",
+        "#w #year-#mm-#mm #w", "#w (#year-#mm-#mm), #w", "on #mm-#mm-#year #w", "#year-#year #w", "#w from #year-#year. #w", "#mm/#mm/#year #w #w", "#w #mm.#mm.#year #w", "#year-#mm-#mm #mm:#d2:#d2 #w", "#w #mm:#mm-#mm:#d2 #w", "pages #d3-#d3 of #w", "#w #d2-#d2 #w", "#d4 #d4 #d4 #w", "#w #d4 #w #d4 #w", "phone in #year, #w", "#w #n,#d3,#d3 #w", "isbn #d3-#n-#d2-#d6-#n #w", "#w #W-#d4 #w", "flight #W #d4 #w", "#w v#n.#n.#n-#n #w", "account #w #w in #year #w", "#w = #w + #n", "key #w #w token #w", "password #w #w", "#w 20#d2-0#d2 #w #n:#d2 #w", "#w x@#w.example.com #w", "#w #w.#d2@mail.example.com### #w", "#n.#n.#n.#n #w #w", "#w #card #w #card.", "+1 (#d3) 555-#d4 #w", "#w +49 (#d3) 555-#d4%%% #w", "#w #n,#d3 #w #n. #w", "account of #w phone #w", "http://#w.example.org/#w/#n #w", "#w-#w #w/#w #w_#w (#w) \"#w\" '#w'",
     ]
     names = "|".join(sorted(fill, key=len, reverse=True))
     out = []
@@ -232,9 +240,10 @@ def label_words(field: Field, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
 
 
 def _trim(text: str, a: int, b: int) -> tuple[int, int]:
-    """A span without the marks around it, and without a name and sign before its value."""
-    sign = max(text.rfind("=", a, b), text.rfind(":", a, b))
-    a = sign + 1 if 0 <= sign < b - 1 else a
+    """A span without the marks around it, and without the name of a value and its sign before it; signs within the value stay."""
+    named = NAMED.match(text, a, b)
+    if named and named.end() < b and not NAMES.isdisjoint({named[1].lower(), *re.split(r"[_\d]+", named[1].lower())}):
+        a = named.end()
     while a < b and not (text[a].isalnum() or text[a] in "+("):
         a += 1
     while b > a and not text[b - 1].isalnum():

@@ -3,8 +3,8 @@
 The longest common turn prefix of a pair is found without gathering a conversation: turns meet by (pair, turn) and
 the first turn at which the sides differ is a minimum per pair. Turns before it are the prompt, rendered once;
 the others are completions of their side, in which only assistant turns are trained on. The result has one row per
-rendered turn, so a conversation of any length is never one task's work; ``examples`` puts rows together for
-pairs that fit a row. Built-in functions only.
+rendered turn, so a conversation of any length is never one task's work; ``examples`` puts them together to paired
+completions, in blocks of turns. Built-in functions only.
 
 Defined results: a null role renders as ``unknown``, a null text as nothing; of rows with the same conversation and
 turn the smallest (role, text) counts; rows with a null conversation or turn are left out; identical sides are all
@@ -19,32 +19,40 @@ from pyspark.sql import functions as F
 
 # The template's marks.
 ROLE_OPEN, ROLE_CLOSE, TURN_END = "<|", "|>\n", "<|end|>\n"
+#: Turn numbers that a row of examples gathers.
+BLOCK = 512
 
 
-def consecutive_pairs(conversations: DataFrame) -> DataFrame:
-    """``(conv_id, pair_id, side)``: an even id is the chosen side, the odd id after it the rejected side."""
+def _consecutive() -> dict:
+    """Pair and side of consecutive ids, in whole numbers: an even id is the chosen side, the odd id after it the rejected side."""
     conv = F.col("conv_id")
-    return conversations.select("conv_id").distinct().where(conv.isNotNull()).select(conv, F.floor(conv / 2).cast("long").alias("pair_id"), F.when(F.pmod(conv, F.lit(2)) == 0, "chosen").otherwise("rejected").alias("side"))
+    return {"pair_id": F.shiftright(conv.cast("long"), 1), "side": F.when(conv.cast("long").bitwiseAND(F.lit(1)) == 0, "chosen").otherwise("rejected")}
+
+
+def consecutive_pairs(conversations: DataFrame) -> DataFrame:
+    """``(conv_id, pair_id, side)`` of consecutive ids."""
+    return conversations.select("conv_id").distinct().where("conv_id is not null").select("conv_id", *[c.alias(name) for name, c in _consecutive().items()])
 
 
 def turns(conversations: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """``(pair_id, turn, side, role, text)``; without ``pairs`` consecutive ids are paired, and no join is needed."""
-    one = conversations.where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min(F.struct(F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("t"))
-    if pairs is None:
-        conv = F.col("conv_id")
-        one = one.withColumns({"pair_id": F.floor(conv / 2).cast("long"), "side": F.when(F.pmod(conv, F.lit(2)) == 0, "chosen").otherwise("rejected")})
-    else:
-        one = one.join(pairs.select("conv_id", "pair_id", "side"), "conv_id")
-    return one.select("pair_id", "turn", "side", "t.role", "t.text")
+    one = conversations.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    one = one.withColumns(_consecutive()) if pairs is None else one.join(pairs.select("conv_id", "pair_id", "side"), "conv_id")
+    return one.select("pair_id", "turn", "side", "role", "text")
 
 
 def format_pairs(conversations: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """``(pair_id, segment, turn, role, rendered, train_from, train_to, paired)``: segments are prompt, chosen and rejected; characters from train_from up to train_to are trained on."""
-    side = lambda s: F.max(F.when(F.col("side") == s, F.struct("role", "text"))).alias(s)
+    """``(pair_id, segment, turn, role, rendered, train_from, train_to, paired)``: segments are prompt, chosen and rejected; characters from train_from up to train_to are trained on.
+
+    Texts are shuffled once, by (pair, turn): where a pair splits is found from the turns' numbers alone and comes back under that key.
+    """
+    side = lambda s: F.min(F.when(F.col("side") == s, F.struct("role", "text"))).alias(s)
     aligned = turns(conversations, pairs).groupBy("pair_id", "turn").agg(side("chosen"), side("rejected"))
     same = F.coalesce(F.col("chosen") == F.col("rejected"), F.lit(False))
-    first = aligned.groupBy("pair_id").agg(F.min(F.when(~same, F.col("turn"))).alias("split"), (F.max(F.col("chosen").isNotNull()) & F.max(F.col("rejected").isNotNull())).alias("paired"))
-    cut = aligned.join(first, "pair_id")
+    slim = aligned.select(F.col("pair_id").alias("p"), F.col("turn").alias("t"), same.alias("same"), F.col("chosen").isNotNull().alias("c"), F.col("rejected").isNotNull().alias("r"))
+    first = slim.groupBy("p").agg(F.min(F.when(~F.col("same"), F.col("t"))).alias("split"), (F.max("c") & F.max("r")).alias("paired"))
+    places = slim.select("p", "t").join(first, "p").withColumnsRenamed({"p": "pair_id", "t": "turn"})
+    cut = aligned.join(places, ["pair_id", "turn"])
     shared = F.col("split").isNull() | (F.col("turn") < F.col("split"))
     part = lambda name, s: F.struct(F.lit(name).alias("segment"), F.col(s).alias("t"))
     parts = F.when(shared, F.array(part("prompt", "chosen"))).otherwise(F.array(part("chosen", "chosen"), part("rejected", "rejected")))
@@ -56,11 +64,17 @@ def format_pairs(conversations: DataFrame, pairs: DataFrame | None = None) -> Da
     return rows.select("pair_id", "segment", "turn", "role", F.concat(head, body).alias("rendered"), mark(F.length(head)).alias("train_from"), mark(F.length(head) + F.length(body)).alias("train_to"), "paired")
 
 
-def examples(formatted: DataFrame) -> DataFrame:
-    """``(pair_id, prompt, chosen, rejected, chosen_mask, rejected_mask)``: one row per pair, masks as ``[from, to)`` spans of each completion. For conversations that fit a row."""
-    size = F.sum(F.length("rendered")).over
-    before = Window.partitionBy("pair_id", "segment").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    placed = formatted.withColumn("at", F.coalesce(size(before), F.lit(0)))
-    of = lambda s: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("segment") == s, F.struct("turn", "rendered")))), lambda x: x.rendered), "").alias(s)
-    spans = lambda s: F.array_sort(F.collect_list(F.when((F.col("segment") == s) & (F.col("train_to") > 0), F.struct((F.col("at") + F.col("train_from")).alias("from"), (F.col("at") + F.col("train_to")).alias("to"))))).alias(f"{s}_mask")
-    return placed.groupBy("pair_id").agg(of("prompt"), of("chosen"), of("rejected"), spans("chosen"), spans("rejected"))
+def examples(formatted: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``(pair_id, part, prompt, chosen, rejected, chosen_mask, rejected_mask, paired)``: the paired completions, masks as ``from-to`` spans of characters.
+
+    One row per pair, and of pairs with turn numbers over ``block`` one row per ``block`` of them, so that no row gathers a whole
+    conversation however long it is; parts follow one another.
+    """
+    part = F.floor(F.col("turn") / block).cast("long")
+    before = Window.partitionBy("pair_id", "part", "segment").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    placed = formatted.withColumn("part", part).withColumn("at", F.coalesce(F.sum(F.length("rendered")).over(before), F.lit(0)))
+    rows = lambda s, value, also=F.lit(True): F.array_sort(F.collect_list(F.when((F.col("segment") == s) & also, F.struct("turn", value.alias("v")))))
+    of = lambda s: F.array_join(F.transform(rows(s, F.col("rendered")), lambda x: x.v), "").alias(s)
+    span = F.concat_ws("-", F.col("at") + F.col("train_from"), F.col("at") + F.col("train_to"))
+    spans = lambda s: F.array_join(F.transform(rows(s, span, F.col("train_to") > 0), lambda x: x.v), ",").alias(f"{s}_mask")
+    return placed.groupBy("pair_id", "part").agg(of("prompt"), of("chosen"), of("rejected"), spans("chosen"), spans("rejected"), F.bool_or("paired").alias("paired"))

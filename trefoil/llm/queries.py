@@ -49,6 +49,11 @@ def op7_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.format_pairs(_table(spark, sf_dir, "conversations"))
 
 
+def preference_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paired, masked completions of operator 7."""
+    return preference.examples(preference.format_pairs(_table(spark, sf_dir, "conversations")))
+
+
 def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_pii_spans": op6_pii_spans,
     "op7_preference_formatting": op7_preference_formatting,
+    "preference_examples": preference_examples,
     "op8_template_decontamination": op8_template_decontamination,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_masked_pseudo_likelihood": op10_masked_pseudo_likelihood,

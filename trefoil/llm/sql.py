@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from trefoil.llm.decontamination import MIN_COVERAGE, MIN_LITERALS, TOKEN, WINDOW
-from trefoil.llm.preference import ROLE_CLOSE, ROLE_OPEN, TURN_END
+from trefoil.llm.preference import BLOCK, ROLE_CLOSE, ROLE_OPEN, TURN_END
 from trefoil.llm.quality import POLICIES, RULES, mask
 
 _BITS = " + ".join(f"(CASE WHEN {rule} THEN {1 << i} ELSE 0 END)" for i, rule in enumerate(RULES.values()))
@@ -21,7 +21,7 @@ SELECT *, fail_bits & {mask(POLICIES["v1"])} = 0 kept, fail_bits & {mask(POLICIE
 _HEAD = f"'{ROLE_OPEN}' || role || '{ROLE_CLOSE}'".replace("\n", "' || chr(10) || '")
 _BODY = f"text || '{TURN_END}'".replace("\n", "' || chr(10) || '")
 PREFERENCE = f"""
-WITH t AS (SELECT CAST(floor(conv_id / 2) AS BIGINT) pair_id, turn, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END side, min((coalesce(role, 'unknown'), coalesce(text, ''))) v FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
+WITH t AS (SELECT CAST(conv_id AS BIGINT) >> 1 pair_id, turn, CASE WHEN CAST(conv_id AS BIGINT) & 1 = 0 THEN 'chosen' ELSE 'rejected' END side, min((coalesce(role, 'unknown'), coalesce(text, ''))) v FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
 a AS (SELECT pair_id, turn, max(v) FILTER (side = 'chosen') chosen, max(v) FILTER (side = 'rejected') rejected FROM t GROUP BY 1, 2),
 f AS (SELECT pair_id, min(turn) FILTER (NOT coalesce(chosen = rejected, false)) split, bool_or(chosen IS NOT NULL) AND bool_or(rejected IS NOT NULL) paired FROM a GROUP BY 1),
 p AS (SELECT *, split IS NULL OR turn < split shared FROM a JOIN f USING (pair_id)),
@@ -30,6 +30,11 @@ s AS (SELECT pair_id, segment, turn, v[1] AS "role", v[2] AS text, paired FROM r
 SELECT pair_id, segment, turn, role, {_HEAD} || {_BODY} rendered, CASE WHEN segment <> 'prompt' AND role = 'assistant' THEN length({_HEAD}) ELSE 0 END train_from,
   CASE WHEN segment <> 'prompt' AND role = 'assistant' THEN length({_HEAD} || {_BODY}) ELSE 0 END train_to, paired FROM s"""
 
+EXAMPLES = f"""
+WITH p AS (SELECT *, turn // {BLOCK} part, coalesce(sum(length(rendered)) OVER (PARTITION BY pair_id, turn // {BLOCK}, segment ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) place FROM ({PREFERENCE}))
+SELECT pair_id, CAST(part AS BIGINT) part, {", ".join(f"coalesce(string_agg(rendered, '' ORDER BY turn) FILTER (segment = '{s}'), '') {s}" for s in ("prompt", "chosen", "rejected"))},
+{", ".join(f"coalesce(string_agg(CAST(place + train_from AS BIGINT) || '-' || CAST(place + train_to AS BIGINT), ',' ORDER BY turn) FILTER (segment = '{s}' AND train_to > 0), '') {s}_mask" for s in ("chosen", "rejected"))}, bool_or(paired) paired FROM p GROUP BY 1, 2"""
+
 _TEMPLATE = r"list_transform(tk, lambda x, i: CASE WHEN regexp_matches(x, '^\pN.*\pL$') THEN '<num><unit>' WHEN regexp_matches(x, '^\pN') THEN '<num>' WHEN i > 1 AND regexp_matches(x, '^\p{Lu}\p{Ll}+$') THEN '<name>' ELSE lower(regexp_replace(x, '[^\pL]+', '', 'g')) END)"
 _CLEAN = r"lower(regexp_replace({}, '[^\pL\pN.,]+', '', 'g'))"
 _TOKEN = TOKEN.replace("'", "''")
@@ -52,4 +57,4 @@ WITH p AS (SELECT page_id, strlen(coalesce(html, '')) n, sha256(coalesce(html, '
 f AS (SELECT *, min(page_id) OVER (PARTITION BY h) first FROM p)
 SELECT page_id, n payload_bytes, h payload_digest, CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END record_type, CASE WHEN n >= 100 AND page_id <> first THEN first END refers_to FROM f"""
 
-ORACLE = {"op4_warc_round_trip": WARC, "op2_quality_ledger": QUALITY, "op7_preference_formatting": PREFERENCE, "op8_template_decontamination": DECONTAMINATION}
+ORACLE = {"op4_warc_round_trip": WARC, "op2_quality_ledger": QUALITY, "op7_preference_formatting": PREFERENCE, "preference_examples": EXAMPLES, "op8_template_decontamination": DECONTAMINATION}
