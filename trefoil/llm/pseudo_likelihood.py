@@ -1,14 +1,16 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every token from the words on both sides of it.
 
-Words (lower case, without ASCII punctuation) are hashed into buckets; bucket counts over the whole corpus give frequent
-buckets a token of their own and put the rest together in shared ones. The most frequent tokens are a class each, the
-others fall into classes of about equal mass. The network adds an embedding for each of the neighbours by its place, goes through one tanh layer and
-predicts the class; a token's share of its class is its corpus frequency. A text scores the sum of the log-probabilities
-of all its tokens, each given the others in its window.
-
-Training covers all documents: every partition trains a replica on all its tokens, from one common start that a
-small bounded sample has warmed up, and replicas are averaged by their tokens in groups of FAN_IN, level by level,
-so that no task ever holds more than FAN_IN of them. A replica's size doesn't depend on the corpus.
+Words (lower case; runs of punctuation are words of their own) are counted over the whole corpus. The frequent ones are
+tokens of their own, the rest share tokens by hash. The network adds an embedding for each of the neighbours by its
+place, goes through one tanh layer and gives every token its probability by a two-level softmax, in which both levels
+see the context: the token's class, and the token among all of its class. A rare word further takes its own share of the
+shared token, from the corpus counts of all rare words; words seen once and unseen ones count as one. A text scores
+the sum of the log-probabilities of all its words, each given the others in its window.
+
+Training covers all documents: a hash of the row deals them to shards, whatever files they lie in; every shard trains a
+replica on all its tokens in the order of the hash, from one common start that a small bounded sample has warmed up,
+and replicas are averaged by their tokens in groups of FAN_IN, level by level. The tables that grow with the
+corpus stay in Spark; to the tasks go at most OWN words and the counts of at most 2 ** BITS buckets of rare words.
 
 Defined results: null, empty and word-less texts have 0 tokens, log_prob 0 and a null mean; very long texts are read
 whole; repeated rows are scored each on its own; only the named columns are read; an empty table gives no rows.
@@ -18,71 +20,108 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil, log2
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trefoil.llm.words import bounded_batches, slices, split, strings
-from trefoil.session import materialize
+from trefoil.session import discard, materialize
 
-BUCKET_BITS = 18
-#: Tokens of their own, shared tokens for the rest, classes, neighbours on each side, width of the layer.
-OWN, SHARED_TOKENS, CLASSES, SIDE, WIDTH = 3072, 1024, 64, 2, 16
+#: Words at most that are tokens of their own, how often they must occur, tokens that rare words share, bits of their count table at most.
+OWN, OWN_COUNT, SHARED_TOKENS, BITS = 6144, 4, 256, 22
+#: Neighbours on each side, width of the layer, tokens that are classes of their own, tokens in a class.
+SIDE, WIDTH, ALONE, CLASS_SIZE = 2, 16, 64, 96
 PLACES = [p for p in range(-SIDE, SIDE + 1) if p]
-TOKENS = OWN + SHARED_TOKENS
-#: The most frequent tokens are classes of their own.
-ALONE = 52
-#: The token outside a text.
-PAD = TOKENS
-BATCH, RATE = 8192, 0.1
-FAN_IN = 32
-#: The warm-up's bounded sample of texts, and passes over it.
+#: Tokens in a training step and in a scoring step, learning rate.
+BATCH, SCORE_BATCH, RATE = 8192, 32768, 0.1
+#: Words for which a shard is made, shards at most, replicas averaged at once.
+SHARD_WORDS, MOST_SHARDS, FAN_IN = 1 << 20, 4096, 8
+#: The warm-up's bounded sample of texts, characters of the stretch that is taken of a longer text, and passes over it.
 WARM_DOCS, WARM_CHARS, WARM_PASSES = 200, 10_000, 4
 SEED = 5
 
 
 @dataclass
 class Vocabulary:
-    """Token of each bucket, class of each token, log share of each token in its class."""
+    """Sorted hashes of own words and their tokens; log counts of rare words by bucket; log mass of each shared token. Own tokens come first, the pad last."""
 
+    hashes: np.ndarray
     token: np.ndarray
-    klass: np.ndarray
-    log_share: np.ndarray
+    log_count: np.ndarray
+    log_mass: np.ndarray
+    words: int
+
+    @property
+    def own(self) -> int:
+        return len(self.hashes)
+
+    @property
+    def tokens(self) -> int:
+        return self.own + SHARED_TOKENS
+
+    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token of each word, and the log share that the word has of its token."""
+        shared = (h >> np.uint64(8)) % np.uint64(SHARED_TOKENS)
+        token, share = (self.own + shared).astype(np.int64), self.log_count[_bucket(h, len(self.log_count))] - self.log_mass[shared.astype(np.int64)]
+        if self.own:
+            at = np.minimum(np.searchsorted(self.hashes, h), self.own - 1)
+            known = self.hashes[at] == h
+            token, share = np.where(known, self.token[at], token), np.where(known, 0.0, share)
+        return token, share
+
+
+def _bucket(h: np.ndarray, size: int) -> np.ndarray:
+    return ((h >> np.uint64(20)) & np.uint64(size - 1)).astype(np.int64)
+
+
+def _class(token: np.ndarray) -> np.ndarray:
+    return np.where(token < ALONE, token, ALONE + (token - ALONE) // CLASS_SIZE)
 
 
 @dataclass
 class Network:
-    """Embeddings by place (places, tokens + 1, width), output (width, classes) and its bias."""
+    """Embeddings by place (places, tokens + 1, width); output and bias of the classes and of the tokens within them."""
 
     embed: np.ndarray
+    top: np.ndarray
+    top_bias: np.ndarray
     out: np.ndarray
     bias: np.ndarray
 
+    def arrays(self) -> list[np.ndarray]:
+        return [self.embed, self.top, self.top_bias, self.out, self.bias]
+
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.embed.ravel(), self.out.ravel(), self.bias])
+        return np.concatenate([x.ravel() for x in self.arrays()])
+
+    @staticmethod
+    def shapes(tokens: int) -> list[tuple[int, ...]]:
+        classes = int(_class(np.array([tokens - 1]))[0]) + 1
+        return [(len(PLACES), tokens + 1, WIDTH), (WIDTH, classes), (classes,), (tokens, WIDTH), (tokens,)]
 
     @staticmethod
-    def of(flat: np.ndarray) -> Network:
-        a = len(PLACES) * (TOKENS + 1) * WIDTH
-        return Network(flat[:a].reshape(len(PLACES), TOKENS + 1, WIDTH).copy(), flat[a : a + WIDTH * CLASSES].reshape(WIDTH, CLASSES).copy(), flat[a + WIDTH * CLASSES :].copy())
+    def of(flat: np.ndarray, tokens: int) -> Network:
+        shapes = Network.shapes(tokens)
+        ends = np.cumsum([int(np.prod(x)) for x in shapes])
+        return Network(*[flat[e - int(np.prod(x)) : e].reshape(x).copy() for x, e in zip(shapes, ends, strict=True)])
 
     @staticmethod
-    def start() -> Network:
+    def start(tokens: int) -> Network:
         rng = np.random.default_rng(SEED)
-        return Network(rng.normal(0, 0.1, (len(PLACES), TOKENS + 1, WIDTH)).astype(np.float32), rng.normal(0, 0.1, (WIDTH, CLASSES)).astype(np.float32), np.zeros(CLASSES, dtype=np.float32))
+        a, b, c, d, e = Network.shapes(tokens)
+        return Network(rng.normal(0, 0.1, a).astype(np.float32), rng.normal(0, 0.1, b).astype(np.float32), np.zeros(c, dtype=np.float32), rng.normal(0, 0.1, d).astype(np.float32), np.zeros(e, dtype=np.float32))
 
 
-def buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every word, and the texts' bounds among them."""
-    plain = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[[:punct:]]+", "")
-    codes, words, bounds = split(plain)
-    h = pd.util.hash_array(strings(words), categorize=False)
-    return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)[codes], bounds
+def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word, and the texts' bounds among them."""
+    apart = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"([[:punct:]]+)", r" \1 ")
+    codes, words, bounds = split(apart)
+    return pd.util.hash_array(strings(words), categorize=False)[codes], bounds
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,100 +129,135 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from slices(batch)
 
 
-def bucket_counts(docs: DataFrame) -> DataFrame:
-    """``(bucket, n)`` over all documents; each task adds up its own first."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``(hash, n)`` of every word over all documents; each step of a task adds up its own first."""
 
     def run(batches):
-        total = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
         for part in _texts(batches):
-            total += np.bincount(buckets(part.column("text"))[0], minlength=1 << BUCKET_BITS)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["bucket", "n"])
-
-    return bounded_batches(docs.select("text")).mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-
-
-def vocabulary(counts: DataFrame) -> Vocabulary:
-    """From the counts of the (at most 2 ** BUCKET_BITS) buckets."""
-    rows = counts.toPandas()
-    n = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
-    n[rows["bucket"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
-    top = np.lexsort((np.arange(len(n)), -n))[:OWN]
-    token = OWN + np.arange(len(n)) % SHARED_TOKENS
-    token[top] = np.arange(OWN)
-    mass = np.bincount(token, n, TOKENS) + 1.0
-    order = np.argsort(-mass, kind="stable")
-    klass = np.zeros(TOKENS, dtype=np.int64)
-    klass[order[:ALONE]] = np.arange(ALONE)
-    rest = mass[order[ALONE:]]
-    klass[order[ALONE:]] = ALONE + np.minimum((np.cumsum(rest) - rest) * (CLASSES - ALONE) / rest.sum(), CLASSES - ALONE - 1).astype(np.int64)
-    return Vocabulary(token.astype(np.int32), klass, np.log(mass / np.bincount(klass, mass, CLASSES)[klass]))
-
-
-def _windows(vocab: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of all texts with pads between, where the real ones are, and the texts' bounds among the real ones."""
-    bucket, bounds = buckets(texts)
+            seen, n = np.unique(hashed(part.column("text"))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(n)], ["hash", "n"])
+
+    return bounded_batches(docs.select("text")).mapInArrow(run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(docs: DataFrame) -> Vocabulary:
+    """The count table is written to the shared folder; only its most frequent words and the counts of rare ones by bucket come to the driver."""
+    counts = materialize(word_counts(docs), "word-counts")
+    total = counts.agg(F.count("*").alias("kinds"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
+    top = counts.where(F.col("n") >= OWN_COUNT).orderBy(F.desc("n"), "hash").limit(OWN).collect()
+    hashes = np.array([r["hash"] for r in top], dtype=np.int64)
+    order = np.argsort(hashes.view(np.uint64))
+    size = 1 << min(BITS, max(12, ceil(log2(max(total["kinds"], 1))) + 2))
+    least = (top[-1]["n"], top[-1]["hash"]) if top else (None, None)
+    # own words are those before the last one in the order they were taken in
+    rare = counts.where((F.col("n") < least[0]) | ((F.col("n") == least[0]) & (F.col("hash") > least[1]))) if top else counts
+    h = F.col("hash")
+    mass = rare.groupBy(F.shiftrightunsigned(h, 8).bitwiseAND(F.lit(SHARED_TOKENS - 1)).alias("shared")).agg(F.sum("n").alias("n")).collect()
+    by_bucket = rare.groupBy(F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(size - 1)).cast("int").alias("bucket")).agg(F.sum("n").alias("n")).where("n > 1").select("bucket", F.log("n").cast("float").alias("log")).toPandas()
+    log_count = np.zeros(size, dtype=np.float32)
+    log_count[by_bucket["bucket"].to_numpy(dtype=np.int64)] = by_bucket["log"].to_numpy(dtype=np.float32)
+    log_mass = np.zeros(SHARED_TOKENS, dtype=np.float32)
+    for r in mass:
+        log_mass[r["shared"]] = np.log1p(r["n"])
+    discard(counts)
+    return Vocabulary(hashes.view(np.uint64)[order], order.astype(np.int64), log_count, log_mass, int(total["words"]))
+
+
+def _windows(vocab: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of all texts with pads between, where the real ones are, the texts' bounds among the real ones, and the log share of each."""
+    h, bounds = hashed(texts)
+    token, share = vocab.look_up(h)
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    at = np.arange(len(bucket)) + SIDE * (text + 1)
-    tokens = np.full(len(bucket) + SIDE * (len(bounds) + 1), PAD, dtype=np.int64)
-    tokens[at] = vocab.token[bucket]
-    return tokens, at, bounds
+    at = np.arange(len(h)) + SIDE * (text + 1)
+    tokens = np.full(len(h) + SIDE * (len(bounds) + 1), vocab.tokens, dtype=np.int64)
+    tokens[at] = token
+    return tokens, at, bounds, share
 
 
-def _forward(net: Network, tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _log_softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(axis=1, keepdims=True)
+    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+    return x
+
+
+def _hidden(net: Network, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     hidden = net.embed[0][tokens[at + PLACES[0]]]
     for i, p in enumerate(PLACES[1:], 1):
         hidden += net.embed[i][tokens[at + p]]
-    np.tanh(hidden, out=hidden)
-    logits = hidden @ net.out
-    logits += net.bias
-    logits -= logits.max(axis=1, keepdims=True)
-    return hidden, logits
+    return np.tanh(hidden, out=hidden)
+
+
+def _by_class(token: np.ndarray, klass: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+    """Places of the tokens of each class that has several, and the class's first token and how far it goes."""
+    order = np.argsort(klass, kind="stable")
+    sorted_class = klass[order]
+    cuts = np.flatnonzero(np.concatenate([[True], sorted_class[1:] != sorted_class[:-1]])) if len(order) else np.zeros(0, dtype=np.int64)
+    for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        c = int(sorted_class[a])
+        if c >= ALONE:
+            first = ALONE + (c - ALONE) * CLASS_SIZE
+            yield order[a:b], first, first + CLASS_SIZE
 
 
 class Trainer:
     """Adagrad over minibatches of masked tokens."""
 
     def __init__(self, net: Network, vocab: Vocabulary):
-        self.net, self.vocab, self.seen = Network.of(net.flat()), vocab, 0
-        self.sums = [np.full_like(x, 1e-4) for x in (self.net.embed, self.net.out, self.net.bias)]
+        self.net, self.vocab, self.seen = Network.of(net.flat(), vocab.tokens), vocab, 0
+        self.sums = [np.full_like(x, 1e-4) for x in self.net.arrays()]
 
     def _step(self, param: np.ndarray, total: np.ndarray, grad: np.ndarray) -> None:
         total += grad * grad
         param -= RATE * grad / np.sqrt(total)
 
     def learn(self, texts: pa.Array) -> None:
-        tokens, every, _ = _windows(self.vocab, texts)
+        tokens, every, _, _ = _windows(self.vocab, texts)
         self.seen += len(every)
+        net, n = self.net, self.vocab.tokens
         for i in range(0, len(every), BATCH):
             at = every[i : i + BATCH]
-            hidden, p = _forward(self.net, tokens, at)
-            np.exp(p, out=p)
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(at)), self.vocab.klass[tokens[at]]] -= 1
+            here = tokens[at]
+            klass = _class(here)
+            hidden = _hidden(net, tokens, at)
+            p = np.exp(_log_softmax(hidden @ net.top + net.top_bias))
+            p[np.arange(len(at)), klass] -= 1
             p /= len(at)
-            back = (p @ self.net.out.T) * (1 - hidden * hidden)
+            back = p @ net.top.T
+            out, bias = np.zeros_like(net.out), np.zeros_like(net.bias)
+            for rows, a, b in _by_class(here, klass):
+                h = hidden[rows]
+                q = np.exp(_log_softmax(h @ net.out[a:b].T + net.bias[a:b]))
+                q[np.arange(len(rows)), here[rows] - a] -= 1
+                q /= len(at)
+                back[rows] += q @ net.out[a:b]
+                out[a:b], bias[a:b] = q.T @ h, q.sum(axis=0)
+            top, top_bias = hidden.T @ p, p.sum(axis=0)
+            back *= 1 - hidden * hidden
             for k, place in enumerate(PLACES):
                 cell = (tokens[at + place][:, None] * WIDTH + np.arange(WIDTH)).ravel()
-                grad = np.bincount(cell, back.ravel(), (TOKENS + 1) * WIDTH).astype(np.float32).reshape(TOKENS + 1, WIDTH)
-                self._step(self.net.embed[k], self.sums[0][k], grad)
-            self._step(self.net.out, self.sums[1], hidden.T @ p)
-            self._step(self.net.bias, self.sums[2], p.sum(axis=0))
+                grad = np.bincount(cell, back.ravel(), (n + 1) * WIDTH).astype(np.float32).reshape(n + 1, WIDTH)
+                self._step(net.embed[k], self.sums[0][k], grad)
+            for param, total, grad in zip(net.arrays()[1:], self.sums[1:], (top, top_bias, out, bias), strict=True):
+                self._step(param, total, grad)
 
 
 def warm_start(docs: DataFrame, vocab: Vocabulary) -> Network:
-    """A network that has seen a small sample of texts; it only gives all replicas one start."""
-    able = docs.select("text").where(F.length("text").between(1, WARM_CHARS))
+    """A network that has seen a small sample of texts, or stretches of long ones; it only gives all replicas one start."""
+    h = F.xxhash64("text")
+    able = docs.select("text", h.alias("h")).where(F.length("text") > 0)
     share = min(1.0, WARM_DOCS / max(able.count(), 1))
-    texts = [r.text for r in able.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)) + (share >= 1.0)).limit(2 * WARM_DOCS).collect()]
-    trainer = Trainer(Network.start(), vocab)
+    at = F.when(F.length("text") > WARM_CHARS, 1 + F.pmod(F.shiftright("h", 30), F.length("text") - WARM_CHARS)).otherwise(F.lit(1)).cast("int")
+    drawn = able.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)) + (share >= 1.0)).select(F.substring("text", at, F.lit(WARM_CHARS)).alias("text"), "h")
+    texts = [r.text for r in drawn.dropDuplicates(["h"]).orderBy("h").limit(2 * WARM_DOCS).collect()]
+    trainer = Trainer(Network.start(vocab.tokens), vocab)
     for _ in range(WARM_PASSES if texts else 0):
-        trainer.learn(pa.array(sorted(texts), pa.string()))
+        trainer.learn(pa.array(texts, pa.string()))
     return trainer.net
 
 
 def _average(rows: pa.Table) -> pa.Table:
     """One replica from a few, weighted by tokens."""
+    rows = rows.sort_by("replica")
     weight = rows.column("tokens").to_numpy().astype(np.float64)
     total = np.zeros(len(np.frombuffer(rows.column("net")[0].as_py(), dtype=np.float32)))
     for w, net in zip(weight, rows.column("net"), strict=True):
@@ -194,35 +268,76 @@ def _average(rows: pa.Table) -> pa.Table:
 
 def train(docs: DataFrame, vocab: Vocabulary | None = None) -> tuple[Vocabulary, Network]:
     """A network trained on all of ``docs``."""
-    vocab = vocab or vocabulary(bucket_counts(docs))
+    vocab = vocab or vocabulary(docs)
     start = warm_start(docs, vocab)
     shared = docs.sparkSession.sparkContext.broadcast((vocab, start))
+    shards = min(MOST_SHARDS, max(1, -(-vocab.words // SHARD_WORDS)))
 
-    def replica(batches):
-        trainer = Trainer(shared.value[1], shared.value[0])
+    def replicas(batches):
+        trainer, at = None, -1
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([trainer.seen], pa.int64()), pa.array([trainer.net.flat().astype(np.float32).tobytes()], pa.binary())], ["replica", "tokens", "net"])
+        held: list = []
         for part in _texts(batches):
-            trainer.learn(part.column("text"))
-        if trainer.seen:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([trainer.seen], pa.int64()), pa.array([trainer.net.flat().astype(np.float32).tobytes()], pa.binary())], ["replica", "tokens", "net"])
-
+            shard = part.column("shard").to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if shard[a] != at:
+                    if trainer:
+                        _learn_all(trainer, held)
+                        yield out()
+                    trainer, at, held = Trainer(shared.value[1], shared.value[0]), int(shard[a]), []
+                held = _learn_some(trainer, [*held, part.column("text").slice(a, b - a)])
+        if trainer:
+            _learn_all(trainer, held)
+            yield out()
+
+    row = F.xxhash64("doc_id", "text") if "doc_id" in docs.columns else F.xxhash64("text")
+    dealt = docs.withColumn("h", row).select("text", "h", F.pmod("h", F.lit(shards)).alias("shard")).where(F.length("text") > 0)
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "h").select("text", "shard")
     shape = "replica bigint, tokens bigint, net binary"
-    nets = materialize(bounded_batches(docs.select("text")).mapInArrow(replica, shape), "replicas")
+    nets = materialize(bounded_batches(dealt).mapInArrow(replicas, shape), "replicas")
     while nets.count() > 1:
         grouped = nets.withColumn("group", F.floor(F.col("replica") / FAN_IN).cast("bigint")).groupBy("group")
-        nets = materialize(grouped.applyInArrow(_average, shape), "replicas")
+        last, nets = nets, materialize(grouped.applyInArrow(_average, shape), "replicas")
+        discard(last)
     found = nets.collect()
-    return vocab, Network.of(np.frombuffer(found[0]["net"], dtype=np.float32)) if found else start
+    discard(nets)
+    return vocab, Network.of(np.frombuffer(found[0]["net"], dtype=np.float32), vocab.tokens) if found else start
+
+
+#: Texts that a training step takes together, so that its steps don't depend on how Spark cut the batches.
+LEARN_TEXTS = 64
+
+
+def _learn_some(trainer: Trainer, held: list) -> list:
+    """Learn full groups of texts; what is left waits."""
+    if sum(map(len, held)) < LEARN_TEXTS:
+        return held
+    texts = pa.concat_arrays(held)
+    full = len(texts) // LEARN_TEXTS * LEARN_TEXTS
+    for i in range(0, full, LEARN_TEXTS):
+        trainer.learn(texts.slice(i, LEARN_TEXTS))
+    return [texts.slice(full)] if full < len(texts) else []
+
+
+def _learn_all(trainer: Trainer, held: list) -> None:
+    if held:
+        trainer.learn(pa.concat_arrays(held))
 
 
 def log_probs(vocab: Vocabulary, net: Network, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Log-probability of each token given its window, and the texts' bounds."""
-    tokens, every, bounds = _windows(vocab, texts)
-    out = np.zeros(len(every))
-    for i in range(0, len(every), BATCH):
-        at = every[i : i + BATCH]
-        _, logits = _forward(net, tokens, at)
+    tokens, every, bounds, share = _windows(vocab, texts)
+    out = share.astype(np.float64)
+    for i in range(0, len(every), SCORE_BATCH):
+        at = every[i : i + SCORE_BATCH]
         here = tokens[at]
-        out[i : i + BATCH] = logits[np.arange(len(at)), vocab.klass[here]] - np.log(np.exp(logits).sum(axis=1)) + vocab.log_share[here]
+        klass = _class(here)
+        hidden = _hidden(net, tokens, at)
+        found = _log_softmax(hidden @ net.top + net.top_bias)[np.arange(len(at)), klass].astype(np.float64)
+        for rows, a, b in _by_class(here, klass):
+            found[rows] += _log_softmax(hidden[rows] @ net.out[a:b].T + net.bias[a:b])[np.arange(len(rows)), here[rows] - a]
+        out[i : i + SCORE_BATCH] += found
     return out, bounds
 
 
