@@ -29,16 +29,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trefoil.llm.words import bounded_batches, slices, split, strings
+from trefoil.llm.words import bounded_batches, one_blas_thread, slices, split, strings
 from trefoil.session import discard, materialize
 
 #: Words at most that are tokens of their own, how often they must occur, tokens that rare words share, bits of their count table at most.
-OWN, OWN_COUNT, SHARED_TOKENS, BITS = 6144, 4, 256, 22
+OWN, OWN_COUNT, SHARED_TOKENS, BITS = 3840, 4, 256, 22
 #: Neighbours on each side, width of the layer, tokens that are classes of their own, tokens in a class.
-SIDE, WIDTH, ALONE, CLASS_SIZE = 2, 16, 64, 96
+SIDE, WIDTH, ALONE, CLASS_SIZE = 2, 16, 32, 64
 PLACES = [p for p in range(-SIDE, SIDE + 1) if p]
 #: Tokens in a training step and in a scoring step, learning rate.
-BATCH, SCORE_BATCH, RATE = 8192, 32768, 0.1
+BATCH, SCORE_BATCH, RATE = 8192, 16384, 0.1
 #: Words for which a shard is made, shards at most, replicas averaged at once.
 SHARD_WORDS, MOST_SHARDS, FAN_IN = 1 << 20, 4096, 8
 #: The warm-up's bounded sample of texts, characters of the stretch that is taken of a longer text, and passes over it.
@@ -175,7 +175,8 @@ def _windows(vocab: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
+    # logits of a tanh layer are small; the bound only guards against overflow, where a shift by the largest would cost as much as the rest
+    np.minimum(x, 80, out=x)
     x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
     return x
 
@@ -189,7 +190,7 @@ def _hidden(net: Network, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _by_class(token: np.ndarray, klass: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
     """Places of the tokens of each class that has several, and the class's first token and how far it goes."""
-    order = np.argsort(klass, kind="stable")
+    order = np.argsort(klass.astype(np.uint16), kind="stable")
     sorted_class = klass[order]
     cuts = np.flatnonzero(np.concatenate([[True], sorted_class[1:] != sorted_class[:-1]])) if len(order) else np.zeros(0, dtype=np.int64)
     for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
@@ -213,7 +214,7 @@ class Trainer:
     def learn(self, texts: pa.Array) -> None:
         tokens, every, _, _ = _windows(self.vocab, texts)
         self.seen += len(every)
-        net, n = self.net, self.vocab.tokens
+        net = self.net
         for i in range(0, len(every), BATCH):
             at = every[i : i + BATCH]
             here = tokens[at]
@@ -234,9 +235,14 @@ class Trainer:
             top, top_bias = hidden.T @ p, p.sum(axis=0)
             back *= 1 - hidden * hidden
             for k, place in enumerate(PLACES):
-                cell = (tokens[at + place][:, None] * WIDTH + np.arange(WIDTH)).ravel()
-                grad = np.bincount(cell, back.ravel(), (n + 1) * WIDTH).astype(np.float32).reshape(n + 1, WIDTH)
-                self._step(net.embed[k], self.sums[0][k], grad)
+                # only the rows of the tokens that occur there change
+                there = tokens[at + place].astype(np.uint16)
+                order = np.argsort(there, kind="stable")
+                start = np.flatnonzero(np.concatenate([[True], np.diff(there[order]) != 0]))
+                grad, rows = np.add.reduceat(back[order], start, axis=0), there[order[start]].astype(np.int64)
+                total = self.sums[0][k][rows] + grad * grad
+                self.sums[0][k][rows] = total
+                net.embed[k][rows] -= RATE * grad / np.sqrt(total)
             for param, total, grad in zip(net.arrays()[1:], self.sums[1:], (top, top_bias, out, bias), strict=True):
                 self._step(param, total, grad)
 
@@ -274,6 +280,7 @@ def train(docs: DataFrame, vocab: Vocabulary | None = None) -> tuple[Vocabulary,
     shards = min(MOST_SHARDS, max(1, -(-vocab.words // SHARD_WORDS)))
 
     def replicas(batches):
+        one_blas_thread()
         trainer, at = None, -1
         out = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([trainer.seen], pa.int64()), pa.array([trainer.net.flat().astype(np.float32).tobytes()], pa.binary())], ["replica", "tokens", "net"])
         held: list = []
@@ -348,6 +355,7 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Network] | None = None, colu
     kinds = dict(given.dtypes)
 
     def run(batches):
+        one_blas_thread()
         for part in _texts(batches):
             each, bounds = log_probs(*shared.value, part.column("text"))
             total = np.concatenate([[0.0], np.cumsum(each)])

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -105,6 +107,16 @@ def characters(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     return points, np.concatenate([[0], np.cumsum(size)])
 
 
+def one_blas_thread() -> None:
+    """Keep numpy's matrix products of this worker on one thread: Spark runs a task per core already. Without a bundled OpenBLAS nothing happens."""
+    for path in (Path(np.__file__).parents[1] / "numpy.libs").glob("*openblas*"):
+        library = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                return
+
+
 _tables: dict[str, np.ndarray] = {}
 
 
