@@ -47,7 +47,7 @@ dw AS (SELECT doc_id, pos, tk[pos + 1:pos + {WINDOW}] v, tp[pos + 1:pos + {WINDO
 met AS (SELECT doc_id, item_id, pos - p diagonal, p, windows, ik.w w, ik.v iv, dw.v dv FROM dw JOIN ik ON array_to_string(dw.w, ' ') = array_to_string(ik.w, ' ')),
 line AS (SELECT doc_id, item_id, diagonal, windows, count(DISTINCT p) matched FROM met GROUP BY 1, 2, 3, 4),
 slot AS (SELECT DISTINCT doc_id, item_id, diagonal, {_CLEAN.format("iv[i]")} a, {_CLEAN.format("dv[i]")} b FROM met, unnest(range(1, {WINDOW + 1})) u(i) WHERE starts_with(w[i], '<')),
-fit AS (SELECT doc_id, item_id, diagonal, count(*) = count(DISTINCT a) consistent, bool_and(a = b) exact FROM slot GROUP BY 1, 2, 3),
+fit AS (SELECT doc_id, item_id, diagonal, count(*) = count(DISTINCT a) AND count(*) = count(DISTINCT b) consistent, bool_and(a = b) exact FROM slot GROUP BY 1, 2, 3),
 j AS (SELECT l.*, coalesce(consistent, true) consistent, coalesce(exact, true) exact, matched / windows coverage FROM line l LEFT JOIN fit f ON l.doc_id IS NOT DISTINCT FROM f.doc_id AND l.item_id IS NOT DISTINCT FROM f.item_id AND l.diagonal = f.diagonal),
 b AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY consistent DESC, matched DESC, exact DESC) = 1)
 SELECT doc_id, item_id, matched, windows, coverage, exact FROM b WHERE consistent AND coverage >= {MIN_COVERAGE}"""
