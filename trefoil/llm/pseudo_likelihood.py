@@ -174,13 +174,33 @@ def _windows(vocab: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray
     return tokens, at, bounds, share
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    # logits of a tanh layer are small; the bound only guards against overflow, where a shift by the largest would cost as much as the rest
-    np.minimum(x, 80, out=x)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+#: Arrays that steps write into by shape: fresh ones of this size would cost more than the work on them.
+_room: dict[tuple, np.ndarray] = {}
+
+
+def _logits(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, most: int) -> np.ndarray:
+    """In an array that is used again by the next call with the same ``most`` and classes. The bound only guards against overflow: logits of a tanh layer are small."""
+    key = (most, weights.shape[1])
+    if key not in _room:
+        _room[key] = np.empty(key, dtype=np.float32)
+    x = np.matmul(h, weights, out=_room[key][: len(h)])
+    x += bias
+    return np.minimum(x, 80, out=x)
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Probabilities in place of logits."""
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
     return x
 
 
+def _log_share(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log-probability of one column of each row; the logits are used up."""
+    own = x[np.arange(len(x)), at]
+    return own - np.log(np.exp(x, out=x).sum(axis=1))
+
+
 def _hidden(net: Network, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     hidden = net.embed[0][tokens[at + PLACES[0]]]
     for i, p in enumerate(PLACES[1:], 1):
@@ -188,16 +208,20 @@ def _hidden(net: Network, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.tanh(hidden, out=hidden)
 
 
-def _by_class(token: np.ndarray, klass: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
-    """Places of the tokens of each class that has several, and the class's first token and how far it goes."""
-    order = np.argsort(klass.astype(np.uint16), kind="stable")
-    sorted_class = klass[order]
-    cuts = np.flatnonzero(np.concatenate([[True], sorted_class[1:] != sorted_class[:-1]])) if len(order) else np.zeros(0, dtype=np.int64)
-    for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
-        c = int(sorted_class[a])
-        if c >= ALONE:
-            first = ALONE + (c - ALONE) * CLASS_SIZE
-            yield order[a:b], first, first + CLASS_SIZE
+def _by_class(klass: np.ndarray) -> Iterator[tuple[slice, int, int]]:
+    """From classes in ascending order: the run of each class that has several tokens, the class's first token and how far it goes."""
+    cuts = np.flatnonzero(np.concatenate([[True], klass[1:] != klass[:-1]])) if len(klass) else np.zeros(0, dtype=np.int64)
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(klass)], strict=True):
+        if klass[a] >= ALONE:
+            first = ALONE + (int(klass[a]) - ALONE) * CLASS_SIZE
+            yield slice(a, b), first, first + CLASS_SIZE
+
+
+def _in_order(tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in the order of their tokens' classes, that order, and the classes."""
+    klass = _class(tokens[at]).astype(np.uint16)
+    order = np.argsort(klass, kind="stable")
+    return at[order], order, klass[order]
 
 
 class Trainer:
@@ -216,19 +240,18 @@ class Trainer:
         self.seen += len(every)
         net = self.net
         for i in range(0, len(every), BATCH):
-            at = every[i : i + BATCH]
+            at, _, klass = _in_order(tokens, every[i : i + BATCH])
             here = tokens[at]
-            klass = _class(here)
             hidden = _hidden(net, tokens, at)
-            p = np.exp(_log_softmax(hidden @ net.top + net.top_bias))
+            p = _softmax(_logits(hidden, net.top, net.top_bias, BATCH))
             p[np.arange(len(at)), klass] -= 1
             p /= len(at)
             back = p @ net.top.T
             out, bias = np.zeros_like(net.out), np.zeros_like(net.bias)
-            for rows, a, b in _by_class(here, klass):
+            for rows, a, b in _by_class(klass):
                 h = hidden[rows]
-                q = np.exp(_log_softmax(h @ net.out[a:b].T + net.bias[a:b]))
-                q[np.arange(len(rows)), here[rows] - a] -= 1
+                q = _softmax(h @ net.out[a:b].T + net.bias[a:b])
+                q[np.arange(len(h)), here[rows] - a] -= 1
                 q /= len(at)
                 back[rows] += q @ net.out[a:b]
                 out[a:b], bias[a:b] = q.T @ h, q.sum(axis=0)
@@ -337,14 +360,13 @@ def log_probs(vocab: Vocabulary, net: Network, texts: pa.Array) -> tuple[np.ndar
     tokens, every, bounds, share = _windows(vocab, texts)
     out = share.astype(np.float64)
     for i in range(0, len(every), SCORE_BATCH):
-        at = every[i : i + SCORE_BATCH]
+        at, order, klass = _in_order(tokens, every[i : i + SCORE_BATCH])
         here = tokens[at]
-        klass = _class(here)
         hidden = _hidden(net, tokens, at)
-        found = _log_softmax(hidden @ net.top + net.top_bias)[np.arange(len(at)), klass].astype(np.float64)
-        for rows, a, b in _by_class(here, klass):
-            found[rows] += _log_softmax(hidden[rows] @ net.out[a:b].T + net.bias[a:b])[np.arange(len(rows)), here[rows] - a]
-        out[i : i + SCORE_BATCH] += found
+        found = _log_share(_logits(hidden, net.top, net.top_bias, SCORE_BATCH), klass).astype(np.float64)
+        for rows, a, b in _by_class(klass):
+            found[rows] += _log_share(hidden[rows] @ net.out[a:b].T + net.bias[a:b], here[rows] - a)
+        out[i + order] += found
     return out, bounds
 
 
