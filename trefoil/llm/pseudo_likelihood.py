@@ -35,7 +35,7 @@ from trefoil.session import discard, materialize
 #: Words at most that are tokens of their own, how often they must occur, tokens that rare words share, bits of their count table at most.
 OWN, OWN_COUNT, SHARED_TOKENS, BITS = 3840, 4, 256, 22
 #: Neighbours on each side, width of the layer, tokens that are classes of their own, tokens in a class.
-SIDE, WIDTH, ALONE, CLASS_SIZE = 2, 16, 32, 64
+SIDE, WIDTH, ALONE, CLASS_SIZE = 2, 16, 16, 96
 PLACES = [p for p in range(-SIDE, SIDE + 1) if p]
 #: Tokens in a training step and in a scoring step, learning rate.
 BATCH, SCORE_BATCH, RATE = 8192, 16384, 0.1
