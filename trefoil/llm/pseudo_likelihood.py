@@ -33,12 +33,12 @@ from trefoil.llm.words import bounded_batches, one_blas_thread, slices, split, s
 from trefoil.session import discard, materialize
 
 #: Words at most that are tokens of their own, how often they must occur, tokens that rare words share, bits of their count table at most.
-OWN, OWN_COUNT, SHARED_TOKENS, BITS = 2816, 4, 256, 22
+OWN, OWN_COUNT, SHARED_TOKENS, BITS = 6144, 4, 256, 22
 #: Neighbours on each side, width of the layer, tokens that are classes of their own, tokens in a class.
-SIDE, WIDTH, ALONE, CLASS_SIZE = 2, 16, 16, 80
+SIDE, WIDTH, ALONE, CLASS_SIZE = 2, 16, 64, 96
 PLACES = [p for p in range(-SIDE, SIDE + 1) if p]
 #: Tokens in a training step and in a scoring step, learning rate.
-BATCH, SCORE_BATCH, RATE = 16384, 16384, 0.1
+BATCH, SCORE_BATCH, RATE = 8192, 16384, 0.1
 #: Words for which a shard is made, shards at most, replicas averaged at once.
 SHARD_WORDS, MOST_SHARDS, FAN_IN = 1 << 20, 4096, 8
 #: The warm-up's bounded sample of texts, characters of the stretch that is taken of a longer text, and passes over it.
@@ -336,7 +336,7 @@ def train(docs: DataFrame, vocab: Vocabulary | None = None) -> tuple[Vocabulary,
 
 
 #: Texts that a training step takes together, so that its steps don't depend on how Spark cut the batches.
-LEARN_TEXTS = 128
+LEARN_TEXTS = 64
 
 
 def _learn_some(trainer: Trainer, held: list) -> list:
