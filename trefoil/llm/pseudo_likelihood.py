@@ -34,6 +34,8 @@ from trefoil.session import discard, materialize
 
 #: Words at most that are tokens of their own, how often they must occur, tokens that rare words share, bits of their count table at most.
 OWN, OWN_COUNT, SHARED_TOKENS, BITS = 6144, 4, 256, 22
+#: Buckets in a packed row on the way to the driver, as bits.
+BLOCK_BITS = 16
 #: Neighbours on each side, width of the layer, tokens that are classes of their own, tokens in a class.
 SIDE, WIDTH, ALONE, CLASS_SIZE = 2, 16, 64, 96
 PLACES = [p for p in range(-SIDE, SIDE + 1) if p]
@@ -140,6 +142,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return bounded_batches(docs.select("text")).mapInArrow(run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
+def _packed(rows: pa.Table) -> pa.Table:
+    """The log counts of one block's buckets, in their order; zero where a bucket counts as one."""
+    logs = np.zeros(1 << BLOCK_BITS, dtype=np.float32)
+    logs[rows.column("bucket").to_numpy() & ((1 << BLOCK_BITS) - 1)] = np.log(rows.column("n").to_numpy())
+    return pa.table({"block": rows.column("block")[:1], "logs": pa.array([logs.tobytes()], pa.binary())})
+
+
 def vocabulary(docs: DataFrame) -> Vocabulary:
     """The count table is written to the shared folder; only its most frequent words and the counts of rare ones by bucket come to the driver."""
     counts = materialize(word_counts(docs), "word-counts")
@@ -153,9 +162,13 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     rare = counts.where((F.col("n") < least[0]) | ((F.col("n") == least[0]) & (F.col("hash") > least[1]))) if top else counts
     h = F.col("hash")
     mass = rare.groupBy(F.shiftrightunsigned(h, 8).bitwiseAND(F.lit(SHARED_TOKENS - 1)).alias("shared")).agg(F.sum("n").alias("n")).collect()
-    by_bucket = rare.groupBy(F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(size - 1)).cast("int").alias("bucket")).agg(F.sum("n").alias("n")).where("n > 1").select("bucket", F.log("n").cast("float").alias("log")).toPandas()
-    log_count = np.zeros(size, dtype=np.float32)
-    log_count[by_bucket["bucket"].to_numpy(dtype=np.int64)] = by_bucket["log"].to_numpy(dtype=np.float32)
+    by_bucket = rare.groupBy(F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(size - 1)).alias("bucket")).agg(F.sum("n").alias("n")).where("n > 1")
+    # packed on the executors: the driver gets a few binary rows, not one for each bucket
+    blocks = by_bucket.withColumn("block", F.shiftright("bucket", BLOCK_BITS)).groupBy("block").applyInArrow(_packed, "block bigint, logs binary")
+    log_count = np.zeros(max(size, 1 << BLOCK_BITS), dtype=np.float32)
+    for r in blocks.collect():
+        log_count[r["block"] << BLOCK_BITS : (r["block"] + 1) << BLOCK_BITS] = np.frombuffer(r["logs"], dtype=np.float32)
+    log_count = log_count[:size]
     log_mass = np.zeros(SHARED_TOKENS, dtype=np.float32)
     for r in mass:
         log_mass[r["shared"]] = np.log1p(r["n"])
