@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trefoil.llm import decontamination, language_id, packing, pii, preference, pseudo_likelihood, quality, simhash, toxicity, warc
+from trefoil.llm import decontamination, language_id, line_dedup, packing, pii, preference, pseudo_likelihood, quality, simhash, toxicity, warc
 from trefoil.llm import sql
 from trefoil.llm.words import held_out
 
@@ -66,6 +66,11 @@ def op10_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame
     return pseudo_likelihood.score(_table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.deduplicate(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_quality_ledger": op2_quality_ledger,
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_template_decontamination": op8_template_decontamination,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_masked_pseudo_likelihood": op10_masked_pseudo_likelihood,
+    "op11_line_dedup": op11_line_dedup,
 }
 
 

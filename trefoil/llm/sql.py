@@ -57,4 +57,12 @@ WITH p AS (SELECT page_id, strlen(coalesce(html, '')) n, sha256(coalesce(html, '
 f AS (SELECT *, min(page_id) OVER (PARTITION BY h) first FROM p)
 SELECT page_id, n payload_bytes, h payload_digest, CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END record_type, CASE WHEN n >= 100 AND page_id <> first THEN first END refers_to FROM f"""
 
-ORACLE = {"op4_warc_round_trip": WARC, "op2_quality_ledger": QUALITY, "op7_preference_formatting": PREFERENCE, "preference_examples": EXAMPLES, "op8_template_decontamination": DECONTAMINATION}
+_KEY = "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+LINE_DEDUP = f"""
+WITH d AS (SELECT row_number() OVER () rid, doc_id, string_split(coalesce(text, ''), chr(10)) ls FROM documents),
+l AS (SELECT rid, doc_id, p, ls[p] line FROM d, unnest(range(1, len(ls) + 1)) u(p)),
+k AS (SELECT *, CASE WHEN length({_KEY}) >= 10 THEN {_KEY} END key FROM l),
+f AS (SELECT *, key IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY key) lost FROM k)
+SELECT doc_id, count(*) n_lines, count(*) FILTER (lost) n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT lost), '')) kept_sha256 FROM f GROUP BY rid, doc_id"""
+
+ORACLE = {"op11_line_dedup": LINE_DEDUP, "op4_warc_round_trip": WARC, "op2_quality_ledger": QUALITY, "op7_preference_formatting": PREFERENCE, "preference_examples": EXAMPLES, "op8_template_decontamination": DECONTAMINATION}
