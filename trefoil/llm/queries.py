@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trefoil.llm import decontamination, language_id, line_dedup, packing, pii, preference, pseudo_likelihood, quality, simhash, toxicity, warc
+from trefoil.llm import decontamination, hard_negatives, language_id, line_dedup, packing, pii, preference, pseudo_likelihood, quality, simhash, toxicity, warc
 from trefoil.llm import sql
 from trefoil.llm.words import held_out
 
@@ -71,6 +71,10 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_quality_ledger": op2_quality_ledger,
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_masked_pseudo_likelihood": op10_masked_pseudo_likelihood,
     "op11_line_dedup": op11_line_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 

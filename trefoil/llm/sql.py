@@ -65,4 +65,12 @@ k AS (SELECT *, CASE WHEN length({_KEY}) >= 10 THEN {_KEY} END key FROM l),
 f AS (SELECT *, key IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY key) lost FROM k)
 SELECT doc_id, count(*) n_lines, count(*) FILTER (lost) n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT lost), '')) kept_sha256 FROM f GROUP BY rid, doc_id"""
 
-ORACLE = {"op11_line_dedup": LINE_DEDUP, "op4_warc_round_trip": WARC, "op2_quality_ledger": QUALITY, "op7_preference_formatting": PREFERENCE, "preference_examples": EXAMPLES, "op8_template_decontamination": DECONTAMINATION}
+HARD_NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END "label", list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id anchor_id, a.label = r.label same, r.vec_id other, CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(r.q AS DOUBLE[])) AS BIGINT) score FROM v a, v r WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, other positive_id, score positive_score FROM s WHERE same AND other <> anchor_id QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+n AS (SELECT anchor_id, positive_id, positive_score, other negative_id, score negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) rank FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
+
+ORACLE = {"op11_line_dedup": LINE_DEDUP, "op12_hard_negatives": HARD_NEGATIVES, "op4_warc_round_trip": WARC, "op2_quality_ledger": QUALITY, "op7_preference_formatting": PREFERENCE, "preference_examples": EXAMPLES, "op8_template_decontamination": DECONTAMINATION}
