@@ -47,6 +47,7 @@ def test_against_all_pairs(spark):
 def test_few_rows_and_none(spark):
     assert mined(spark, []) == []
     assert mined(spark, [(100, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [0.5, 0.0], 2)]) == [(100, 1, 1, 2, 65536, 32768)]
+    assert isinstance(mined(spark, [(100, [3e38], 1), (1, [-3e38], 1), (2, [1.0], 2)]), list)
     assert mined(spark, [(100, [1.0], 1), (1, [-1.0], 1), (2, [-0.5], 2)]) == []
 
 

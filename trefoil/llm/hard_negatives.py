@@ -37,7 +37,8 @@ STEP_ANCHORS, STEP_ROWS = 64, 1 << 14
 
 def vectors(embeddings: DataFrame) -> DataFrame:
     """``(vec_id, label, q)`` of the rows that take part: turned labels, whole-number components."""
-    whole = F.transform("embedding", lambda x: F.floor(F.lit(float(SCALE)) * x.cast("double")).cast("bigint"))
+    held = lambda x: F.greatest(F.least(x, F.lit(2.0**52)), F.lit(-(2.0**52)))  # noqa: E731  far beyond any component whose scores fit 64 bits
+    whole = F.transform("embedding", lambda x: F.floor(held(F.lit(float(SCALE)) * x.cast("double"))).cast("bigint"))
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     label = F.when(F.pmod("vec_id", F.lit(TURNED)) == 0, F.pmod(F.col("label").cast("bigint") + 1, F.lit(LABELS))).otherwise(F.col("label").cast("bigint"))
     rows = embeddings.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0)).where(sound)

@@ -73,4 +73,19 @@ p AS (SELECT anchor_id, other positive_id, score positive_score FROM s WHERE sam
 n AS (SELECT anchor_id, positive_id, positive_score, other negative_id, score negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) rank FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
 SELECT anchor_id, positive_id, CAST(rank AS INT) rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
 
-ORACLE = {"op11_line_dedup": LINE_DEDUP, "op12_hard_negatives": HARD_NEGATIVES, "op4_warc_round_trip": WARC, "op2_quality_ledger": QUALITY, "op7_preference_formatting": PREFERENCE, "preference_examples": EXAMPLES, "op8_template_decontamination": DECONTAMINATION}
+DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () rid, coalesce(text, '') t, coalesce(lang, '') lang, coalesce(source, '') source FROM documents),
+w AS (SELECT rid, lang, source, translate(unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') term FROM d),
+k AS MATERIALIZED (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT rid) >= 10),
+c AS (SELECT lang, source, term, count(*) n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+full_ AS (SELECT lang, source, term, coalesce(n, 0) n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+tot AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) total, count(*) OVER (PARTITION BY lang, source) v, sum(n) OVER (PARTITION BY lang, term) nl, sum(n) OVER (PARTITION BY lang) total_l FROM full_),
+pr AS MATERIALIZED (SELECT lang, source, term, n, 1 + CAST(CAST(1000000000 AS HUGEINT) * (n + 2) // (total + 2 * v) AS BIGINT) p, 1 + CAST(CAST(1000000000 AS HUGEINT) * (nl + 2) // (total_l + 2 * v) AS BIGINT) q FROM tot),
+s AS (SELECT a.lang, a.source, b.source item, CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) x FROM pr a JOIN pr b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' part, b.source item, coalesce(x, 0) "value" FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' part, term item, (p - q) * (p - q) // (p + q) "value" FROM pr WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY "value" DESC, item) AS INT) rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10"""
+
+ORACLE = {"op13_source_divergence": DIVERGENCE, "op11_line_dedup": LINE_DEDUP, "op12_hard_negatives": HARD_NEGATIVES, "op4_warc_round_trip": WARC, "op2_quality_ledger": QUALITY, "op7_preference_formatting": PREFERENCE, "preference_examples": EXAMPLES, "op8_template_decontamination": DECONTAMINATION}
