@@ -121,7 +121,7 @@ def test_metamorphic(spark):
     assert census(trefoil.triad_census(extra)) == list(want.values())
 
 
-@pytest.mark.parametrize("name", sorted(Q.QUERIES))
+@pytest.mark.parametrize("name", sorted(Q.queries()))
 def test_sql_twin(spark, name):
     got = Q.queries()[name](spark, SF)
     columns, want = duck_rows(Q.oracle_sql()[name])

@@ -37,7 +37,8 @@ def test_save_round_trip_and_cli(spark, tmp_path):
     assert list(row.collect()[0]) == [0, 0, 0, 0, 1, 0, 0]
     text = "".join(p.read_text() for p in (tmp_path / "out").glob("part-*"))
     assert text == "0\t0\t0\t0\t1\t0\t0\n"
-    assert not spark.sparkContext._jsc.getPersistentRDDs() and (tmp_path / "cp").exists()
+    assert not spark.sparkContext._jsc.getPersistentRDDs() and spark.conf.get("spark.trefoil.shared.dir") == f"{tmp_path}/cp"
+    assert not (tmp_path / "cp").exists()  # graph plans write nothing on the way
     spark.conf.unset("spark.trefoil.shared.dir")
     save(spark.range(1), out)
     assert cli.run(spark, [f"input:{tmp_path}/e.txt", "sep:tab"]).collect()[0][0] == 1.0

@@ -1,30 +1,41 @@
-"""Triangle kernels over pair relations: wedge closing, three-way join, array intersection."""
+"""Triangle kernels over pair relations: wedge closing, three-way join, array intersection, merges of blocks.
+
+Every kernel only describes a plan: no job runs and nothing is written before an action asks for rows. A relation that is used more than once
+has the same columns in each use, so that Spark shuffles it once and reuses the exchange.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trefoil.functions.classify import flip, tag_of, triad_code
+from trefoil.functions.classify import TRIAD_CLASSES, triad_code
+from trefoil.operators import blocks as B
 from trefoil.operators import normalize as N
 from trefoil.operators import orient as O
-from trefoil.session import materialize
+from trefoil.operators.messages import aggregate_messages
 
 
 def wedges(edges: DataFrame, tags: bool = False, degree_filter: bool = False) -> DataFrame:
     """Candidate pairs ``(v, a, b)``, ``a < b``, around every pivot v; with the pivot's tags if asked.
 
-    ``degree_filter`` keeps only pivots of strictly lower degree than both ends, which is applied to each
-    side before the self-join so that a hub never pairs up its neighbours.
+    ``degree_filter`` keeps only pivots of strictly lower degree than both ends: each pair then belongs to its lower end alone, so
+    a hub never pairs up its neighbours.
     """
-    side = N.tagged(edges) if tags else N.tagged(edges).drop("tag")
-    if degree_filter:
-        side = side.join(O.higher_degree_neighbors(edges, "drop"), ["v", "nbr"], "left_semi")
+    side = O.higher_degree_neighbors(edges, "drop", tags) if degree_filter else N.tagged(edges) if tags else N.tagged(edges).drop("tag")
     tag = lambda name: [F.col("tag").alias(name)] if tags else []
     left, right = side.select("v", F.col("nbr").alias("a"), *tag("tag_a")), side.select("v", F.col("nbr").alias("b"), *tag("tag_b"))
     return left.join(right, "v").where("a < b")
 
 
+def candidate_counts(edges: DataFrame) -> DataFrame:
+    """``(v, candidates)``: how many pairs :func:`wedges` has around each pivot with ``degree_filter``, without pairing anything up."""
+    up = O.higher_degree_neighbors(edges, "drop").groupBy("v").agg(F.count("*").alias("n"))
+    return up.select("v", F.expr("n * (n - 1) div 2").alias("candidates")).where("candidates > 0")
+
+
 def closed_wedges(edges: DataFrame, degree_filter: bool = False) -> DataFrame:
     """Wedges whose ends are adjacent; without the filter each triangle appears three times."""
     return wedges(edges, degree_filter=degree_filter).join(N.pairs(edges), ["a", "b"], "left_semi")
@@ -36,19 +47,24 @@ def classified_wedges(edges: DataFrame, degree_filter: bool = False) -> DataFram
     return closed.withColumn("code", triad_code(F.col("tag_a") + 1, F.col("mask"), F.col("tag_b") + 1))
 
 
-def triangles(oriented: DataFrame) -> DataFrame:
+def wedges_of(oriented: DataFrame) -> DataFrame:
+    """``(a, b, c)``: two upper neighbours of a, the lower one first, in the orientation's order; with pair masks ``ab`` and ``ac`` if there are any."""
+    m = lambda name: [F.col("mask").alias(name)] if "mask" in oriented.columns else []
+    first = oriented.select("a", "b", F.col("wb").alias("w"), *m("ab"))
+    second = oriented.select("a", F.col("b").alias("c"), F.col("wb").alias("wc"), *m("ac"))
+    return first.join(second, "a").where("w < wc or (w = wc and b < c)").drop("w", "wc")
+
+
+def triangles(oriented: DataFrame, watch: Callable[[str, DataFrame], DataFrame] | None = None) -> DataFrame:
     """Each triangle once as ``(x, y, z)`` in the order of ids, ``middle`` being the second one in the orientation's order, with pair masks if there are any.
 
-    Wedges hang on their lowest end, so the orientation decides how many there are. The oriented pairs are used three times
-    and written once.
+    Wedges hang on their lowest end, so the orientation decides how many there are. Both sides of the join by a read the same columns,
+    so one exchange serves both. ``watch`` may look at the wedges as they pass, as ``candidates``.
     """
     masks = "mask" in oriented.columns
-    oriented = materialize(oriented, "oriented")
-    m = lambda name: [F.col("mask").alias(name)] if masks else []
-    first = oriented.select("a", "b", F.col("wb").alias("w"), *m("ab"))
-    second = oriented.select("a", F.col("b").alias("c"), "wb", *m("ac"))
-    third = oriented.select(F.col("a").alias("b"), F.col("b").alias("c"), *m("bc"))
-    found = first.join(second, "a").where("w < wb or (w = wb and b < c)").join(third, ["b", "c"])
+    third = oriented.select(F.col("a").alias("b"), F.col("b").alias("c"), *([F.col("mask").alias("bc")] if masks else []))
+    tried = wedges_of(oriented)
+    found = (watch("candidates", tried) if watch else tried).join(third, ["b", "c"])
     x, z = F.least("a", "b", "c"), F.greatest("a", "b", "c")
     without = lambda v: F.when(F.col("c") == v, F.col("ab")).when(F.col("a") == v, F.col("bc")).otherwise(F.col("ac"))
     y = F.when((F.col("a") != x) & (F.col("a") != z), F.col("a")).when((F.col("b") != x) & (F.col("b") != z), F.col("b")).otherwise(F.col("c"))
@@ -61,22 +77,44 @@ def classified(oriented: DataFrame) -> DataFrame:
     return triangles(oriented).withColumn("code", triad_code(F.col("xy"), F.col("yz"), F.col("xz")))
 
 
-def target_counts(oriented: DataFrame) -> DataFrame:
-    """``(v, code, n)``: each pair sends its lower end's other pairs to its upper end, which classifies those that its own pairs close and adds them up."""
-    return classified(oriented).groupBy(F.col("middle").alias("v"), "code").agg(F.count("*").alias("n"))
+def target_classes(oriented: DataFrame, bits: int = B.BITS) -> DataFrame:
+    """``(v, *TRIAD_CLASSES)`` by messages: each pair sends its upper end the classes that it closes with the upper neighbours of both, counted block by block."""
+    return B.class_messages(oriented, B.blocked(B.upper_ends(oriented), bits))
 
 
-def common_neighbors(oriented: DataFrame, each: DataFrame | None = None) -> DataFrame:
+def target_counts(oriented: DataFrame, bits: int = B.BITS) -> DataFrame:
+    """:func:`target_classes` as ``(v, code, n)``, without zeros."""
+    counts = F.filter(F.array(*[F.struct(F.lit(i).alias("code"), F.col(name).alias("n")) for i, name in enumerate(TRIAD_CLASSES)]), lambda c: c["n"] > 0)
+    return target_classes(oriented, bits).select("v", F.explode(counts).alias("c")).select("v", "c.code", "c.n")
+
+
+def vertex_triangles(oriented: DataFrame, bits: int = B.BITS) -> DataFrame:
+    """``(v, triangles)`` of every vertex in one: pairs send the number they close to both ends, and 1 to each third vertex, as messages along pairs.
+
+    A triangle hangs on its lowest pair. The two ends of this get the pair's count; the third vertex gets its share from the counts by
+    neighbour, which the blocks' common neighbours are.
+    """
+    upper = B.blocked(B.upper_ends(oriented.drop("mask")), bits)
+    met = B.triplets(oriented.select("a", "b"), upper, "a", "b", by=["block"])
+    shared = F.array_intersect("src_state.nbrs", "dst_state.nbrs")
+    closed = met.where("dst_state is not null").select("a", "b", shared.alias("third")).where(F.size("third") > 0)
+    count = {"triangles": F.size("third").cast("long")}
+    ends = aggregate_messages(closed, {"triangles": F.sum}, count, count, src="a", dst="b")
+    # the third vertices of a pair are its own and its upper end's neighbours: one message each, added up before the shuffle
+    thirds = aggregate_messages(closed.select(F.explode("third").alias("third"), "a"), {"triangles": F.sum}, to_dst={"triangles": F.lit(1).cast("long")}, src="a", dst="third")
+    return ends.unionByName(thirds).groupBy("v").agg(F.sum("triangles").alias("triangles"))
+
+
+def common_neighbors(oriented: DataFrame) -> DataFrame:
     """``(a, b, common)``: out-neighbours shared by the ends of each pair, by array intersection.
 
-    Arrays are bounded by the largest out-degree, so give hub-heavy graphs a degree orientation.
-    ``each`` are the pairs to look at, by default the oriented ones.
+    Arrays are bounded by the largest out-degree, so give hub-heavy graphs a degree orientation. The pairs are taken from the lists
+    themselves, so that the oriented pairs are grouped once and only the lists meet.
     """
-    oriented = materialize(oriented, "oriented")
-    out = oriented.groupBy("a").agg(F.collect_list("b").alias("out"))
-    look = (oriented if each is None else each).select("a", "b")
-    both = look.join(out.withColumnRenamed("out", "out_a"), "a").join(out.select(F.col("a").alias("b"), F.col("out").alias("out_b")), "b")
-    return both.select("a", "b", F.size(F.array_intersect("out_a", "out_b")).cast("long").alias("common"))
+    out = oriented.groupBy("a").agg(F.collect_list("b").alias("out_a"))
+    upper = out.select(F.col("a").alias("b"), F.col("out_a").alias("out_b"))
+    both = out.select("a", F.explode("out_a").alias("b"), "out_a").join(upper, "b", "left")
+    return both.select("a", "b", F.coalesce(F.size(F.array_intersect("out_a", "out_b")), F.lit(0)).cast("long").alias("common"))
 
 
 def edge_iter_plus(edges: DataFrame, guard: bool = True) -> DataFrame:
@@ -85,7 +123,7 @@ def edge_iter_plus(edges: DataFrame, guard: bool = True) -> DataFrame:
     ``(a, b, w, mask, tag_a, tag_b)``. With ``guard`` a pair also needs one end with at least two strictly
     higher neighbours, a condition of the tie-dropping edge iterator that loses some triangles.
     """
-    up = O.higher_degree_neighbors(edges, "drop").join(N.tagged(edges), ["v", "nbr"])
+    up = O.higher_degree_neighbors(edges, "drop", tags=True)
     size = up.groupBy("v").agg(F.count("*").alias("n"))
     at = lambda end: up.select(F.col("v").alias(end), F.col("nbr").alias("w"), F.col("tag").alias(f"tag_{end}"))
     found = N.canonical(edges).join(at("a"), "a").join(at("b"), ["b", "w"])
@@ -100,21 +138,22 @@ def classified_edge_iter_plus(edges: DataFrame, guard: bool = True) -> DataFrame
     return edge_iter_plus(edges, guard).withColumn("code", triad_code(F.col("mask"), F.col("tag_b") + 1, F.col("tag_a") + 1))
 
 
-def per_edge_common(edges: DataFrame, code: bool = False) -> DataFrame:
-    """Every pair with each common neighbour w; three rows per triangle, with class codes if asked.
+def common_by_edge(edges: DataFrame, bits: int = B.BITS) -> DataFrame:
+    """``(a, b, common)`` for each pair and block of neighbours: three in all for every triangle.
 
-    A pair looks through the neighbours of its end with the lower degree only, so a hub's are never looked through for each of its pairs.
+    A pair looks through the blocks of its end with the lower degree only, so a hub's are never looked through for each of its pairs.
     """
-    oriented = materialize(O.by_degree(N.canonical(edges)), "oriented")
-    a, b, mask = F.col("a"), F.col("b"), F.col("mask")
-    # masks count from the smaller id, tags from the vertex that owns the row
-    tag = lambda v, nbr: tag_of(F.when(v < nbr, mask).otherwise(flip(mask))).alias("tag")
-    both = F.explode(F.array(F.struct(a.alias("v"), b.alias("nbr"), tag(a, b)), F.struct(b.alias("v"), a.alias("nbr"), tag(b, a))))
-    side = oriented.select(both.alias("e")).select("e.*")
-    at = lambda end: side.select(F.col("v").alias(end), F.col("nbr").alias("w"), F.col("tag").alias(f"tag_{end}"))
-    turned = F.when(a < b, mask).otherwise(flip(mask)).alias("mask")
-    found = oriented.select("a", "b", turned).join(at("a"), "a").where("w <> b").join(at("b"), ["b", "w"])
-    return found.withColumn("code", triad_code(F.col("mask"), F.col("tag_b") + 1, F.col("tag_a") + 1)) if code else found
-
-
-__all__ = ["wedges", "closed_wedges", "classified_wedges", "triangles", "classified", "target_counts", "common_neighbors", "edge_iter_plus", "classified_edge_iter_plus", "per_edge_common"]
+    oriented = O.by_degree(N.pairs(edges))
+    return B.common_by_block(oriented, B.blocked(B.both_ends(oriented), bits))
+
+
+def classes_by_edge(edges: DataFrame, bits: int = B.BITS) -> DataFrame:
+    """``(v, *TRIAD_CLASSES)``: what :func:`common_by_edge` counts, by class and by the pair's upper end; every triangle three times."""
+    oriented = O.by_degree(N.canonical(edges))
+    return B.class_messages(oriented, B.blocked(B.both_ends(oriented), bits))
+
+
+__all__ = [
+    "wedges", "candidate_counts", "closed_wedges", "classified_wedges", "wedges_of", "triangles", "classified", "target_classes", "target_counts", "vertex_triangles", "common_neighbors", "edge_iter_plus",
+    "classified_edge_iter_plus", "common_by_edge", "classes_by_edge",
+]

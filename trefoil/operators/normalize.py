@@ -37,10 +37,17 @@ def vertices(edges: DataFrame) -> DataFrame:
     return symmetrize(edges).select("v").distinct()
 
 
-def canonical(edges: DataFrame) -> DataFrame:
-    """One row ``(a, b, mask)`` per adjacent pair with ``a < b``. The mask folds duplicates and directions in one partial aggregation."""
+def canonical(edges: DataFrame, duplicates: str = "collapse") -> DataFrame:
+    """One row ``(a, b, mask)`` per adjacent pair with ``a < b``, in one partial aggregation.
+
+    ``duplicates='collapse'`` folds repeated edges into one; ``'reciprocal'`` counts rows first, so that a pair with two edges
+    or more is joined both ways, even if all run the same way.
+    """
+    if duplicates not in ("collapse", "reciprocal"):
+        raise ValueError(f"duplicates={duplicates!r}; one of collapse, reciprocal")
     pair = without_loops(edges).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), direction_bit(F.col("src"), F.col("dst")).alias("bit"))
-    return pair.groupBy("a", "b").agg(F.bit_or("bit").alias("mask"))
+    mask = F.bit_or("bit") if duplicates == "collapse" else F.when(F.count("*") > 1, F.lit(3)).otherwise(F.first("bit"))
+    return pair.groupBy("a", "b").agg(mask.alias("mask"))
 
 
 def pairs(edges: DataFrame) -> DataFrame:

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trefoil.functions.classify import flip, tag_of
 from trefoil.operators import normalize as N
 from trefoil.operators import stats as S
+from trefoil.operators.messages import lookup, triplets
 
 
 def _oriented(pairs: DataFrame) -> DataFrame:
@@ -24,11 +26,23 @@ def by_id(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"wa": F.lit(0).cast("long"), "wb": F.lit(0).cast("long")})
 
 
-def by_degree(pairs: DataFrame) -> DataFrame:
-    """Spark broadcasts the degrees only if AQE measures them small."""
+def with_degrees(pairs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Pairs with the degrees ``wa`` and ``wb`` of their ends.
+
+    By default nothing runs before the plan does, and Spark broadcasts the degrees only if it measures them small. With a ``limit`` in
+    bytes the degrees are counted first; see :func:`trefoil.operators.messages.lookup`.
+    """
     degree = S.pair_degrees(pairs)
-    at = lambda end: degree.select(F.col("v").alias(end), F.col("degree").alias(f"w{end}"))
-    return _oriented(pairs.join(at("a"), "a").join(at("b"), "b"))
+    if limit is None:
+        found = triplets(pairs, degree, "a", "b")
+        return found.select(*pairs.columns, F.col("src_state.degree").alias("wa"), F.col("dst_state.degree").alias("wb"))
+    for end in "ab":
+        pairs = lookup(pairs, degree.select(F.col("v").alias(end), F.col("degree").alias(f"w{end}")), end, limit)
+    return pairs
+
+
+def by_degree(pairs: DataFrame, limit: int | None = None) -> DataFrame:
+    return _oriented(with_degrees(pairs, limit))
 
 
 def heavy_vertices(edges: DataFrame, of: str = "all") -> DataFrame:
@@ -37,13 +51,13 @@ def heavy_vertices(edges: DataFrame, of: str = "all") -> DataFrame:
     return S.reduced_degrees(edges).join(F.broadcast(n)).where("degree > sqrt(vertices)").select("v", "degree")
 
 
-def reindex_map(edges: DataFrame) -> DataFrame:
-    """``(v, new_id)``: heavy vertices ranked by reduced degree, then id, above the largest id.
+def reindex_map(edges: DataFrame, of: str = "all") -> DataFrame:
+    """``(v, new_id)``: heavy vertices (see :func:`heavy_vertices` on ``of``) ranked by reduced degree, then id, above the largest id.
 
     The rank is the count of heavy vertices with smaller degree plus the place among equals, so no single
     task sorts them all.
     """
-    heavy = heavy_vertices(edges)
+    heavy = heavy_vertices(edges, of)
     below = heavy.groupBy("degree").agg(F.count("*").alias("n")).withColumn("below", F.sum("n").over(Window.orderBy("degree").rowsBetween(Window.unboundedPreceding, -1)))
     place = heavy.withColumn("place", F.row_number().over(Window.partitionBy("degree").orderBy("v")))
     top = S.max_vertex(edges)
@@ -51,11 +65,10 @@ def reindex_map(edges: DataFrame) -> DataFrame:
 
 
 def by_heavy(pairs: DataFrame, edges: DataFrame, of: str = "all") -> DataFrame:
-    """Heavy vertices last, by reduced degree then id; the others by id. No ranking is needed to compare."""
-    heavy = heavy_vertices(edges, of)
-    at = lambda end: heavy.select(F.col("v").alias(end), F.col("degree").alias(f"w{end}"))
-    weight = lambda end: F.coalesce(f"w{end}", F.lit(0).cast("long"))
-    return _oriented(pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").withColumns({"wa": weight("a"), "wb": weight("b")}))
+    """Heavy vertices last, by reduced degree then id; the others, which have no state, by id. No ranking is needed to compare."""
+    found = triplets(pairs, heavy_vertices(edges, of), "a", "b")
+    weight = lambda end: F.coalesce(f"{end}_state.degree", F.lit(0).cast("long"))
+    return _oriented(found.select(*pairs.columns, weight("src").alias("wa"), weight("dst").alias("wb")))
 
 
 def rehomed(edges: DataFrame) -> DataFrame:
@@ -63,18 +76,43 @@ def rehomed(edges: DataFrame) -> DataFrame:
     return by_heavy(N.pairs(edges), edges, "lower").select(F.col("a").alias("v"), F.col("b").alias("nbr"), (F.col("a") > F.col("b")).alias("moved"))
 
 
+def _renamed(edges: DataFrame, of: str) -> DataFrame:
+    """Pairs ``(a, b)`` with ``x`` and ``y``, the new ids of a and b; ids without a new one stay."""
+    found = triplets(N.pairs(edges), reindex_map(edges, of), "a", "b")
+    return found.select("a", "b", F.coalesce("src_state.new_id", "a").alias("x"), F.coalesce("dst_state.new_id", "b").alias("y"))
+
+
 def reindexed_edges(edges: DataFrame) -> DataFrame:
     """Pairs under their new ids, lower new id first."""
-    new = reindex_map(edges)
-    at = lambda end: new.select(F.col("v").alias(end), F.col("new_id").alias(f"n{end}"))
-    both = N.pairs(edges).join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("na", "a").alias("x"), F.coalesce("nb", "b").alias("y"))
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-
-def higher_degree_neighbors(edges: DataFrame, ties: str = "break") -> DataFrame:
-    """``(v, nbr)`` with nbr above v in degree; ``ties='break'`` orders equals by id, ``'drop'`` leaves them out."""
-    pairs = N.pairs(edges)
-    deg = S.pair_degrees(pairs)
-    both = N.symmetrize(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    both = both.join(deg.select("v", F.col("degree").alias("dv")), "v").join(deg.select(F.col("v").alias("nbr"), F.col("degree").alias("dn")), "nbr")
-    return both.where("dn > dv" if ties == "drop" else "dn > dv or (dn = dv and nbr > v)").select("v", "nbr")
+    return _renamed(edges, "all").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def relabelled_lists(edges: DataFrame, of: str = "lower") -> DataFrame:
+    """``(v, remaining, removed)``: each vertex with a higher neighbour, under its new id, and these neighbours under theirs, ascending.
+
+    ``remaining`` are those that the new ids still put above v, ``removed`` those that they put below it.
+    """
+    stays = F.col("x") < F.col("y")
+    grouped = _renamed(edges, of).groupBy(F.col("x").alias("v"))
+    return grouped.agg(F.array_sort(F.collect_list(F.when(stays, F.col("y")))).alias("remaining"), F.array_sort(F.collect_list(F.when(~stays, F.col("y")))).alias("removed"))
+
+
+def reindexed_adjacency(edges: DataFrame, of: str = "lower") -> DataFrame:
+    """``(v, nbrs)``: each pair under the end with the lower new id. Removed neighbours become owners of their own; both tables are put together as bags, regrouped, flattened and sorted."""
+    lists = relabelled_lists(edges, of)
+    remaining = lists.where(F.size("remaining") > 0).select("v", F.col("remaining").alias("nbrs"))
+    turned = lists.select(F.explode("removed").alias("owner"), "v").groupBy(F.col("owner").alias("v")).agg(F.collect_list("v").alias("nbrs"))
+    return remaining.unionByName(turned).groupBy("v").agg(F.array_sort(F.flatten(F.collect_list("nbrs"))).alias("nbrs"))
+
+
+def higher_degree_neighbors(edges: DataFrame, ties: str = "break", tags: bool = False) -> DataFrame:
+    """``(v, nbr[, tag])`` with nbr above v in degree; ``ties='break'`` orders equals by id, ``'drop'`` leaves them out.
+
+    One row per pair: the pairs meet the degrees of both ends and each stays with its lower one.
+    """
+    pairs = with_degrees(N.canonical(edges) if tags else N.pairs(edges))
+    pairs = pairs.where("wa <> wb") if ties == "drop" else pairs
+    up = F.expr("wa <= wb")  # pairs have a < b
+    end = lambda one, other, name: F.when(up, F.col(one)).otherwise(F.col(other)).alias(name)
+    tag = [tag_of(F.when(up, F.col("mask")).otherwise(flip(F.col("mask")))).alias("tag")] if tags else []
+    return pairs.select(end("a", "b", "v"), end("b", "a", "nbr"), *tag)

@@ -6,17 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trefoil.operators import normalize as N
+from trefoil.operators.messages import aggregate_messages
 
 
 def degrees(edges: DataFrame) -> DataFrame:
-    """``(v, degree)`` of the undirected simple graph; a vertex with self-loops only has degree 0."""
-    touched = N.symmetrize(edges)
-    return touched.distinct().groupBy("v").agg(F.count(F.when(F.col("nbr") != F.col("v"), 1)).alias("degree"))
+    """``(v, degree)`` of the undirected simple graph: each pair sends 1 to both its ends. A vertex with self-loops only has degree 0, which its loops send it."""
+    ends = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    one = {"degree": (F.col("a") != F.col("b")).cast("long")}
+    return aggregate_messages(ends, {"degree": F.sum}, one, one, src="a", dst="b")
 
 
 def pair_degrees(pairs: DataFrame) -> DataFrame:
     """``(v, degree)`` from distinct pairs; vertices without a neighbour don't occur."""
-    return pairs.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("degree"))
+    one = {"degree": F.lit(1).cast("long")}
+    return aggregate_messages(pairs, {"degree": F.sum}, one, one, src="a", dst="b")
 
 
 def max_degree(edges: DataFrame) -> DataFrame:

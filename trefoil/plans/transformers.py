@@ -8,6 +8,9 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 
+from pyspark.sql.types import ByteType, DoubleType, IntegerType, LongType, ShortType, StructField, StructType
+
+from trefoil.functions.classify import TRIAD_CLASSES
 from trefoil.operators.normalize import endpoints
 from trefoil.plans.algorithms import triad_census, triangle_count
 
@@ -15,8 +18,8 @@ from trefoil.plans.algorithms import triad_census, triangle_count
 class TriangleCounter(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     """An edge list to one row: the triangle count, or with ``isDirected`` the triad census.
 
-    ``partitionNum`` and ``storageLevel`` are left to AQE unless set; the level's name is one of
-    ``pyspark.StorageLevel``'s.
+    ``transform`` describes a plan and starts no job, so it can be explained, joined on or streamed into. ``partitionNum`` and ``storageLevel`` are
+    left to AQE unless set; the level's name is one of ``pyspark.StorageLevel``'s. Only with a level is the row worked out at once, so that the edges can be let go.
     """
 
     srcNodeIdCol = Param(Params._dummy(), "srcNodeIdCol", "source id column", TypeConverters.toString)
@@ -33,8 +36,19 @@ class TriangleCounter(Transformer, DefaultParamsReadable, DefaultParamsWritable)
         self._setDefault(srcNodeIdCol="src", dstNodeIdCol="dst", isDirected=False, algo="fast_v2", ties="drop", partitionNum=0, storageLevel="")
         self._set(**self._input_kwargs)
 
+    def transformSchema(self, schema: StructType) -> StructType:
+        """The result's schema, which depends on ``isDirected`` alone; fails if the input has not both id columns as whole numbers."""
+        for name in (self.getOrDefault(self.srcNodeIdCol), self.getOrDefault(self.dstNodeIdCol)):
+            found = next((f.dataType for f in schema.fields if f.name == name), None)
+            if not isinstance(found, (ByteType, ShortType, IntegerType, LongType)):
+                raise ValueError(f"{name!r} must be a column of whole numbers, not {found.simpleString() if found else 'missing'}; columns: {', '.join(schema.names)}")
+        if self.getOrDefault(self.isDirected):
+            return StructType([StructField(name, LongType()) for name in TRIAD_CLASSES])
+        return StructType([StructField("TriangleNum", DoubleType())])
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         get = lambda p: self.getOrDefault(p)
+        schema = self.transformSchema(dataset.schema)
         edges = endpoints(dataset, get(self.srcNodeIdCol), get(self.dstNodeIdCol))
         if n := get(self.partitionNum):
             edges = edges.repartition(n, "src", "dst")
@@ -43,7 +57,6 @@ class TriangleCounter(Transformer, DefaultParamsReadable, DefaultParamsWritable)
         result = (triad_census if get(self.isDirected) else triangle_count)(edges, get(self.algo), get(self.ties))
         if not level:
             return result
-        # the result is one row, so it is worked out here and the edges are let go
-        row = dataset.sparkSession.createDataFrame(result.collect(), result.schema)
+        row = dataset.sparkSession.createDataFrame(result.collect(), schema)
         edges.unpersist()
         return row

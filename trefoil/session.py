@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from weakref import WeakKeyDictionary
@@ -21,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.trefoil.shared.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="trefoil-")
         spark.conf.set("spark.trefoil.shared.dir", found)
