@@ -88,23 +88,6 @@ def target_counts(oriented: DataFrame, bits: int = B.BITS) -> DataFrame:
     return target_classes(oriented, bits).select("v", F.explode(counts).alias("c")).select("v", "c.code", "c.n")
 
 
-def vertex_triangles(oriented: DataFrame, bits: int = B.BITS) -> DataFrame:
-    """``(v, triangles)`` of every vertex in one: pairs send the number they close to both ends, and 1 to each third vertex, as messages along pairs.
-
-    A triangle hangs on its lowest pair. The two ends of this get the pair's count; the third vertex gets its share from the counts by
-    neighbour, which the blocks' common neighbours are.
-    """
-    upper = B.blocked(B.upper_ends(oriented.drop("mask")), bits)
-    met = B.triplets(oriented.select("a", "b"), upper, "a", "b", by=["block"])
-    shared = F.array_intersect("src_state.nbrs", "dst_state.nbrs")
-    closed = met.where("dst_state is not null").select("a", "b", shared.alias("third")).where(F.size("third") > 0)
-    count = {"triangles": F.size("third").cast("long")}
-    ends = aggregate_messages(closed, {"triangles": F.sum}, count, count, src="a", dst="b")
-    # the third vertices of a pair are its own and its upper end's neighbours: one message each, added up before the shuffle
-    thirds = aggregate_messages(closed.select(F.explode("third").alias("third"), "a"), {"triangles": F.sum}, to_dst={"triangles": F.lit(1).cast("long")}, src="a", dst="third")
-    return ends.unionByName(thirds).groupBy("v").agg(F.sum("triangles").alias("triangles"))
-
-
 def common_neighbors(oriented: DataFrame) -> DataFrame:
     """``(a, b, common)``: out-neighbours shared by the ends of each pair, by array intersection.
 
@@ -147,6 +130,13 @@ def common_by_edge(edges: DataFrame, bits: int = B.BITS) -> DataFrame:
     return B.common_by_block(oriented, B.blocked(B.both_ends(oriented), bits))
 
 
+def vertex_triangles(edges: DataFrame, bits: int = B.BITS) -> DataFrame:
+    """``(v, triangles)`` of every vertex in one: each pair sends both ends how many neighbours these share, which counts a triangle twice at each of its vertices."""
+    shared = {"common": F.col("common")}
+    found = aggregate_messages(common_by_edge(edges, bits), {"common": F.sum}, shared, shared, src="a", dst="b", where=F.col("common") > 0)
+    return found.select("v", F.expr("common div 2").alias("triangles"))
+
+
 def classes_by_edge(edges: DataFrame, bits: int = B.BITS) -> DataFrame:
     """``(v, *TRIAD_CLASSES)``: what :func:`common_by_edge` counts, by class and by the pair's upper end; every triangle three times."""
     oriented = O.by_degree(N.canonical(edges))

@@ -173,7 +173,7 @@ QUERIES |= {
     "candidate_counts_plus": ("np", K.candidate_counts, "SELECT v, n * (n - 1) // 2 candidates FROM upn WHERE n > 1"),
     "triplets": ("ps", _triplets, "SELECT a, b, i.d src_degree, j.d dst_degree FROM canon LEFT JOIN red i ON i.v = a LEFT JOIN red j ON j.v = b"),
     "degree_lookup": ("ps", lambda e: O.with_degrees(N.pairs(e), BROADCAST_BYTES), "SELECT a, b, da wa, db wb FROM ends"),
-    "vertex_triangles": ("ps", lambda e: K.vertex_triangles(O.by_degree(N.pairs(e))), "SELECT v, count(*) triangles FROM (SELECT unnest([x, y, z]) v FROM tri) GROUP BY v"),
+    "vertex_triangles": ("ps", K.vertex_triangles, "SELECT v, count(*) triangles FROM (SELECT unnest([x, y, z]) v FROM tri) GROUP BY v"),
     "adjacency_blocks": ("ps", _blocks, "SELECT v, nbr // 64 block, array_to_string(list(nbr || ':' || (mask - 1) ORDER BY nbr), ',') nbrs FROM adj GROUP BY 1, 2"),
     "census_by_vertex": ("ps", lambda e: K.target_classes(O.by_degree(N.canonical(e))), "SELECT v, " + ", ".join(f"CAST(coalesce(sum(n) FILTER (code = {i}), 0) AS BIGINT) {name}" for i, name in enumerate(TRIAD_CLASSES)) + f" FROM ({TARGET}) GROUP BY v"),
     "triangles_by_cells": ("ps", lambda e: cells.triangles_by_cells(O.by_degree(N.pairs(e))), "SELECT x, y, z FROM tri"),
