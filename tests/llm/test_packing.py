@@ -55,6 +55,12 @@ def agree(texts):
             assert ids[a:b].tolist() == [*found.ids, 0], ascii(text)
 
 
+def test_capitals_with_marks_equal_the_tokenizer():
+    agree(["T\u0308", "H\u0331 J\u030c W\u030a Y\u030a", "mit H\u0331amas.", "plain X. " + "K\u0331. x,", "\u212a\u0301 \u212b."])
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    agree([f"{chr(c)}{m} a{chr(c)}{m}." for c in range(65, 91) for m in marks])
+
+
 def test_fuzzed_texts_equal_the_tokenizer():
     agree(["İ.", "ABİ, ok", "TÜRKİYE'Yİ.", "a.Σ ΑΣ. ΑΣ.Α É. é, ß. ſ."])
     agree(fuzzed(30_000, 1))

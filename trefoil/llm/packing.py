@@ -41,6 +41,8 @@ REMEMBERED = 400_000
 SEPARATOR = "|"
 #: Letters, case of ASCII folded, whose lower case is one letter.
 PLAIN_LETTERS = "a-zÀ-ÖØ-öø-ÿ"
+#: What a text has that is encoded as it stands: combining marks, the start of a special token.
+ODD = r"\p{M}|<\|"
 
 
 class WordEncoder:
@@ -89,10 +91,10 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by the end id, and the texts' bounds among them."""
         texts = pc.fill_null(texts, "")
-        if not pc.any(pc.match_substring(texts, "<|")).as_py():
-            # fewer distinct words, same ids: these letters never join what follows them (others may: the dotted capital I
-            # becomes a letter and a mark), and ASCII case is folded anyhow
-            texts = pc.replace_substring_regex(pc.ascii_lower(texts), f"([{PLAIN_LETTERS}])([.,])", r"\1 \2")
+        # fewer distinct words, same ids: ASCII case is folded anyhow, and these letters never join what follows them. Not where a mark may join a
+        # letter before its case is folded, which the tokenizer does first, nor where a special token may stand
+        fewer = pc.replace_substring_regex(pc.ascii_lower(texts), f"([{PLAIN_LETTERS}])([.,])", r"\1 \2")
+        texts = pc.if_else(pc.match_substring_regex(texts, ODD), texts, fewer)
         codes, words, bounds = split(texts)
         place = self.learn(strings(words).tolist())
         start, size = self.bounds[place], np.diff(self.bounds)[place] if len(place) else np.zeros(0, dtype=np.int64)
