@@ -74,3 +74,9 @@ def test_field_of_a_drawn_sample(spark):
     test = [(t, lang) for i, t, lang in rows(table) if zlib.crc32(str(i).encode()) % 3 == 1][:1500]
     got, _ = L.predict(L.fit(sample), pa.array([t for t, _ in test]))
     assert sum(a == b for a, (_, b) in zip(got, test, strict=True)) >= 0.98 * len(test)
+
+
+def test_copies_do_not_crowd_out_the_sample(spark):
+    rows = [(3 * i, f"a text of its own number {i}", "en") for i in range(300)] + [(10_000 + i, "one and the same text", "en") for i in range(6000)]
+    sample = L.training_sample(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), 200)
+    assert 80 <= len(sample) <= 260 and sum(t == "one and the same text" for t, _ in sample) <= 1

@@ -36,19 +36,20 @@ def whole_hashes(points: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.
 
 
 def stratified(rows: DataFrame, label: str, most: int, chars: int) -> list[tuple[str, object, float]]:
-    """``(text, label, weight)`` of about ``most`` rows of each value of ``label``, drawn by a hash of id and text; ``weight`` is how many rows a drawn one stands for.
+    """``(text, label, weight)`` of about ``most`` distinct texts of each value of ``label``, drawn by a hash of the text; ``weight`` is how many distinct texts a drawn one stands for.
 
-    No row is passed over for its length: of a text over ``chars`` characters a stretch of that many is drawn, at a place given by the hash.
-    Copies of one row are drawn as one. Labels are few; the sample is bounded by labels x 2 * ``most`` x ``chars``.
+    Copies count as one text, however many there are, so they neither crowd out others nor shrink the sample. No text is passed over for its length:
+    of one over ``chars`` characters a stretch of that many is drawn, at a place given by the hash.
+    Labels are few; the sample is bounded by labels x 2 * ``most`` x ``chars``.
     """
-    rows = rows.select("doc_id", "text", F.col(label).alias("label")).where(~held_out()).where("label is not null and text is not null")
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    h = F.xxhash64("text")
+    rows = rows.select("text", F.col(label).alias("label"), "doc_id").where(~held_out()).where("label is not null and text is not null").select("text", "label", h.alias("h"))
+    counts = {r.label: r.n for r in rows.groupBy("label").agg(F.approx_count_distinct("h", 0.01).alias("n")).collect()}
     if not counts:
         return []
     share = lambda n: (1 << 30) if n <= most else int(most / n * (1 << 30))
     limit = F.element_at(F.create_map(*[x for label, n in counts.items() for x in (F.lit(label), F.lit(share(n)))]), F.col("label"))
-    h = F.xxhash64("doc_id", "text")
-    drawn = rows.withColumn("h", h).where(F.pmod("h", F.lit(1 << 30)) < limit)
+    drawn = rows.where(F.pmod("h", F.lit(1 << 30)) < limit)
     at = F.when(F.length("text") > chars, 1 + F.pmod(F.shiftright("h", 30), F.length("text") - chars)).otherwise(F.lit(1)).cast("int")
     drawn = drawn.select(F.substring("text", at, F.lit(chars)).alias("text"), "label", "h").dropDuplicates(["label", "h"])
     some = drawn.limit(2 * most * len(counts)).collect()
