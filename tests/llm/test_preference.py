@@ -66,6 +66,18 @@ def test_examples(spark):
     assert [r.rejected[a:b] for r in parts for a, b in spans(r.rejected_mask)] == ["bad<|end|>\n", "worse<|end|>\n"]
 
 
+def test_examples_of_any_turn_numbers(spark):
+    turns = [1_000_000, 1_000_600, 5_000_000_000, 1 << 40]
+    rows = [(c, t, ("user", "assistant")[k % 2], f"text {k if k < 3 else c}") for c in (0, 1) for k, t in enumerate(turns)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id bigint, turn bigint, role string, text string, part string, at int")
+    (one,) = P.examples(P.format_pairs(df)).collect()
+    assert one.prompt.count("<|end|>") == 3 and one.paired
+    assert (one.chosen, one.rejected) == ("<|assistant|>\ntext 0<|end|>\n", "<|assistant|>\ntext 1<|end|>\n")
+    parts = P.examples(P.format_pairs(df), block=3).orderBy("part").collect()
+    assert [r.part for r in parts] == [0, 1] and parts[0].prompt == one.prompt and parts[1].chosen == one.chosen
+    assert P.examples(P.format_pairs(df.limit(0))).collect() == []
+
+
 def test_ids_beyond_what_a_double_holds(spark):
     big = 2**54
     rows = [(big + 2, 0, "user", "hi"), (big + 3, 0, "user", "hi"), (big + 2, 1, "assistant", "a"), (big + 3, 1, "assistant", "b"), (-(2**62) - 2, 0, "user", "n"), (-(2**62) - 1, 0, "user", "n")]

@@ -4,7 +4,7 @@ The longest common turn prefix of a pair is found without gathering a conversati
 the first turn at which the sides differ is a minimum per pair. Turns before it are the prompt, rendered once;
 the others are completions of their side, in which only assistant turns are trained on. The result has one row per
 rendered turn, so a conversation of any length is never one task's work; ``examples`` puts them together to paired
-completions, in blocks of turns. Built-in functions only.
+completions, one row per pair. Built-in functions only.
 
 Defined results: a null role renders as ``unknown``, a null text as nothing; of rows with the same conversation and
 turn the smallest (role, text) counts; rows with a null conversation or turn are left out; identical sides are all
@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 
 # The template's marks.
 ROLE_OPEN, ROLE_CLOSE, TURN_END = "<|", "|>\n", "<|end|>\n"
-#: Turn numbers that a row of examples gathers.
-BLOCK = 512
 
 
 def _consecutive() -> dict:
@@ -64,17 +62,18 @@ def format_pairs(conversations: DataFrame, pairs: DataFrame | None = None) -> Da
     return rows.select("pair_id", "segment", "turn", "role", F.concat(head, body).alias("rendered"), mark(F.length(head)).alias("train_from"), mark(F.length(head) + F.length(body)).alias("train_to"), "paired")
 
 
-def examples(formatted: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``(pair_id, part, prompt, chosen, rejected, chosen_mask, rejected_mask, paired)``: the paired completions, masks as ``from-to`` spans of characters.
+def examples(formatted: DataFrame, block: int | None = None) -> DataFrame:
+    """``(pair_id, prompt, chosen, rejected, chosen_mask, rejected_mask, paired)``: the paired completions, one row per pair; masks are ``from-to`` spans of characters.
 
-    One row per pair, and of pairs with turn numbers over ``block`` one row per ``block`` of them, so that no row gathers a whole
-    conversation however long it is; parts follow one another.
+    Where conversations may be too long for a row, ``block`` gives a row for so many turns of a pair, in the order of turns whatever their numbers, and
+    tells them apart by ``part``; parts follow one another.
     """
-    part = F.floor(F.col("turn") / block).cast("long")
-    before = Window.partitionBy("pair_id", "part", "segment").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    placed = formatted.withColumn("part", part).withColumn("at", F.coalesce(F.sum(F.length("rendered")).over(before), F.lit(0)))
+    part = [] if block is None else [F.floor((F.dense_rank().over(Window.partitionBy("pair_id").orderBy("turn")) - 1) / F.lit(block)).cast("long").alias("part")]
+    key = ["pair_id", *(["part"] if part else [])]
+    before = Window.partitionBy(*key, "segment").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    placed = formatted.select("*", *part).withColumn("at", F.coalesce(F.sum(F.length("rendered")).over(before), F.lit(0)))
     rows = lambda s, value, also=F.lit(True): F.array_sort(F.collect_list(F.when((F.col("segment") == s) & also, F.struct("turn", value.alias("v")))))
     of = lambda s: F.array_join(F.transform(rows(s, F.col("rendered")), lambda x: x.v), "").alias(s)
     span = F.concat_ws("-", F.col("at") + F.col("train_from"), F.col("at") + F.col("train_to"))
     spans = lambda s: F.array_join(F.transform(rows(s, span, F.col("train_to") > 0), lambda x: x.v), ",").alias(f"{s}_mask")
-    return placed.groupBy("pair_id", "part").agg(of("prompt"), of("chosen"), of("rejected"), spans("chosen"), spans("rejected"), F.bool_or("paired").alias("paired"))
+    return placed.groupBy(*key).agg(of("prompt"), of("chosen"), of("rejected"), spans("chosen"), spans("rejected"), F.bool_or("paired").alias("paired"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from trefoil.llm.decontamination import MIN_COVERAGE, MIN_LITERALS, TOKEN, WINDOW
-from trefoil.llm.preference import BLOCK, ROLE_CLOSE, ROLE_OPEN, TURN_END
+from trefoil.llm.preference import ROLE_CLOSE, ROLE_OPEN, TURN_END
 from trefoil.llm.quality import POLICIES, RULES, mask
 
 _BITS = " + ".join(f"(CASE WHEN {rule} THEN {1 << i} ELSE 0 END)" for i, rule in enumerate(RULES.values()))
@@ -31,24 +31,24 @@ SELECT pair_id, segment, turn, role, {_HEAD} || {_BODY} rendered, CASE WHEN segm
   CASE WHEN segment <> 'prompt' AND role = 'assistant' THEN length({_HEAD} || {_BODY}) ELSE 0 END train_to, paired FROM s"""
 
 EXAMPLES = f"""
-WITH p AS (SELECT *, turn // {BLOCK} part, coalesce(sum(length(rendered)) OVER (PARTITION BY pair_id, turn // {BLOCK}, segment ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) place FROM ({PREFERENCE}))
-SELECT pair_id, CAST(part AS BIGINT) part, {", ".join(f"coalesce(string_agg(rendered, '' ORDER BY turn) FILTER (segment = '{s}'), '') {s}" for s in ("prompt", "chosen", "rejected"))},
-{", ".join(f"coalesce(string_agg(CAST(place + train_from AS BIGINT) || '-' || CAST(place + train_to AS BIGINT), ',' ORDER BY turn) FILTER (segment = '{s}' AND train_to > 0), '') {s}_mask" for s in ("chosen", "rejected"))}, bool_or(paired) paired FROM p GROUP BY 1, 2"""
+WITH p AS (SELECT *, coalesce(sum(length(rendered)) OVER (PARTITION BY pair_id, segment ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) place FROM ({PREFERENCE}))
+SELECT pair_id, {", ".join(f"coalesce(string_agg(rendered, '' ORDER BY turn) FILTER (segment = '{s}'), '') {s}" for s in ("prompt", "chosen", "rejected"))},
+{", ".join(f"coalesce(string_agg(CAST(place + train_from AS BIGINT) || '-' || CAST(place + train_to AS BIGINT), ',' ORDER BY turn) FILTER (segment = '{s}' AND train_to > 0), '') {s}_mask" for s in ("chosen", "rejected"))}, bool_or(paired) paired FROM p GROUP BY 1"""
 
 _TEMPLATE = r"list_transform(tk, lambda x, i: CASE WHEN regexp_matches(x, '^\pN.*\pL$') THEN '<num><unit>' WHEN regexp_matches(x, '^\pN') THEN '<num>' WHEN i > 1 AND regexp_matches(x, '^\p{Lu}\p{Ll}+$') THEN '<name>' ELSE lower(regexp_replace(x, '[^\pL]+', '', 'g')) END)"
 _CLEAN = r"lower(regexp_replace({}, '[^\pL\pN.,]+', '', 'g'))"
 _TOKEN = TOKEN.replace("'", "''")
 DECONTAMINATION = rf"""
 WITH it AS (SELECT DISTINCT item_id, regexp_extract_all(coalesce(text, ''), '{_TOKEN}') tk FROM benchmark),
-dt AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_TOKEN}') tk FROM documents),
+dt AS (SELECT row_number() OVER () rid, doc_id, regexp_extract_all(coalesce(text, ''), '{_TOKEN}') tk FROM documents),
 iw AS (SELECT item_id, p, tk[p + 1:p + {WINDOW}] v, tp[p + 1:p + {WINDOW}] w FROM (SELECT *, {_TEMPLATE} tp FROM it WHERE len(tk) >= {WINDOW}), unnest(range(0, len(tk) - {WINDOW - 1})) u(p)),
 ik AS (SELECT *, count(*) OVER (PARTITION BY item_id) windows FROM iw WHERE len(list_filter(w, lambda x: NOT starts_with(x, '<'))) >= {MIN_LITERALS}),
-dw AS (SELECT doc_id, pos, tk[pos + 1:pos + {WINDOW}] v, tp[pos + 1:pos + {WINDOW}] w FROM (SELECT *, {_TEMPLATE} tp FROM dt WHERE len(tk) >= {WINDOW}), unnest(range(0, len(tk) - {WINDOW - 1})) u(pos)),
-met AS (SELECT doc_id, item_id, pos - p diagonal, p, windows, ik.w w, ik.v iv, dw.v dv FROM dw JOIN ik ON array_to_string(dw.w, ' ') = array_to_string(ik.w, ' ')),
-line AS (SELECT doc_id, item_id, diagonal, windows, count(DISTINCT p) matched FROM met GROUP BY 1, 2, 3, 4),
-slot AS (SELECT DISTINCT doc_id, item_id, diagonal, {_CLEAN.format("iv[i]")} a, {_CLEAN.format("dv[i]")} b FROM met, unnest(range(1, {WINDOW + 1})) u(i) WHERE starts_with(w[i], '<')),
-fit AS (SELECT doc_id, item_id, diagonal, count(*) = count(DISTINCT a) AND count(*) = count(DISTINCT b) consistent, bool_and(a = b) exact FROM slot GROUP BY 1, 2, 3),
-j AS (SELECT l.*, coalesce(consistent, true) consistent, coalesce(exact, true) exact, matched / windows coverage FROM line l LEFT JOIN fit f ON l.doc_id IS NOT DISTINCT FROM f.doc_id AND l.item_id IS NOT DISTINCT FROM f.item_id AND l.diagonal = f.diagonal),
+dw AS (SELECT rid, doc_id, pos, tk[pos + 1:pos + {WINDOW}] v, tp[pos + 1:pos + {WINDOW}] w FROM (SELECT *, {_TEMPLATE} tp FROM dt WHERE len(tk) >= {WINDOW}), unnest(range(0, len(tk) - {WINDOW - 1})) u(pos)),
+met AS (SELECT rid, doc_id, item_id, pos - p diagonal, p, windows, ik.w w, ik.v iv, dw.v dv FROM dw JOIN ik ON array_to_string(dw.w, ' ') = array_to_string(ik.w, ' ')),
+line AS (SELECT rid, doc_id, item_id, diagonal, windows, count(DISTINCT p) matched FROM met GROUP BY 1, 2, 3, 4, 5),
+slot AS (SELECT DISTINCT rid, item_id, diagonal, {_CLEAN.format("iv[i]")} a, {_CLEAN.format("dv[i]")} b FROM met, unnest(range(1, {WINDOW + 1})) u(i) WHERE starts_with(w[i], '<')),
+fit AS (SELECT rid, item_id, diagonal, count(*) = count(DISTINCT a) AND count(*) = count(DISTINCT b) consistent, bool_and(a = b) exact FROM slot GROUP BY 1, 2, 3),
+j AS (SELECT l.*, coalesce(consistent, true) consistent, coalesce(exact, true) exact, matched / windows coverage FROM line l LEFT JOIN fit f ON l.rid = f.rid AND l.item_id IS NOT DISTINCT FROM f.item_id AND l.diagonal = f.diagonal),
 b AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY consistent DESC, matched DESC, exact DESC) = 1)
 SELECT doc_id, item_id, matched, windows, coverage, exact FROM b WHERE consistent AND coverage >= {MIN_COVERAGE}"""
 
