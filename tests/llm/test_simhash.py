@@ -1,3 +1,4 @@
+import pytest
 import random
 from itertools import combinations
 
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from trefoil.llm import components, queries
+from trefoil.llm import words as W
 from trefoil.llm import simhash as H
 
 
@@ -133,3 +135,14 @@ def test_representatives_are_rows(spark):
         df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
         kept = sorted(map(tuple, H.representatives(df, ("doc_id", "text")).collect()), key=repr)
         assert kept == sorted([(1, a), (5, b), (5, c), (None, "only here under no id at all")], key=repr)
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_rows_are_removed_either_way(spark, monkeypatch, most):
+    monkeypatch.setattr(W, "REMOVED_ROWS", most)
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(20)] + [(3, "again"), (None, "no number")], "k bigint, text string")
+    removed = spark.createDataFrame([(3, 1), (3, 2), (7, 1), (99, 1)], "k bigint, other int")
+    left = W.without(rows, removed, "k")
+    assert ("BroadcastHashJoin" in left._jdf.queryExecution().executedPlan().toString()) == (most > 0)
+    assert sorted(r.text for r in left.collect()) == sorted([f"text {i}" for i in range(20) if i not in (3, 7)] + ["no number"])
+    assert W.without(rows, removed.limit(0), "k").count() == 22 and W.without(rows.limit(0), removed, "k").count() == 0

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trefoil.llm.components import connected
-from trefoil.llm.words import bounded_batches, slices
+from trefoil.llm.words import bounded_batches, slices, without
 from trefoil.session import materialize
 
 SEED, SHINGLE, BITS = 42, 4, 4
@@ -227,4 +227,4 @@ def representatives(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*columns).alias("hash"), F.col("__row").alias("row"))
     slim = rows.select("fp", "__row", key.alias("key"))
     removed = slim.join(_least(slim, F.col("key")), "fp").where(F.col("__row") != F.col("least.row")).select("__row")
-    return rows.join(removed, "__row", "left_anti").select(*columns)
+    return without(rows, removed, "__row").select(*columns)

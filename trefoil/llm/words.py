@@ -13,10 +13,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trefoil.session import materialize
+
 #: Bytes of text that one step of a task works on; longer texts are a step of their own.
 SLICE_BYTES = 4 << 20
 #: Rows that Spark puts into one Arrow batch, so that a batch of long texts stays small.
 BATCH_ROWS = 1000
+#: Row numbers that are broadcast at most, about 32 bytes each.
+REMOVED_ROWS = 2_000_000
 #: Multiplier of the rolling word hash (odd, 64 bits).
 ROLL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -57,6 +61,12 @@ def stratified(rows: DataFrame, label: str, most: int, chars: int) -> list[tuple
     return sorted(((r.text, r.label, counts[r.label] / seen[r.label]) for r in some), key=lambda r: (str(r[1]), r[0]))
 
 
+def without(rows: DataFrame, removed: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose whole-number ``key`` isn't among those of ``removed``, which are written and counted once: up to REMOVED_ROWS of them are broadcast, so that texts stay where they are; beyond, both sides shuffle by the key."""
+    removed = materialize(removed.select(key).distinct(), "removed")
+    return rows.join(removed.hint("broadcast") if removed.count() <= REMOVED_ROWS else removed.hint("merge"), key, "left_anti")
+
+
 def bounded_batches(df: DataFrame) -> DataFrame:
     """``df``, with its session's Arrow batches held to BATCH_ROWS rows."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
