@@ -1,8 +1,8 @@
-import pytest
 import random
 from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
