@@ -50,7 +50,7 @@ TARGET_REACH, NEGATION_REACH = 5, 3
 AIMED, UNAIMED, NEGATED, REPORTED = 1.5, 0.75, 0.5, 0.7
 CLAUSE_ENDS = ".,;:!?"
 #: Bounds of the labelled sample: rows of each label, and characters of the stretch that is taken of a longer text.
-TRAIN_DOCS, TRAIN_CHARS = 1500, 8_000
+TRAIN_DOCS, TRAIN_CHARS = 3000, 8_000
 #: Lengths of stems; different completions and next letters that a stem needs in toxic texts; share of its texts that one longer stem may have.
 STEMS, COMPLETIONS, NEXT_LETTERS, ONE_BRANCH = (4, 5, 6, 7, 8), 5, 4, 0.8
 #: Texts that agree in the SKETCH smallest hashes of their words of LONG letters or more, under one of three seeds, are copies of one another.
