@@ -1,10 +1,12 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from trefoil.llm import pseudo_likelihood as P
@@ -83,7 +85,7 @@ def test_probabilities_sum_to_one_and_gradients_fit(spark):
     vocab = P.vocabulary(frame(spark, corpus(30)))
     trainer = P.Trainer(P.Network.start(vocab.tokens), vocab)
     trainer.learn(pa.array(corpus(30)))
-    hidden = P._hidden(trainer.net, np.full(5, vocab.tokens), np.array([2]))
+    hidden = P._hidden(trainer.net, np.full(5, vocab.tokens), np.array([2]))[:, : P.WIDTH]
     top = P._softmax(hidden @ trainer.net.top + trainer.net.top_bias)[0]
     total = top[: P.ALONE].sum()
     for c in range(P.ALONE, len(top)):
@@ -102,11 +104,43 @@ def test_counts_grow_with_the_corpus(spark):
     assert (token >= large.own).all() and np.allclose(np.median(found, axis=1), [np.log(3), 0]) and share[: len(h) // 2].mean() > share[len(h) // 2 :].mean() + 0.8
 
 
+def test_copies_weigh_and_no_shard_is_hot(spark):
+    texts = [f"text number {i} of many" for i in range(4000)] + ["one row again and again"] * 4000 + ["a small group"] * 7
+    df = frame(spark, texts).withColumn("doc_id", F.lit(1)).repartition(6)
+    shards = 8
+    dealt = P.deal(df, shards).groupBy("shard", "h").agg(F.sum("weight").alias("weight")).collect()
+    per_shard, per_text = Counter(), Counter()
+    for r in dealt:
+        per_shard[r.shard] += r.weight
+        per_text[r.h] += r.weight
+    mean = len(texts) / shards
+    assert len(per_shard) == shards and max(per_shard.values()) <= 2 * mean
+    assert sorted(per_text.values())[-3:] == [1, 7, 4000] and sum(per_text.values()) == pytest.approx(len(texts))
+    # texts that are read: the hot one once for each of its shards
+    assert P.deal(df, shards).count() <= 4007 + shards
+
+
+def test_copies_train_as_one_weighted_text(spark):
+    vocab = P.vocabulary(frame(spark, corpus(40)))
+    a, b = pa.array(corpus(70)), np.arange(1, 71, dtype=np.float64)
+    whole = P.Shard(P.Network.start(vocab.tokens), vocab)
+    whole.add(a, np.arange(70), b)
+    pieces = P.Shard(P.Network.start(vocab.tokens), vocab)
+    rows = [i for i in range(70) for _ in range(i + 1)]
+    for i in range(0, len(rows), 13):
+        pieces.add(a.take(pa.array(rows[i : i + 13])), np.array(rows[i : i + 13]), np.ones(len(rows[i : i + 13])))
+    (n, x), (m, y) = whole.end(), pieces.end()
+    assert n == m == sum((i + 1) * len(t.as_py().split()) for i, t in enumerate(a)) and np.allclose(x, y)
+
+
 def test_averaging_in_levels(spark, monkeypatch):
     monkeypatch.setattr(P, "FAN_IN", 2)
     monkeypatch.setattr(P, "SHARD_WORDS", 500)
     vocab, net = P.train(frame(spark, corpus(40)).repartition(5))
     assert vocab.words > 1500
+    monkeypatch.setattr(P, "SHARD_WORDS", 100)
+    again = P.train(frame(spark, corpus(40)).repartition(3), vocab)[1]
+    assert np.isfinite(again.flat()).all()
     assert np.isfinite(net.flat()).all()
 
 

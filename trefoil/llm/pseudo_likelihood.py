@@ -7,10 +7,13 @@ see the context: the token's class, and the token among all of its class. A rare
 shared token, from the corpus counts of all rare words; words seen once and unseen ones count as one. A text scores
 the sum of the log-probabilities of all its words, each given the others in its window.
 
-Training covers all documents: a hash of the row deals them to shards, whatever files they lie in; every shard trains a
-replica on all its tokens in the order of the hash, from one common start that a small bounded sample has warmed up,
-and replicas are averaged by their tokens in groups of FAN_IN, level by level. The tables that grow with the
-corpus stay in Spark; to the tasks go at most OWN words and the counts of at most 2 ** BITS buckets of rare words.
+Training covers all documents: a hash of the text deals them to shards, whatever files they lie in, and shards grow in
+number with the corpus, not in size. Copies of a text train once, weighted by their number; a text with more copies than
+a shard has texts goes to as many shards as its share of the rows is worth, with an equal part of the weight in each.
+Every shard trains a replica on all its tokens in the order of the hash, from one common start that a small bounded
+sample has warmed up; a task averages the replicas of its shards by their tokens as it goes, and tasks' replicas are
+averaged in groups of FAN_IN, level by level. The tables that grow with the corpus stay in Spark; to the tasks go at
+most OWN words and the counts of at most 2 ** BITS buckets of rare words.
 
 Defined results: null, empty and word-less texts have 0 tokens, log_prob 0 and a null mean; very long texts are read
 whole; repeated rows are scored each on its own; only the named columns are read; an empty table gives no rows.
@@ -41,8 +44,8 @@ SIDE, WIDTH, ALONE, CLASS_SIZE = 2, 16, 64, 96
 PLACES = [p for p in range(-SIDE, SIDE + 1) if p]
 #: Tokens in a training step and in a scoring step, learning rate.
 BATCH, SCORE_BATCH, RATE = 8192, 16384, 0.1
-#: Words for which a shard is made, shards at most, replicas averaged at once.
-SHARD_WORDS, MOST_SHARDS, FAN_IN = 1 << 20, 4096, 8
+#: Words for which a shard is made, words for which a task is made beyond Spark's own number of them, replicas averaged at once.
+SHARD_WORDS, TASK_WORDS, FAN_IN = 1 << 20, 1 << 26, 8
 #: The warm-up's bounded sample of texts, characters of the stretch that is taken of a longer text, and passes over it.
 WARM_DOCS, WARM_CHARS, WARM_PASSES = 200, 10_000, 4
 SEED = 5
@@ -191,34 +194,45 @@ def _windows(vocab: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray
 _room: dict[tuple, np.ndarray] = {}
 
 
-def _logits(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, most: int) -> np.ndarray:
-    """In an array that is used again by the next call with the same ``most`` and classes. The bound only guards against overflow: logits of a tanh layer are small."""
-    key = (most, weights.shape[1])
-    if key not in _room:
-        _room[key] = np.empty(key, dtype=np.float32)
-    x = np.matmul(h, weights, out=_room[key][: len(h)])
-    x += bias
-    return np.minimum(x, 80, out=x)
+def _logits(h: np.ndarray, weights: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Of a layer that ends in ones, by weights whose last row is the bias; with ``most`` in an array that the next call with the same ``most`` and classes uses again."""
+    if most and (most, weights.shape[1]) not in _room:
+        _room[most, weights.shape[1]] = np.empty((most, weights.shape[1]), dtype=np.float32)
+    x = np.matmul(h, weights, out=_room[most, weights.shape[1]][: len(h)] if most else None)
+    # no logit of a tanh layer can exceed the sum of its weights, so the guard against overflow is seldom needed
+    return x if np.abs(weights).sum(axis=0).max() < 80 else np.minimum(x, 80, out=x)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """Probabilities in place of logits."""
+def _sums(x: np.ndarray) -> np.ndarray:
+    return x @ np.ones(x.shape[1], dtype=x.dtype)
+
+
+def _softmax(x: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """Probabilities in place of logits, each row times its weight."""
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    x *= ((1 if weight is None else weight) / _sums(x))[:, None]
     return x
 
 
 def _log_share(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log-probability of one column of each row; the logits are used up."""
     own = x[np.arange(len(x)), at]
-    return own - np.log(np.exp(x, out=x).sum(axis=1))
+    return own - np.log(_sums(np.exp(x, out=x)))
 
 
 def _hidden(net: Network, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-    hidden = net.embed[0][tokens[at + PLACES[0]]]
+    """The tanh layer, and a column of ones for the bias."""
+    hidden = np.ones((len(at), WIDTH + 1), dtype=np.float32)
+    total = net.embed[0].take(tokens.take(at + PLACES[0]), axis=0)
     for i, p in enumerate(PLACES[1:], 1):
-        hidden += net.embed[i][tokens[at + p]]
-    return np.tanh(hidden, out=hidden)
+        total += net.embed[i].take(tokens.take(at + p), axis=0)
+    np.tanh(total, out=hidden[:, :WIDTH])
+    return hidden
+
+
+def _with_bias(net: Network) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of classes (by column) and tokens (by row), the bias last."""
+    return np.concatenate([net.top, net.top_bias[None]]), np.concatenate([net.out, net.bias[:, None]], axis=1)
 
 
 def _by_class(klass: np.ndarray) -> Iterator[tuple[slice, int, int]]:
@@ -248,41 +262,76 @@ class Trainer:
         total += grad * grad
         param -= RATE * grad / np.sqrt(total)
 
-    def learn(self, texts: pa.Array) -> None:
-        tokens, every, _, _ = _windows(self.vocab, texts)
-        self.seen += len(every)
+    def learn(self, texts: pa.Array, weights: np.ndarray | None = None) -> None:
+        """Steps over the texts' tokens, each with the weight of its text."""
+        tokens, every, bounds, _ = _windows(self.vocab, texts)
+        weight = np.ones(len(every), dtype=np.float32) if weights is None else np.repeat(weights, np.diff(bounds)).astype(np.float32)
+        self.seen += float(weight.sum(dtype=np.float64))
         net = self.net
         for i in range(0, len(every), BATCH):
-            at, _, klass = _in_order(tokens, every[i : i + BATCH])
-            here = tokens[at]
-            hidden = _hidden(net, tokens, at)
-            p = _softmax(_logits(hidden, net.top, net.top_bias, BATCH))
-            p[np.arange(len(at)), klass] -= 1
-            p /= len(at)
+            at, order, klass = _in_order(tokens, every[i : i + BATCH])
+            part = weight[i : i + BATCH].take(order)
+            part /= part.sum()
+            here, n = tokens.take(at), np.arange(len(at))
+            hidden, (over, inner) = _hidden(net, tokens, at), _with_bias(net)
+            p = _softmax(_logits(hidden, over, BATCH), part)
+            p[n, klass] -= part
             back = p @ net.top.T
-            out, bias = np.zeros_like(net.out), np.zeros_like(net.bias)
+            out = np.zeros_like(inner)
             for rows, a, b in _by_class(klass):
-                h = hidden[rows]
-                q = _softmax(h @ net.out[a:b].T + net.bias[a:b])
-                q[np.arange(len(h)), here[rows] - a] -= 1
-                q /= len(at)
+                h, own = hidden[rows], part[rows]
+                q = _softmax(_logits(h, inner[a:b].T), own)
+                q[n[: len(h)], here[rows] - a] -= own
                 back[rows] += q @ net.out[a:b]
-                out[a:b], bias[a:b] = q.T @ h, q.sum(axis=0)
-            top, top_bias = hidden.T @ p, p.sum(axis=0)
-            back *= 1 - hidden * hidden
+                out[a:b] = q.T @ h
+            top = hidden.T @ p
+            back *= 1 - hidden[:, :WIDTH] ** 2
             for k, place in enumerate(PLACES):
                 # only the rows of the tokens that occur there change
-                there = tokens[at + place].astype(np.uint16)
+                there = tokens.take(at + place).astype(np.uint16)
                 order = np.argsort(there, kind="stable")
-                start = np.flatnonzero(np.concatenate([[True], np.diff(there[order]) != 0]))
-                grad, rows = np.add.reduceat(back[order], start, axis=0), there[order[start]].astype(np.int64)
-                total = self.sums[0][k][rows] + grad * grad
+                there = there.take(order)
+                start = np.flatnonzero(np.concatenate([[True], there[1:] != there[:-1]]))
+                grad, rows = np.add.reduceat(back.take(order, axis=0), start, axis=0), there.take(start).astype(np.int64)
+                total = self.sums[0][k].take(rows, axis=0) + grad * grad
                 self.sums[0][k][rows] = total
                 net.embed[k][rows] -= RATE * grad / np.sqrt(total)
-            for param, total, grad in zip(net.arrays()[1:], self.sums[1:], (top, top_bias, out, bias), strict=True):
+            for param, total, grad in zip(net.arrays()[1:], self.sums[1:], (top[:-1], top[-1], out[:, :-1], out[:, -1]), strict=True):
                 self._step(param, total, grad)
 
 
+#: Texts that a training step takes together, so that its steps don't depend on how Spark cut the batches.
+LEARN_TEXTS = 64
+
+
+class Shard:
+    """A replica in training on rows that come in the order of their hash, copies next to each other."""
+
+    def __init__(self, start: Network, vocab: Vocabulary):
+        self.trainer, self.last, self.texts, self.weights = Trainer(start, vocab), None, pa.array([], pa.string()), np.zeros(0)
+
+    def add(self, texts: pa.Array, h: np.ndarray, weight: np.ndarray) -> None:
+        """Learn full groups of distinct texts; what is left waits, and so does the last text, of which copies may follow."""
+        first = np.flatnonzero(np.concatenate([[len(self.weights) == 0 or h[0] != self.last], h[1:] != h[:-1]]))
+        before = int(first[0]) if len(first) else len(h)
+        if before:
+            self.weights[-1] += weight[:before].sum()
+        if len(first):
+            self.texts = pa.concat_arrays([self.texts, texts.take(pa.array(first)).cast(pa.string())])
+            self.weights = np.concatenate([self.weights, np.add.reduceat(weight, first)])
+        self.last = h[-1]
+        full = max(len(self.weights) - 1, 0) // LEARN_TEXTS * LEARN_TEXTS
+        for i in range(0, full, LEARN_TEXTS):
+            self.trainer.learn(self.texts.slice(i, LEARN_TEXTS), self.weights[i : i + LEARN_TEXTS])
+        self.texts, self.weights = self.texts.slice(full), self.weights[full:]
+
+    def end(self) -> tuple[float, np.ndarray]:
+        """Tokens seen, and the replica."""
+        if len(self.weights):
+            self.trainer.learn(self.texts, self.weights)
+        return self.trainer.seen, self.trainer.net.flat()
+
+
 def warm_start(docs: DataFrame, vocab: Vocabulary) -> Network:
     """A network that has seen a small sample of texts, or stretches of long ones; it only gives all replicas one start."""
     h = F.xxhash64("text")
@@ -305,7 +354,7 @@ def _average(rows: pa.Table) -> pa.Table:
     for w, net in zip(weight, rows.column("net"), strict=True):
         total += w * np.frombuffer(net.as_py(), dtype=np.float32)
     mean = (total / max(weight.sum(), 1)).astype(np.float32).tobytes()
-    return pa.table({"replica": pa.array([rows.column("group")[0].as_py()], pa.int64()), "tokens": pa.array([int(weight.sum())], pa.int64()), "net": pa.array([mean], pa.binary())})
+    return pa.table({"replica": pa.array([rows.column("group")[0].as_py()], pa.int64()), "tokens": pa.array([float(weight.sum())], pa.float64()), "net": pa.array([mean], pa.binary())})
 
 
 def train(docs: DataFrame, vocab: Vocabulary | None = None) -> tuple[Vocabulary, Network]:
@@ -313,31 +362,36 @@ def train(docs: DataFrame, vocab: Vocabulary | None = None) -> tuple[Vocabulary,
     vocab = vocab or vocabulary(docs)
     start = warm_start(docs, vocab)
     shared = docs.sparkSession.sparkContext.broadcast((vocab, start))
-    shards = min(MOST_SHARDS, max(1, -(-vocab.words // SHARD_WORDS)))
+    session = docs.sparkSession
+    shards = max(1, -(-vocab.words // SHARD_WORDS))
+    tasks = min(shards, max(int(session.conf.get("spark.sql.shuffle.partitions")), vocab.words // TASK_WORDS))
 
     def replicas(batches):
         one_blas_thread()
-        trainer, at = None, -1
-        out = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([trainer.seen], pa.int64()), pa.array([trainer.net.flat().astype(np.float32).tobytes()], pa.binary())], ["replica", "tokens", "net"])
-        held: list = []
+        shard, at, total, seen = None, -1, None, 0.0
+
+        def ended():
+            n, net = shard.end()
+            return net.astype(np.float64) * n if total is None else total + net.astype(np.float64) * n, seen + n
+
         for part in _texts(batches):
-            shard = part.column("shard").to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
+            number, h, weight = (part.column(c).to_numpy() for c in ("shard", "h", "weight"))
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1, [len(number)]])
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if shard[a] != at:
-                    if trainer:
-                        _learn_all(trainer, held)
-                        yield out()
-                    trainer, at, held = Trainer(shared.value[1], shared.value[0]), int(shard[a]), []
-                held = _learn_some(trainer, [*held, part.column("text").slice(a, b - a)])
-        if trainer:
-            _learn_all(trainer, held)
-            yield out()
-
-    row = F.xxhash64("doc_id", "text") if "doc_id" in docs.columns else F.xxhash64("text")
-    dealt = docs.withColumn("h", row).select("text", "h", F.pmod("h", F.lit(shards)).alias("shard")).where(F.length("text") > 0)
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "h").select("text", "shard")
-    shape = "replica bigint, tokens bigint, net binary"
+                if number[a] != at:
+                    if shard:
+                        total, seen = ended()
+                    shard, at = Shard(shared.value[1], shared.value[0]), int(number[a])
+                shard.add(part.column("text").slice(a, b - a), h[a:b], weight[a:b])
+        if shard:
+            total, seen = ended()
+            if seen:
+                mean = (total / seen).astype(np.float32).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([at * tasks // shards], pa.int64()), pa.array([seen], pa.float64()), pa.array([mean], pa.binary())], ["replica", "tokens", "net"])
+
+    # shards next to each other share a task, and no task gets more of them than another by chance
+    dealt = deal(docs, shards).repartitionById(tasks, F.floor(F.col("shard") * tasks / shards).cast("int")).sortWithinPartitions("shard", "h")
+    shape = "replica bigint, tokens double, net binary"
     nets = materialize(bounded_batches(dealt).mapInArrow(replicas, shape), "replicas")
     while nets.count() > 1:
         grouped = nets.withColumn("group", F.floor(F.col("replica") / FAN_IN).cast("bigint")).groupBy("group")
@@ -348,37 +402,37 @@ def train(docs: DataFrame, vocab: Vocabulary | None = None) -> tuple[Vocabulary,
     return vocab, Network.of(np.frombuffer(found[0]["net"], dtype=np.float32), vocab.tokens) if found else start
 
 
-#: Texts that a training step takes together, so that its steps don't depend on how Spark cut the batches.
-LEARN_TEXTS = 64
-
-
-def _learn_some(trainer: Trainer, held: list) -> list:
-    """Learn full groups of texts; what is left waits."""
-    if sum(map(len, held)) < LEARN_TEXTS:
-        return held
-    texts = pa.concat_arrays(held)
-    full = len(texts) // LEARN_TEXTS * LEARN_TEXTS
-    for i in range(0, full, LEARN_TEXTS):
-        trainer.learn(texts.slice(i, LEARN_TEXTS))
-    return [texts.slice(full)] if full < len(texts) else []
-
+def deal(docs: DataFrame, shards: int) -> DataFrame:
+    """``(text, h, weight, shard)`` of all rows with text; weights of a text add up to its number of rows.
 
-def _learn_all(trainer: Trainer, held: list) -> None:
-    if held:
-        trainer.learn(pa.concat_arrays(held))
+    A text with more copies than a shard's mean number of rows (fewer than ``shards`` texts can have that many) comes once for
+    each of the shards that its share of the rows is worth; copies of others all go to one shard, which merges them.
+    """
+    rows = docs.select("text", F.xxhash64("text").alias("h")).where(F.length("text") > 0)
+    home = F.pmod("h", F.lit(shards))
+    plain = ["text", "h", F.lit(1.0).alias("weight"), home.alias("shard")]
+    if shards == 1:
+        return rows.select(*plain)
+    every = rows.count()
+    counts = rows.groupBy("h").agg(F.count("*").alias("copies"))
+    hot = F.broadcast(materialize(counts.where(F.col("copies") * shards > every), "hot-texts"))
+    worth = F.ceil(F.col("copies") * shards / F.lit(every))
+    spread = rows.join(hot, "h").dropDuplicates(["h"]).select("text", "h", (F.col("copies") / worth).alias("weight"), F.explode(F.sequence(F.lit(0), worth - 1)).alias("part"))
+    spread = spread.select("text", "h", "weight", F.pmod(home + F.col("part"), F.lit(shards)).alias("shard"))
+    return rows.join(hot, "h", "left_anti").select(*plain).unionByName(spread)
 
 
 def log_probs(vocab: Vocabulary, net: Network, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Log-probability of each token given its window, and the texts' bounds."""
     tokens, every, bounds, share = _windows(vocab, texts)
-    out = share.astype(np.float64)
+    out, (over, inner) = share.astype(np.float64), _with_bias(net)
     for i in range(0, len(every), SCORE_BATCH):
         at, order, klass = _in_order(tokens, every[i : i + SCORE_BATCH])
-        here = tokens[at]
+        here = tokens.take(at)
         hidden = _hidden(net, tokens, at)
-        found = _log_share(_logits(hidden, net.top, net.top_bias, SCORE_BATCH), klass).astype(np.float64)
+        found = _log_share(_logits(hidden, over, SCORE_BATCH), klass).astype(np.float64)
         for rows, a, b in _by_class(klass):
-            found[rows] += _log_share(hidden[rows] @ net.out[a:b].T + net.bias[a:b], here[rows] - a)
+            found[rows] += _log_share(_logits(hidden[rows], inner[a:b].T), here[rows] - a)
         out[i + order] += found
     return out, bounds
 
