@@ -122,11 +122,11 @@ class Network:
         return Network(rng.normal(0, 0.1, a).astype(np.float32), rng.normal(0, 0.1, b).astype(np.float32), np.zeros(c, dtype=np.float32), rng.normal(0, 0.1, d).astype(np.float32), np.zeros(e, dtype=np.float32))
 
 
-def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word, and the texts' bounds among them."""
+def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words, which of them each word is, and the texts' bounds among the words."""
     apart = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"([[:punct:]]+)", r" \1 ")
     codes, words, bounds = split(apart)
-    return pd.util.hash_array(strings(words), categorize=False)[codes], bounds
+    return pd.util.hash_array(strings(words), categorize=False), codes, bounds
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,8 +139,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for part in _texts(batches):
-            seen, n = np.unique(hashed(part.column("text"))[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(n)], ["hash", "n"])
+            seen, codes, _ = hashed(part.column("text"))
+            yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(np.bincount(codes, minlength=len(seen)))], ["hash", "n"])
 
     return bounded_batches(docs.select("text")).mapInArrow(run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
 
@@ -181,11 +181,11 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
 
 def _windows(vocab: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of all texts with pads between, where the real ones are, the texts' bounds among the real ones, and the log share of each."""
-    h, bounds = hashed(texts)
-    token, share = vocab.look_up(h)
+    h, codes, bounds = hashed(texts)
+    token, share = (x.take(codes) for x in vocab.look_up(h))
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    at = np.arange(len(h)) + SIDE * (text + 1)
-    tokens = np.full(len(h) + SIDE * (len(bounds) + 1), vocab.tokens, dtype=np.int64)
+    at = np.arange(len(codes)) + SIDE * (text + 1)
+    tokens = np.full(len(codes) + SIDE * (len(bounds) + 1), vocab.tokens, dtype=np.int64)
     tokens[at] = token
     return tokens, at, bounds, share
 
@@ -194,13 +194,12 @@ def _windows(vocab: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray
 _room: dict[tuple, np.ndarray] = {}
 
 
-def _logits(h: np.ndarray, weights: np.ndarray, most: int | None = None) -> np.ndarray:
-    """Of a layer that ends in ones, by weights whose last row is the bias; with ``most`` in an array that the next call with the same ``most`` and classes uses again."""
+def _logits(h: np.ndarray, weights: np.ndarray, small: bool, most: int | None = None) -> np.ndarray:
+    """Of a layer that ends in ones, by weights whose last row is the bias; with ``most`` in an array that the next call with the same ``most`` and classes uses again. Unless known to be ``small``, logits are held to 80, against overflow."""
     if most and (most, weights.shape[1]) not in _room:
         _room[most, weights.shape[1]] = np.empty((most, weights.shape[1]), dtype=np.float32)
     x = np.matmul(h, weights, out=_room[most, weights.shape[1]][: len(h)] if most else None)
-    # no logit of a tanh layer can exceed the sum of its weights, so the guard against overflow is seldom needed
-    return x if np.abs(weights).sum(axis=0).max() < 80 else np.minimum(x, 80, out=x)
+    return x if small else np.minimum(x, 80, out=x)
 
 
 def _sums(x: np.ndarray) -> np.ndarray:
@@ -230,9 +229,10 @@ def _hidden(net: Network, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     return hidden
 
 
-def _with_bias(net: Network) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of classes (by column) and tokens (by row), the bias last."""
-    return np.concatenate([net.top, net.top_bias[None]]), np.concatenate([net.out, net.bias[:, None]], axis=1)
+def _with_bias(net: Network) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Weights of classes (by column) and tokens (by row), the bias last, and whether no logit of a tanh layer can exceed 80 by them."""
+    over, inner = np.concatenate([net.top, net.top_bias[None]]), np.concatenate([net.out, net.bias[:, None]], axis=1)
+    return over, inner, bool(max(np.abs(over).sum(axis=0).max(), _sums(np.abs(inner)).max()) < 80)
 
 
 def _by_class(klass: np.ndarray) -> Iterator[tuple[slice, int, int]]:
@@ -273,14 +273,14 @@ class Trainer:
             part = weight[i : i + BATCH].take(order)
             part /= part.sum()
             here, n = tokens.take(at), np.arange(len(at))
-            hidden, (over, inner) = _hidden(net, tokens, at), _with_bias(net)
-            p = _softmax(_logits(hidden, over, BATCH), part)
+            hidden, (over, inner, small) = _hidden(net, tokens, at), _with_bias(net)
+            p = _softmax(_logits(hidden, over, small, BATCH), part)
             p[n, klass] -= part
             back = p @ net.top.T
             out = np.zeros_like(inner)
             for rows, a, b in _by_class(klass):
                 h, own = hidden[rows], part[rows]
-                q = _softmax(_logits(h, inner[a:b].T), own)
+                q = _softmax(_logits(h, inner[a:b].T, small), own)
                 q[n[: len(h)], here[rows] - a] -= own
                 back[rows] += q @ net.out[a:b]
                 out[a:b] = q.T @ h
@@ -425,14 +425,14 @@ def deal(docs: DataFrame, shards: int) -> DataFrame:
 def log_probs(vocab: Vocabulary, net: Network, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Log-probability of each token given its window, and the texts' bounds."""
     tokens, every, bounds, share = _windows(vocab, texts)
-    out, (over, inner) = share.astype(np.float64), _with_bias(net)
+    out, (over, inner, small) = share.astype(np.float64), _with_bias(net)
     for i in range(0, len(every), SCORE_BATCH):
         at, order, klass = _in_order(tokens, every[i : i + SCORE_BATCH])
         here = tokens.take(at)
         hidden = _hidden(net, tokens, at)
-        found = _log_share(_logits(hidden, over, SCORE_BATCH), klass).astype(np.float64)
+        found = _log_share(_logits(hidden, over, small, SCORE_BATCH), klass).astype(np.float64)
         for rows, a, b in _by_class(klass):
-            found[rows] += _log_share(_logits(hidden[rows], inner[a:b].T), here[rows] - a)
+            found[rows] += _log_share(_logits(hidden[rows], inner[a:b].T, small), here[rows] - a)
         out[i + order] += found
     return out, bounds
 
