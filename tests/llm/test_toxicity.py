@@ -22,6 +22,22 @@ def test_held_out_labels():
     assert (p & y).sum() >= 0.85 * y.sum() and (p & ~y).sum() <= 0.005 * (~y).sum()
 
 
+    # what labels hardly show is stated: a lone insult is no clause that counts, an aimed one and a threat to somebody are
+    innocent = ["idiot", "trash", "the trash was collected on monday", "nobody is stupid here", "she beat him at chess", "you are not an idiot", "he said you are an idiot", "we killed the lights and went home"]
+    offensive = ["you are an idiot", "you idiot, you are pathetic", "i will kill you", "I will murder you and burn your house"]
+    got = X.score_texts(model, pa.array(innocent + offensive), X.grammar()) >= 0.7
+    assert got.tolist() == [False] * len(innocent) + [True] * len(offensive)
+
+
+def test_held_out_labels_by_language():
+    rows = duckdb.sql(f"select doc_id, text, toxic, lang from '{SF1}/documents.parquet' join '{SF1}/labels.parquet' using (doc_id) order by doc_id").fetchall()
+    held = [zlib.crc32(str(r[0]).encode()) % 3 == 1 for r in rows]
+    model = X.fit([(r[1][: X.TRAIN_CHARS], r[2]) for r, h in zip(rows, held, strict=True) if not h])
+    for lang in ("de", "en", "es", "fr"):
+        toxic = [r[1] for r, h in zip(rows, held, strict=True) if h and r[2] == 1 and r[3] == lang]
+        assert (X.score_texts(model, pa.array(toxic), X.grammar()) >= 0.7).mean() >= 0.8, lang
+
+
 def small_model():
     toxic = [f"you are an idiot and a moron {i}" for i in range(20)]
     return X.fit([(t, 1) for t in toxic] + [(f"you are the of and an a was here {i} with this not so said", 0) for i in range(60)])
@@ -65,6 +81,32 @@ def test_the_composition_is_the_cascade():
         assert np.allclose(got, want if has else 0) and (count == len(tape) or not has) and np.isclose(total, sum(got))
 
 
+def test_patterns_take_the_weight_of_their_own_offence():
+    """The compiled automaton against the definition: each offence with its own weight, aimed if a target is in reach on either side."""
+    rng, automaton = random.Random(5), X.grammar()
+    for _ in range(4000):
+        symbols = [rng.choice([X.OTHER, X.OTHER, X.INSULT, X.THREAT, X.TARGET, X.THIRD]) for _ in range(rng.randint(0, 14))]
+        weights = [rng.choice([0.5, 1.0, 2.0]) for _ in symbols]
+        want, reach = [0.0] * X.PATTERNS, X.TARGET_REACH
+        aims = {X.INSULT: (X.TARGET, X.THIRD), X.THREAT: (X.TARGET,)}
+        waiting = None
+        for i, s in enumerate([*symbols, None]):
+            if waiting is not None:
+                kind = symbols[waiting]
+                if s in aims[kind]:
+                    want[8 * (kind == X.THREAT) + 1] += X.AIMED * weights[waiting]
+                    waiting = None
+                elif s is None or i - waiting == reach or (s in aims and not set(symbols[max(i - reach, 0) : i]) & set(aims[s])):
+                    want[0] += X.UNAIMED * weights[waiting] * (kind == X.INSULT)
+                    waiting = None
+            if s in aims:
+                if set(symbols[max(i - reach, 0) : i]) & set(aims[s]):
+                    want[8 * (s == X.THREAT) + 1] += X.AIMED * weights[i]
+                else:
+                    waiting = i
+        assert np.allclose(X.clause(automaton, symbols, weights)[0], want), (symbols, weights)
+
+
 def test_insults_are_whole_words_or_stems_that_go_on_in_many_ways():
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abdeiklmnorstu") for _ in range(rng.randint(3, 9)))

@@ -7,10 +7,13 @@ A clause's words become symbols, and transducers pass them on, the output of one
 * insult and threat pass on what offends: a negated threat is none,
 * target joins a marked insult or threat with the person it is aimed at, on either side of it, and writes the clause's
   patterns: aimed or not, negated or not, reported or not. Each has its weight, and a threat without its object is none.
+  An insult is aimed at anybody, a threat only at those addressed: what happens to a third person is told, not threatened.
 
-Their composition is one automaton; a clause scores the weights of the patterns that it accepts. A text's clause
-scores by pattern go through a logistic model to a score. Insults (whole words, and stems where many different
-completions occur in toxic texts only) and the logistic weights are learned from labels; the other word classes are fixed lists.
+Their composition is one automaton; a clause scores the weights of the patterns that it accepts, each times the lexical
+weight of its own offence. A text's clause scores by pattern go through a logistic model to a score. Insults (whole words,
+and stems where many different completions occur mostly in toxic texts) and the logistic weights are learned from labels; the other
+word classes are fixed lists. What labels show too rarely is stated as a few clauses with their verdicts (``POLICY``), which
+the logistic model learns like texts: one insult aimed at nobody is not toxic, one aimed at somebody is, and so is a threat with its object.
 
 Defined results: null, empty and word-less texts match nothing and score the base rate of such texts; very long
 texts are read whole; repeated rows are scored each on its own; only the named columns are read; an empty table
@@ -35,7 +38,8 @@ from pyspark.sql import functions as F
 from trefoil.llm.words import ROLL, bounded_batches, characters, held_out, letters, slices, split, stratified, whole_hashes
 
 # Word lists in English, German, French and Spanish.
-TARGETS = "you your yourself he she they them him her dich dir ihr euch ihn ihm ihnen toi te vous elle ils elles eux lui usted ustedes ella ellos ellas vosotros".split()
+TARGETS = "you your yourself dich dir ihr euch toi te vous usted ustedes vosotros".split()
+THIRDS = "he she they them him her ihn ihm ihnen elle ils elles eux lui ella ellos ellas".split()
 NEGATIONS = "not never neither nor isn't aren't don't nicht kein keine keinen niemals nie pas jamais ni nunca tampoco".split()
 REPORTS = "said says say wrote writes called calls quoted reported claims claimed sagte sagt schrieb nannte behauptet dit disait écrit appelé dijo dice escribió llamó".split()
 THREATS = (
@@ -43,7 +47,7 @@ THREATS = (
     "töten töte tötet getötet umbringen umbringe zerstören zerstöre zerstört schlagen schlage schlägt tuer tue tuerai tuera détruire détruirai frapper frappe frapperai matar mato mataré matará mata destruir destruiré golpear golpearé"
 ).split()
 #: Symbols that the first transducer reads.
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, THIRD = range(7)
 #: Words that a target and a negation reach.
 TARGET_REACH, NEGATION_REACH = 5, 3
 #: Weights of a pattern that is aimed, unaimed, negated, reported.
@@ -57,9 +61,18 @@ STEMS, COMPLETIONS, NEXT_LETTERS, ONE_BRANCH = (4, 5, 6, 7, 8), 5, 4, 0.8
 SKETCH, LONG = 3, 8
 #: Words and stems that at most may be taken for insults by chance (a bound on their expected number), and share of clean texts (of the share of toxic ones) that may hold an insult.
 CHANCE, CLEAN_SHARE = 5.0, 0.05
+#: The same share for a stem, which a text has to use more than once before it counts for much.
+STEM_CLEAN_SHARE = 0.15
 #: Patterns: kind (insult, threat) x aimed x negated x reported.
 PATTERNS = 16
 
+#: Clauses with their verdicts, each the only one of texts of several lengths in words, and how many drawn rows each of these texts stands for.
+POLICY = (
+    ((INSULT,), 0), ((NEGATION, INSULT), 0), ((TARGET, NEGATION, INSULT), 0), ((REPORT, TARGET, INSULT), 0), ((REPORT, TARGET, THREAT), 0), ((THREAT,), 0),
+    ((TARGET, INSULT), 1), ((TARGET, THREAT), 1),
+)
+POLICY_WORDS, POLICY_ROWS = (4, 8, 16), 5.0
+
 #: What a transducer writes: symbols with weights. A symbol is (class, marks); marks are bits.
 Tape = tuple[tuple[tuple[int, int], float], ...]
 NEG_MARK, REP_MARK, AIM_MARK = 2, 4, 1
@@ -106,7 +119,10 @@ def offence(kind: int, unless: int = 0) -> Transducer:
 
 
 def target() -> Transducer:
-    """Joins an offence with a target at most TARGET_REACH words before or after it. State: words for which the last target still reaches, the offence that waits for one, and for how many words."""
+    """Joins an offence with a target at most TARGET_REACH words before or after it.
+
+    State: words for which the last target of any person, and the last one addressed, still reach; the offence that waits for one, and for how many words.
+    """
 
     def pattern(kind: int, marks: int) -> Tape:
         weight = (AIMED if marks & AIM_MARK else UNAIMED) * (NEGATED if marks & NEG_MARK else 1) * (REPORTED if marks & REP_MARK else 1)
@@ -116,23 +132,25 @@ def target() -> Transducer:
         return pattern(*waiting) if waiting and waiting[0] == INSULT else ()
 
     def step(state, symbol):
-        reach, waiting, left = state
+        reach, addressed, waiting, left = state
         kind, marks = symbol
         if kind == TARGET:
-            return (TARGET_REACH, None, 0), pattern(waiting[0], waiting[1] | AIM_MARK) if waiting else ()
+            return (TARGET_REACH, TARGET_REACH, None, 0), pattern(waiting[0], waiting[1] | AIM_MARK) if waiting else ()
         out: Tape = ()
-        if waiting and left == 1:
+        if kind == THIRD and waiting and waiting[0] == INSULT:
+            out, waiting, left = pattern(INSULT, waiting[1] | AIM_MARK), None, 0
+        elif waiting and left == 1:
             out, waiting, left = let_go(waiting), None, 0
         elif waiting:
             left -= 1
         if kind in (INSULT, THREAT):
-            if reach:
+            if reach if kind == INSULT else addressed:
                 out += pattern(kind, marks | AIM_MARK)
             else:
                 out, waiting, left = out + let_go(waiting), symbol, TARGET_REACH
-        return (max(reach - 1, 0), waiting, left), out
+        return (TARGET_REACH if kind == THIRD else max(reach - 1, 0), max(addressed - 1, 0), waiting, left), out
 
-    return Transducer((0, None, 0), step, lambda state: let_go(state[1]))
+    return Transducer((0, 0, None, 0), step, lambda state: let_go(state[2]))
 
 
 def _feed(machine: Transducer, state: tuple, tape: Tape) -> tuple[tuple, Tape]:
@@ -174,7 +192,7 @@ def compiled(machine: Transducer) -> Automaton:
     for state in todo:
         auto.next.append([])
         auto.out.append([])
-        for symbol in range(6):
+        for symbol in range(7):
             after, tape = machine.step(state, (symbol, 0))
             if after not in number:
                 number[after] = len(number)
@@ -214,7 +232,7 @@ _fixed: dict[int, np.ndarray] = {}
 
 def _fixed_classes() -> dict[int, np.ndarray]:
     if not _fixed:
-        _fixed.update({symbol: np.sort(_hash_words(words)) for symbol, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS))})
+        _fixed.update({symbol: np.sort(_hash_words(words)) for symbol, words in ((TARGET, TARGETS), (THIRD, THIRDS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS))})
     return _fixed
 
 
@@ -264,22 +282,39 @@ def _symbols(model: Model, words: pa.StringArray) -> tuple[np.ndarray, np.ndarra
 
 
 def clause(automaton: Automaton, symbols: list[int], weights: list[float]) -> tuple[list[float], int, float]:
-    """Weights by pattern, accepted patterns and score of one clause. An offence's pattern takes the lexical weight of the clause's heaviest offence."""
-    state, sums, count = 0, [0.0] * PATTERNS, 0
-    heavy = max((w for s, w in zip(symbols, weights, strict=True) if s in (INSULT, THREAT)), default=0.0)
-    for s in [*symbols, None]:
+    """Weights by pattern, accepted patterns and score of one clause. A pattern takes the lexical weight of its own offence.
+
+    Where an offence is read and an aimed pattern written, that offence follows its target; all other patterns are of the offence that waited.
+    """
+    state, sums, count, waiting = 0, [0.0] * PATTERNS, 0, 0.0
+    for s, own in zip([*symbols, None], [*weights, 0.0], strict=True):
+        offends = s in (INSULT, THREAT)
         for pattern, w in automaton.last[state] if s is None else automaton.out[state][s]:
-            sums[pattern] += w * heavy
+            at_once = offends and bool(pattern & AIM_MARK)
+            sums[pattern] += w * (own if at_once else waiting)
             count += 1
+            offends = offends and not at_once
+        waiting = own if offends else waiting
         state = state if s is None else automaton.next[state][s]
     return sums, count, sum(sums)
 
 
+def policy(automaton: Automaton, heavy: float) -> tuple[np.ndarray, np.ndarray]:
+    """Features and verdicts of the stated clauses, their insults of weight ``heavy``."""
+    x, y = [], []
+    for symbols, verdict in POLICY:
+        sums, count, total = clause(automaton, list(symbols), [heavy if s == INSULT else 1.0 for s in symbols])
+        for n in POLICY_WORDS:
+            x.append([*np.log1p(sums), total, np.log1p(count), np.sqrt(count / n), 0.0])
+            y.append(verdict)
+    return np.array(x), np.array(y, dtype=float)
+
+
 def features(model: Model, texts: pa.Array, automaton: Automaton) -> np.ndarray:
-    """Per text: clause scores summed by pattern (log1p), the best clause, the log count of accepted patterns and their share of the words."""
+    """Per text: clause scores summed by pattern (log1p), the best clause, the log count of accepted patterns, their share of the words, and what clauses besides the best one score (log1p)."""
     codes, words, bounds = split(texts)
     symbol, weight, ends = _symbols(model, words)
-    out = np.zeros((len(bounds) - 1, PATTERNS + 3))
+    out = np.zeros((len(bounds) - 1, PATTERNS + 4))
     s = symbol[codes]
     hits = np.flatnonzero((s == INSULT) | (s == THREAT))
     if not len(hits):
@@ -294,6 +329,7 @@ def features(model: Model, texts: pa.Array, automaton: Automaton) -> np.ndarray:
         out[r, :PATTERNS] += sums
         out[r, PATTERNS] = max(out[r, PATTERNS], total)
         counts[r] += count
+    out[:, PATTERNS + 3] = np.log1p(np.maximum(out[:, :PATTERNS].sum(axis=1) - out[:, PATTERNS], 0))
     out[:, :PATTERNS] = np.log1p(out[:, :PATTERNS])
     out[:, PATTERNS + 1] = np.log1p(counts)
     out[:, PATTERNS + 2] = np.sqrt(counts / np.maximum(np.diff(bounds), 1))
@@ -350,7 +386,7 @@ def learned(toxic: list[set[str]], clean: list[set[str]]) -> dict[str, tuple[flo
     def odds(key) -> float:
         n1, n0 = seen[1][key], seen[0][key]
         p = n1 / (n1 + n0)
-        if p <= q or n0 * len(toxic) > CLEAN_SHARE * n1 * len(clean):
+        if p <= q or n0 * len(toxic) > (STEM_CLEAN_SHARE if key[1] else CLEAN_SHARE) * n1 * len(clean):
             return 0.0
         bound = (n1 + n0) * (p * math.log(p / q) + ((1 - p) * math.log((1 - p) / (1 - q)) if p < 1 else 0.0))
         return math.log((n1 + 0.5) / (len(toxic) + 1)) - math.log((n0 + 0.5) / (len(clean) + 1)) if bound >= need else 0.0
@@ -365,9 +401,12 @@ def learned(toxic: list[set[str]], clean: list[set[str]]) -> dict[str, tuple[flo
             if max((seen[1][stem + c, k + 1] for c in {w[k] for w in words}), default=0) > ONE_BRANCH * n1 or not odds((stem, k)):
                 continue
             found[stem] = (min(odds((stem, k)), 8.0) / 4, k)
+    of_stem = {s: w for s, (w, _) in found.items()}
     for word, n in sorted(seen[1]):
-        if n == 0 and len(word) > 1 and odds((word, 0)) and not any(word[:j] in found and found[word[:j]][1] for j in STEMS):
-            found[word] = (min(odds((word, 0)), 8.0) / 4, 0)
+        # a word that a stem covers is kept where it alone says more
+        own = min(odds((word, 0)), 8.0) / 4 if n == 0 and len(word) > 1 else 0.0
+        if own > max((of_stem.get(word[:j], 0.0) for j in STEMS), default=0.0):
+            found[word] = (own, 0)
     return found
 
 
@@ -389,11 +428,14 @@ def fit(rows: list[tuple]) -> Model:
         hashes.append(h[order])
         weights.append(np.array([found[s][0] for s in own])[order] if own else np.zeros(0))
     model = Model(hashes, weights, np.zeros(0))
-    x = features(model, pa.array([r[0] for r in rows]), grammar())
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    automaton = grammar()
+    x = features(model, pa.array([r[0] for r in rows]), automaton)
     # a row counts for as many as it was drawn for, in all as many as were drawn
     each = np.array([r[2] for r in rows])
     each *= len(rows) / each.sum()
+    stated, verdicts = policy(automaton, max((w for w, _ in found.values()), default=1.0))
+    x, y, each = np.concatenate([x, stated]), np.concatenate([y, verdicts]), np.concatenate([each, np.full(len(verdicts), POLICY_ROWS)])
+    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     w = np.zeros(x.shape[1])
     ridge = np.full(len(w), 1.0)
     ridge[-1] = 1e-3
