@@ -23,3 +23,14 @@ def test_a_pair_is_sent_once_however_far_ids_lie_apart(spark):
     assert summed(by_edge) == [3 * n for n in counts] and summed(by_target) == counts
     assert by_vertex.agg(F.sum("triangles")).first()[0] == support.agg(F.sum("common")).first()[0] == 3 * total
     assert trefoil.triangle_count(df, "edge_iter").first()[0] == total and list(trefoil.triad_census(df, "edge_iter").first()) == counts
+
+
+def test_light_vertices_go_by_degree(spark):
+    edges = [(hub, 100 + i) for hub in range(3) for i in range(60)] + [(i, i + 1) for i in range(100, 5000)] + [(0, 1)]  # 60 is less than sqrt(n)
+    df = graph(spark, edges)
+    pairs = N.pairs(df)
+    longest = lambda oriented: oriented.groupBy("a").count().agg(F.max("count")).first()[0]
+    assert O.heavy_vertices(df).count() == 0
+    assert longest(O.by_heavy(pairs, df)) == 61 and longest(O.by_heavy(pairs, df, light="degree")) <= 5
+    for algo in ("fast_v3", "fast_v4"):
+        assert trefoil.triangle_count(df, algo).first()[0] == 3 * 59 + 60
