@@ -8,6 +8,7 @@ from trefoil.functions.classify import TRIAD_CLASSES
 from trefoil.operators import kernels as K
 from trefoil.operators import normalize as N
 from trefoil.operators import orient as O
+from trefoil.operators import stats as S
 
 
 def test_a_pair_is_sent_once_however_far_ids_lie_apart(spark):
@@ -34,3 +35,31 @@ def test_light_vertices_go_by_degree(spark):
     assert longest(O.by_heavy(pairs, df)) == 61 and longest(O.by_heavy(pairs, df, light="degree")) <= 5
     for algo in ("fast_v3", "fast_v4"):
         assert trefoil.triangle_count(df, algo).first()[0] == 3 * 59 + 60
+
+
+def test_wedges_close_without_pairing_up_a_hub(spark):
+    edges = [*random_edges(9), *[(1000, i) for i in range(60)]]
+    df = graph(spark, edges)
+    near = {(r.v, r.nbr): r.tag for r in N.tagged(df).collect()}
+    degree = {r.v: r.degree for r in S.degrees(df).collect()}
+    want = {(v, a, b) for v, a in near for w, b in near if v == w and a < b and (a, b) in near}
+    got = K.classified_wedges(df).collect()
+    assert len(got) == len(want) and {(r.v, r.a, r.b) for r in got} == want == {(r.v, r.a, r.b) for r in K.closed_wedges(df).collect()}
+    assert all((near[r.v, r.a], near[r.v, r.b], near[r.a, r.b] + 1) == (r.tag_a, r.tag_b, r["mask"]) for r in got)
+    low = {(v, a, b) for v, a, b in want if degree[v] < min(degree[a], degree[b])}
+    assert low == {(r.v, r.a, r.b) for r in K.closed_wedges(df, True).collect()} == {(r.v, r.a, r.b) for r in K.classified_wedges(df, True).collect()}
+    assert K.closed_wedges(df).columns == ["a", "b", "v"] and plan_of(K.closed_wedges(df)).count("posexplode") == plan_of(K.edge_iter_plus(df)).count("posexplode") > 0
+
+
+def test_edge_iter_plus_rows(spark):
+    edges = [*random_edges(10), (50, 51), (51, 52), (50, 52)]
+    df = graph(spark, edges)
+    near = {(r.v, r.nbr): r.tag for r in N.tagged(df).collect()}
+    degree = {r.v: r.degree for r in S.degrees(df).collect()}
+    higher = {v: sum(degree[w] > degree[v] for u, w in near if u == v) for v in degree}
+    want = {(a, b, w) for a, b in near for u, w in near if u == a and a < b and (b, w) in near and degree[w] > max(degree[a], degree[b])}
+    for guard in (False, True):
+        kept = {t for t in want if not guard or max(higher[t[0]], higher[t[1]]) >= 2}
+        got = K.edge_iter_plus(df, guard).collect()
+        assert len(got) == len(kept) and {(r.a, r.b, r.w) for r in got} == kept
+        assert all((near[r.a, r.b] + 1, near[r.a, r.w], near[r.b, r.w]) == (r["mask"], r.tag_a, r.tag_b) for r in got)
