@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tests.test_graph import brute, graph
 from tests.test_messages import plan_of, random_edges
 from trefoil.functions.classify import TRIAD_CLASSES
+from trefoil.operators import cells
 from trefoil.operators import kernels as K
 from trefoil.operators import normalize as N
 from trefoil.operators import orient as O
@@ -63,3 +64,11 @@ def test_edge_iter_plus_rows(spark):
         got = K.edge_iter_plus(df, guard).collect()
         assert len(got) == len(kept) and {(r.a, r.b, r.w) for r in got} == kept
         assert all((near[r.a, r.b] + 1, near[r.a, r.w], near[r.b, r.w]) == (r["mask"], r.tag_a, r.tag_b) for r in got)
+
+
+def test_cells_get_lists(spark):
+    oriented = O.by_degree(N.pairs(graph(spark, random_edges(11))))
+    sent = cells.list_copies(oriented, 2)
+    pairs = sorted(tuple(r) for r in cells.copies(oriented, 2).collect())
+    assert sorted(tuple(r) for r in sent.select("cell", "role", "a", F.explode("nbrs")).collect()) == pairs
+    assert sent.groupBy("cell", "role", "a").count().agg(F.max("count")).first()[0] == 1 and sent.count() < len(pairs)
