@@ -1,7 +1,10 @@
 """Triangles where lists of upper neighbours meet, against plain Python."""
 
+import pytest
+
 import trefoil
 from pyspark.sql import functions as F
+from tests.conftest import SF
 from tests.test_graph import brute, graph
 from tests.test_messages import plan_of, random_edges
 from trefoil.functions.classify import TRIAD_CLASSES
@@ -10,6 +13,7 @@ from trefoil.operators import kernels as K
 from trefoil.operators import normalize as N
 from trefoil.operators import orient as O
 from trefoil.operators import stats as S
+from trefoil.plans import queries as Q
 
 
 def test_a_pair_is_sent_once_however_far_ids_lie_apart(spark):
@@ -72,3 +76,12 @@ def test_cells_get_lists(spark):
     pairs = sorted(tuple(r) for r in cells.copies(oriented, 2).collect())
     assert sorted(tuple(r) for r in sent.select("cell", "role", "a", F.explode("nbrs")).collect()) == pairs
     assert sent.groupBy("cell", "role", "a").count().agg(F.max("count")).first()[0] == 1 and sent.count() < len(pairs)
+
+
+@pytest.mark.parametrize("name", ["triangle_list", "triangle_list_by_degree"])
+def test_both_uses_of_pairs_and_lists_read_one_exchange(spark, name):
+    found = Q.queries()[name](spark, SF)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    dealt = [line for line in plan.splitlines() if "REPARTITION_BY_COL" in line and "ReusedExchange" not in line]
+    assert plan.count("FileScan") == 1 and len(dealt) == 1
