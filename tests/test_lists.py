@@ -78,7 +78,7 @@ def test_cells_get_lists(spark):
     assert sent.groupBy("cell", "role", "a").count().agg(F.max("count")).first()[0] == 1 and sent.count() < len(pairs)
 
 
-@pytest.mark.parametrize("name", ["triangle_list", "classified_triangles", "triangle_list_by_degree"])
+@pytest.mark.parametrize("name", ["triangle_list", "classified_triangles", "triangle_list_by_degree", "census_fast_v2"])
 def test_both_uses_of_pairs_and_lists_read_one_exchange(spark, name):
     found = Q.queries()[name](spark, SF)
     found.collect()
