@@ -14,6 +14,7 @@ from trefoil.operators import normalize as N
 from trefoil.operators import orient as O
 from trefoil.operators import stats as S
 from trefoil.plans import queries as Q
+from trefoil.plans.statistics import Watch
 
 
 def test_a_pair_is_sent_once_however_far_ids_lie_apart(spark):
@@ -78,10 +79,22 @@ def test_cells_get_lists(spark):
     assert sent.groupBy("cell", "role", "a").count().agg(F.max("count")).first()[0] == 1 and sent.count() < len(pairs)
 
 
+def scans_and_deals(found):
+    """How often a run has read its file and dealt pairs by their lower end, without what it reused."""
+    found.collect()
+    lines = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    return sum("FileScan" in line for line in lines), sum("REPARTITION_BY_COL" in line and "ReusedExchange" not in line for line in lines)
+
+
 @pytest.mark.parametrize("name", ["triangle_list", "classified_triangles", "triangle_list_by_degree", "census_fast_v2"])
 def test_both_uses_of_pairs_and_lists_read_one_exchange(spark, name):
-    found = Q.queries()[name](spark, SF)
-    found.collect()
-    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    dealt = [line for line in plan.splitlines() if "REPARTITION_BY_COL" in line and "ReusedExchange" not in line]
-    assert plan.count("FileScan") == 1 and len(dealt) == 1
+    scans, dealt = scans_and_deals(Q.queries()[name](spark, SF))
+    assert scans == dealt == 1
+
+
+def test_a_watched_plan_reads_one_exchange_too(spark):
+    watch = Watch(4)
+    pairs = N.pairs(watch("loaded", Q.GRAPHS["ps"](spark, SF)))
+    found = K.triangles(O.by_degree(watch("pairs", pairs.repartitionById(4, F.pmod("a", F.lit(4)).cast("int")), sizes=True)), watch)
+    scans, dealt = scans_and_deals(found)
+    assert scans == dealt == 1 and sum(watch.partitions("pairs")) == watch.rows("pairs") == pairs.count()
