@@ -138,3 +138,13 @@ def test_no_python_in_plans(spark):
 def test_pairs_prune_columns(spark):
     plan = N.pairs(Q.GRAPHS["ps"](spark, SF))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_partkey:bigint,l_suppkey:bigint>" in plan
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_edge_iter_plus_query_counts_tied_triangles(spark, seed):
+    random.seed(seed)
+    edges = [(random.randint(0, 39), random.randint(0, 39)) for _ in range(300)]
+    _, counts, _ = brute(edges)
+    df, run = graph(spark, edges), Q.QUERIES["census_edge_iter_plus"][1]
+    assert census(run(df)) == counts != census(trefoil.triad_census(df, "edge_iter_plus"))
+    assert census(run(graph(spark, DIR))) == [2, 1, 1, 1, 1, 1, 1]
